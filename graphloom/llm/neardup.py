@@ -75,7 +75,7 @@ def sketches(sig: np.ndarray) -> np.ndarray:
     """Odd sketches of MinHash samples, one row each: BITS // 64 words."""
     at = (((sig.astype(np.uint64) + _SALT) * _MIX) >> np.uint64(64 - 9)).astype(np.int64)
     flat = np.bincount((at + np.arange(len(sig))[:, None] * BITS).ravel(), minlength=len(sig) * BITS)
-    return np.packbits((flat & 1).astype(np.uint8).reshape(len(sig), BITS), axis=1, bitorder="little").view(np.int64)
+    return np.packbits((flat & 1).astype(np.uint8).reshape(len(sig), BITS), axis=1, bitorder="little").view(np.uint64)
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
@@ -149,7 +149,7 @@ def _screen(most: int, percent: int):
         for table, at in runs(batches, "unit"):
             doc = table.column("doc_id").to_numpy()
             size = table.column("n_shingles").to_numpy()
-            sk = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.int64).reshape(len(doc), -1)
+            sk = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(doc), -1)
             n = np.diff(at)
             two = at[:-1][n == 2]
             ok = (np.bitwise_count(sk[two] ^ sk[two + 1]).sum(1) <= most) & (100 * np.minimum(size[two], size[two + 1]) >= percent * np.maximum(size[two], size[two + 1]))
@@ -196,7 +196,7 @@ def _link(most: int, percent: int):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in runs(batches, "unit"):
             doc, start = table.column("doc_id").to_numpy(), table.column("known").to_numpy()
-            raw, sk = table.column("shingles"), np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.int64).reshape(len(doc), -1)
+            raw, sk = table.column("shingles"), np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(doc), -1)
             u, v = [], []
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 if b - a > 1:

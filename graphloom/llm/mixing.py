@@ -77,7 +77,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = EPO
     rows = rows.withColumn("served", F.greatest(F.lit(0), F.least("size", goal - F.col("start")))).withColumn("time", F.least("finish", F.lit(1.0)))
     # the range sort: virtual time is even in words, so equal spans of it are ranges of equal load
     spans = max(1, -(-int(total or 0) * 2 // RUN))
-    rows = rows.withColumn("span", F.floor(F.col("time") * spans).cast("long"))
+    # what the horizon leaves out adds nothing to the sum, wherever it stands; it is spread over spans of its own
+    rows = rows.withColumn("span", F.when(F.col("served") > 0, F.floor(F.col("time") * spans).cast("long")).otherwise(-1 - F.pmod("hash", F.lit(spans))))
     rows = running(rows, [], "span", ["time", "sid", "epoch", "hash", "doc_id", "size"], "served", "ahead")
     rows = rows.withColumn("taken", F.greatest(F.lit(0), F.least("served", F.lit(int(budget or 0)) - F.col("ahead"))))
     return rows.groupBy("uid", "doc_id", "size", "source", "source_size", "target").agg(F.sum("taken").alias("taken"), F.min("finish").alias("finish"))

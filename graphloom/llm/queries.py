@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import exactdup, mixing, neardup
+from graphloom.llm import exactdup, licenses, media, mixing, neardup, secrets, toxicity, urlfilter
 from graphloom.llm.common import documents
 
 
@@ -16,11 +16,31 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
+def op3_audio_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.audio(documents(spark, sf_dir))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(documents(spark, sf_dir))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), urlfilter.table(spark))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(documents(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdup.exact_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_minhash_near_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_minhash_near_dedup, op3_audio_media, op5_license_scan, op6_url_filter, op7_toxicity, op8_secret_scan, op10_exact_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -52,6 +72,13 @@ e AS (SELECT x, y FROM k UNION ALL SELECT y, x FROM k),
 r(doc_id, other) AS (SELECT x, x FROM e UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.other)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.low, d.doc_id) AS component_id, coalesce(c.low, d.doc_id) = d.doc_id AS kept
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS low FROM r GROUP BY doc_id) c USING (doc_id)""",
+    "op6_url_filter": rf"""
+WITH e AS (SELECT * FROM (VALUES {', '.join(f"('{h}', '{p}', '{v}', {r})" for rows, r in ((urlfilter.RULES, True), (urlfilter.LISTED, False)) for h, p, v in rows)}) t(h, p, v, r)),
+u AS (SELECT page_id, row_number() OVER () AS uid, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS x FROM pages),
+s AS (SELECT page_id, uid, translate(regexp_extract(x, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(x, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+m AS (SELECT s.uid, max(CASE WHEN r THEN lpad(len(h || p)::VARCHAR, 9, '0') || h || p END) AS best, max(CASE WHEN r THEN lpad(len(h || p)::VARCHAR, 9, '0') || h || p || v END) AS judged, bool_or(NOT r AND v = 'block') AS listed
+  FROM s JOIN e ON (s.host = e.h OR ends_with(s.host, '.' || e.h)) AND starts_with(s.path, e.p) WHERE s.host <> '' GROUP BY s.uid)
+SELECT page_id, host, path, substr(best, 10) AS rule, CASE WHEN best IS NOT NULL THEN substr(judged, len(best) + 1) WHEN listed THEN 'block' ELSE 'allow' END AS verdict FROM s LEFT JOIN m USING (uid)""",
     "op10_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER t AS keep_id, count(*) OVER t AS group_size, doc_id = max(doc_id) OVER t AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW t AS (PARTITION BY coalesce(text, ''))""",

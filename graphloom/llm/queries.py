@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import exactdup, licenses, media, mixing, neardup, secrets, toxicity, urlfilter
+from graphloom.llm import exactdup, licenses, lm, media, mixing, neardup, pieces, secrets, toxicity, urlfilter
 from graphloom.llm.common import documents
 
 
@@ -20,6 +20,10 @@ def op3_audio_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.audio(documents(spark, sf_dir))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(documents(spark, sf_dir))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(documents(spark, sf_dir))
 
@@ -36,11 +40,15 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(documents(spark, sf_dir))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdup.exact_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_minhash_near_dedup, op3_audio_media, op5_license_scan, op6_url_filter, op7_toxicity, op8_secret_scan, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_minhash_near_dedup, op3_audio_media, op4_sentencepiece, op5_license_scan, op6_url_filter, op7_toxicity, op8_secret_scan, op9_lm_score, op10_exact_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x20\x09-\x0D]+"

@@ -1,0 +1,234 @@
+"""Scalar functions of 2.14 as Spark columns; plain Python where a value lives on the driver only."""
+
+from __future__ import annotations
+
+import base64
+import json
+import re
+import shlex
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+
+def col(c: str | Column) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+# -- text -------------------------------------------------------------------
+
+
+def split_camel(c: str | Column) -> Column:
+    """aB -> a B and ABc -> A Bc."""
+    once = F.regexp_replace(col(c), r"([\p{Ll}\p{N}])(\p{Lu})", "$1 $2")
+    return F.regexp_replace(once, r"(\p{Lu})(\p{Lu}\p{Ll})", "$1 $2")
+
+
+def words(c: str | Column) -> Column:
+    """TX-1: camel case split, lower case, runs of letters and digits."""
+    return F.regexp_extract_all(F.lower(split_camel(c)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def normal_name(c: str | Column) -> Column:
+    """RES-15: lower case without underscores."""
+    return F.regexp_replace(F.lower(col(c)), "_", "")
+
+
+def name_shape(c: str | Column) -> Column:
+    """RES-15: word tokens with the numbers of outer underscores, or null for a single word."""
+    body = F.regexp_replace(col(c), r"^_+|_+$", "")
+    tokens = F.transform(F.regexp_extract_all(body, F.lit(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+"), F.lit(0)), F.lower)
+    lead, tail = F.length(F.regexp_extract(col(c), r"^(_*)", 1)), F.length(F.regexp_extract(col(c), r"(_*)$", 1))
+    return F.when(F.size(tokens) >= 2, F.concat_ws("|", F.array_join(tokens, " "), lead.cast("string"), tail.cast("string")))
+
+
+def ascii_lower(c: str | Column) -> Column:
+    return F.translate(col(c), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def squeezed(c: str | Column) -> Column:
+    """Trimmed, lower case, runs of white space as one space."""
+    return F.lower(F.regexp_replace(F.trim(col(c)), r"\s+", " "))
+
+
+def like_literal(c: str | Column, part: str) -> Column:
+    """Contains, ASCII case aside, with % and _ taken literally."""
+    return F.instr(ascii_lower(c), ascii_lower(F.lit(part))) > 0
+
+
+def like_pattern(c: str | Column, part: str) -> Column:
+    """Contains, ASCII case aside, with % and _ as wildcards."""
+    return ascii_lower(c).like("%" + part.translate({i: i + 32 for i in range(65, 91)}) + "%")
+
+
+@F.pandas_udf(StringType())
+def byte_prefix(text: pd.Series, size: pd.Series) -> pd.Series:
+    """At most size UTF-8 bytes, without a partial character."""
+    return pd.Series([None if t is None else t.encode()[: int(n)].decode("utf-8", "ignore") for t, n in zip(text, size, strict=True)])
+
+
+def strip_jsonc(text: str) -> str:
+    """JSON from JSON with comments and trailing commas; strings are kept as they are."""
+    text = re.sub(r'("(?:[^"\\]|\\.)*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or "", text, flags=re.S)
+    return re.sub(r'("(?:[^"\\]|\\.)*")|,(?=\s*[}\]])', lambda m: m[1] or "", text)
+
+
+def last_object(text: str) -> object | None:
+    """The last balanced JSON object in prose."""
+    found, at, decoder = None, text.find("{"), json.JSONDecoder()
+    while at >= 0:
+        try:
+            found, end = decoder.raw_decode(text, at)
+            at = text.find("{", end)
+        except ValueError:
+            at = text.find("{", at + 1)
+    return found
+
+
+# -- paths ------------------------------------------------------------------
+
+
+def parts(c: str | Column) -> Column:
+    return F.split(col(c), "/")
+
+
+def base_name(c: str | Column) -> Column:
+    return F.substring_index(col(c), "/", -1)
+
+
+def folder(c: str | Column) -> Column:
+    return F.regexp_replace(col(c), r"/?[^/]*$", "")
+
+
+def suffix(c: str | Column) -> Column:
+    """Lower-case extension with its dot, or empty; a leading dot starts no extension."""
+    return F.lower(F.regexp_extract(base_name(c), r"[^.].*?(\.[^.]+)$|^[^.]+(\.[^.]*)$", 1))
+
+
+def stem(c: str | Column) -> Column:
+    return F.regexp_replace(base_name(c), r"(?<=.)\.[^.]*$", "")
+
+
+def ancestors(c: str | Column) -> Column:
+    """Every folder above a path, the root as '' first."""
+    p = F.slice(parts(c), 1, F.greatest(F.size(parts(c)) - 1, F.lit(0)))
+    return F.transform(F.sequence(F.lit(0), F.size(p)), lambda n: F.array_join(F.slice(p, 1, n), "/"))
+
+
+def join_path(folder_: str, spec: str) -> str | None:
+    """A normal path below the root, or None if it climbs above."""
+    out = [x for x in folder_.split("/") if x]
+    for x in spec.split("/"):
+        if x == "..":
+            if not out:
+                return None
+            out.pop()
+        elif x not in ("", "."):
+            out.append(x)
+    return "/".join(out)
+
+
+# -- JSON, commands, cursors --------------------------------------------------
+
+
+def canonical(value: object) -> str:
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def at_path(value: object, path: str) -> object | None:
+    """A nested field by a path such as a[0].b."""
+    for name, index in re.findall(r"([^.\[\]]+)|\[(\d+)\]", path):
+        try:
+            value = value[int(index)] if index else value[name]
+        except (KeyError, IndexError, TypeError):
+            return None
+    return value
+
+
+def schema_errors(value: object, schema: dict, at: str = "$") -> list[str]:
+    """Errors of a small JSON Schema: type, enum, required, properties, items, bounds, anyOf, additionalProperties."""
+    kinds = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
+    out: list[str] = []
+    named = schema.get("type")
+    if named:
+        ok = lambda k: (isinstance(value, (int, float)) and not isinstance(value, bool) and (k == "number" or float(value).is_integer())) if k in ("number", "integer") else isinstance(value, kinds[k])
+        if not any(ok(k) for k in ([named] if isinstance(named, str) else named)):
+            return [f"{at}: not of type {named}"]
+    if "enum" in schema and value not in schema["enum"]:
+        out.append(f"{at}: not one of {schema['enum']}")
+    if "anyOf" in schema and all(schema_errors(value, s, at) for s in schema["anyOf"]):
+        out.append(f"{at}: matches no alternative")
+    if isinstance(value, dict):
+        out += [f"{at}.{k}: missing" for k in schema.get("required", ()) if k not in value]
+        known = schema.get("properties", {})
+        for k, v in value.items():
+            if k in known:
+                out += schema_errors(v, known[k], f"{at}.{k}")
+            elif schema.get("additionalProperties") is False:
+                out.append(f"{at}.{k}: not allowed")
+    if isinstance(value, list) and "items" in schema:
+        for i, v in enumerate(value):
+            out += schema_errors(v, schema["items"], f"{at}[{i}]")
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        out += [f"{at}: below {schema['minimum']}"] if value < schema.get("minimum", value) else []
+        out += [f"{at}: above {schema['maximum']}"] if value > schema.get("maximum", value) else []
+    return out
+
+
+#: Words that tell what a shell command does.
+_CHECKS = {"pytest", "ruff", "mypy", "tox", "tsc", "eslint", "jest", "vitest", "unittest", "cargo-test", "go-test"}
+_EDITS = {"apply_patch", "edit", "write", "str_replace", "multiedit", "sed-i"}
+
+
+def command_kind(name: str, arguments: object) -> str:
+    """edit, check, command or tool (LG-7)."""
+    if name.lower() in _EDITS:
+        return "edit"
+    line = arguments.get("command") or arguments.get("cmd") if isinstance(arguments, dict) else arguments
+    if not isinstance(line, (str, list)):
+        return "tool"
+    try:
+        argv = shlex.split(line) if isinstance(line, str) else [str(x) for x in line]
+    except ValueError:
+        argv = line.split()
+    plain = [x.rsplit("/", 1)[-1] for x in argv]
+    pairs = {f"{a}-{b.lstrip('-')}" for a, b in zip(plain, plain[1:], strict=False)}
+    if {*plain, *pairs} & _EDITS:
+        return "edit"
+    return "check" if {*plain, *pairs} & _CHECKS else "command"
+
+
+def exit_status(output: str | None) -> int | None:
+    """An exit code that an output states, as JSON or as text."""
+    if not output:
+        return None
+    try:
+        found = json.loads(output)
+        for path in ("metadata.exit_code", "exit_code"):
+            if isinstance(code := at_path(found, path), int):
+                return code
+    except ValueError:
+        pass
+    m = re.search(r"(?:exit(?:ed)?(?: with)?(?: code| status)?)[:= ]+(-?\d+)", output, re.I)
+    return int(m[1]) if m else None
+
+
+def cursor(generation: str, query: str, offset: int) -> str:
+    """TK-2: an opaque place in an ordered result of one generation."""
+    return base64.urlsafe_b64encode(canonical([2, generation, query, offset]).encode()).decode().rstrip("=")
+
+
+def cursor_offset(text: str, generation: str, query: str) -> int:
+    try:
+        version, of, key, offset = json.loads(base64.urlsafe_b64decode(text + "=" * (-len(text) % 4)))
+    except (ValueError, TypeError):
+        raise ValueError("malformed cursor") from None
+    if version != 2 or not isinstance(offset, int) or offset < 0:
+        raise ValueError("malformed cursor")
+    if of != generation:
+        raise ValueError("stale cursor: the snapshot has changed")
+    if key != query:
+        raise ValueError("the cursor belongs to another query")
+    return offset

@@ -1,0 +1,19 @@
+"""Resolution of references to symbols as joins (RES-1 to RES-22)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def innermost(points: DataFrame, spans: DataFrame, key: list[str], at: str, owner: str) -> DataFrame:
+    """points with the owner of the shortest span (first, last, owner) of the same key that holds them, else null.
+
+    Of spans of one length the one that begins later counts. The join is on the key, and the range is a filter of it.
+    """
+    s = spans.select(*[F.col(k).alias(f"__{k}") for k in key], F.col("first").alias("__first"), F.col("last").alias("__last"), F.col(owner).alias("__owner"))
+    on = F.col(at).between(F.col("__first"), F.col("__last"))
+    for k in key:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    best = F.min_by("__owner", F.struct((F.col("__last") - F.col("__first")).alias("size"), (-F.col("__first")).alias("late")))
+    return points.join(s, on, "left").groupBy(*points.columns).agg(best.alias(owner))

@@ -106,3 +106,13 @@ def grouped(df: DataFrame, key: str, fn: Callable, schema: str) -> DataFrame:
 def crc_mod(column: str, n: int):
     """crc32 of the id as text, mod n."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+def hashed(column: str):
+    """md5 of the id as text: the order of bounded samples."""
+    return F.md5(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
+
+
+def share_of(wanted: float, of: int) -> str:
+    """The first eight digits of an md5 up to which about `wanted` of so many rows lie."""
+    return f"{min(0xFFFFFFFF, int(0xFFFFFFFF * wanted / max(1, of)) + 200_000_000 // max(1, of)):08x}"

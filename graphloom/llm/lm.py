@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import LOWER, Scratch, binary, crc_mod, slices
+from graphloom.llm.common import LOWER, Scratch, binary, crc_mod, hashed, share_of, slices
 
 WORDS, CLASSES, CONTEXT, DIM = 192, 64, 4, 16
-KNOWN, FIT_DOCS, FIT_TOKENS, NOISE, PASSES = 400_000, 2000, 400_000, 12, 4
+KNOWN, FIT_DOCS, FIT_TOKENS, NOISE, PASSES = 200_000, 2000, 400_000, 12, 4
 #: Distinct words that a task holds before it hands their counts on.
-HOLD = 400_000
+HOLD = 200_000
 OUT = WORDS + CLASSES
 #: The end token; no word is empty.
 END = b""
@@ -237,7 +237,10 @@ def score(docs: DataFrame) -> DataFrame:
     low = np.log10(total + 0.5 * (kinds + 1))
     t = Tables({w: i for i, w in enumerate(words)}, outcome, np.log10(np.r_[c, 0.0][: max(1, len(c))] + 0.5) - low, np.where(outcome < WORDS, 0.0, inside), None)
 
-    sample = learn.orderBy(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), "text").limit(FIT_DOCS).select("text").toPandas()["text"]
+    # the number of texts is that of ends; a threshold on the hash keeps what tasks send near FIT_DOCS in all
+    n_train = int(c[words.index(END)]) if END in words else 0
+    sample = learn.withColumn("h", hashed("doc_id")).where(F.substring("h", 1, 8) <= share_of(1.5 * FIT_DOCS, n_train))
+    sample = sample.orderBy("h", "text").limit(FIT_DOCS).select("text").toPandas()["text"]
     ids, at = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     left, memory = FIT_TOKENS, {}
     for text in sample:

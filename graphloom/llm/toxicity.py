@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import LOWER, binary, crc_mod, slices
+from graphloom.llm.common import LOWER, binary, crc_mod, hashed, share_of, slices
 
 FIT_TOXIC, FIT_ORDINARY, FIT_WINDOWS = 2000, 5000, 300
 WINDOW, LEVEL, ROUNDS = 12, 12, 3
@@ -136,8 +136,11 @@ def scores(model: Model, texts: list[bytes], pair=None) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits a model to a bounded sample of the labelled rows whose crc32(doc_id as text) mod 5 is not 0."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("toxic").alias("__toxic"))
-    known = known.where(crc_mod("__id", 5) != 0).withColumn("__h", F.md5(F.col("__id").cast("string").cast("binary")))
-    picked = known.where("__toxic = 1").orderBy("__h").limit(FIT_TOXIC).union(known.where("__toxic = 0").orderBy("__h").limit(FIT_ORDINARY))
+    known = known.where(crc_mod("__id", 5) != 0).withColumn("__h", hashed("__id"))
+    n = {r[0]: r[1] for r in known.groupBy("__toxic").count().collect()}
+    # thresholds on the hash keep what tasks send near the bounds in all
+    few = lambda kind, most: known.where(F.col("__toxic") == kind).where(F.substring("__h", 1, 8) <= share_of(1.2 * most, n.get(kind, 0))).orderBy("__h").limit(most)
+    picked = few(1, FIT_TOXIC).union(few(0, FIT_ORDINARY))
     rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.coalesce("text", F.lit("")).alias("__text")).join(F.broadcast(picked), "__id")
     # of rows that repeat a doc_id the least text counts, so that the order of rows is no matter
     rows = rows.groupBy("__id", "__toxic", "__h").agg(F.min("__text").alias("__text")).toPandas().sort_values("__h")

@@ -24,7 +24,7 @@ RUN, ORDER_BITS, EPOCHS = 2048, 60, 3
 
 
 def targets(per_source: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = EPOCHS) -> DataFrame:
-    """sid, target and the rest of each source's row (source, source_size); there is one row a source.
+    """sid, target, goal (in whole words) and the rest of each source's row (source, source_size); there is one row a source.
 
     Sources by code point, null last, take the weights in turn. A target stops at epochs times its source's size,
     and what is left over is shared again by weight among the others until none is above.
@@ -40,7 +40,10 @@ def targets(per_source: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs:
     first = W.partitionBy().orderBy(F.col("open").desc(), F.col("cap") / F.col("weight"), "sid").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     s = s.withColumn("l", F.first("left").over(first)).withColumn("w", F.first("share").over(first))
     target = F.when(F.col("open"), (F.col("weight") * F.col("l")).cast("double") / F.col("w").cast("double")).otherwise(F.col("cap").cast("double"))
-    return s.select("source", "source_size", "n", "sid", target.alias("target"))
+    # whole words: what the floors leave of the budget goes to the first sources below their stops, one word each
+    s = s.withColumn("target", target).withColumn("whole", F.floor("target").cast("long"))
+    s = s.withColumn("spare", F.sum(F.col("source_size") - F.col("whole")).over(W.partitionBy())).withColumn("turn", F.row_number().over(W.orderBy(F.col("open").desc(), "sid")))
+    return s.select("source", "source_size", "n", "sid", "target", (F.col("whole") + (F.col("turn") <= F.col("spare")).cast("long")).alias("goal"))
 
 
 def running(rows: DataFrame, group: list[str], bucket: str, order: list, value: str, out: str) -> DataFrame:
@@ -73,8 +76,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = EPO
     copies = F.greatest(F.lit(1), F.ceil(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))).cast("int")
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), copies - 1))).withColumn("start", F.col("epoch") * F.col("source_size") + F.col("before"))
     rows = rows.withColumn("finish", (F.col("start") + F.col("size")).cast("double") / F.greatest(F.col("target"), F.lit(1e-9)))
-    goal = F.floor(F.col("target") + 0.5).cast("long")
-    rows = rows.withColumn("served", F.greatest(F.lit(0), F.least("size", goal - F.col("start")))).withColumn("time", F.least("finish", F.lit(1.0)))
+    rows = rows.withColumn("served", F.greatest(F.lit(0), F.least("size", F.col("goal") - F.col("start")))).withColumn("time", F.least("finish", F.lit(1.0)))
     # the range sort: virtual time is even in words, so equal spans of it are ranges of equal load
     spans = max(1, -(-int(total or 0) * 2 // RUN))
     # what the horizon leaves out adds nothing to the sum, wherever it stands; it is spread over spans of its own

@@ -119,6 +119,7 @@ def linearise(bases: dict[str, list[str | None]]) -> dict[str, list[tuple[str, b
             return []
         parents = [b if b is not None else f"?{c}:{i}" for i, b in enumerate(bases.get(c, []))]
         lists = [order(p, (*on, c)) if not p.startswith("?") else [p] for p in parents] + [parents]
+        lists = [[k for k in x if k != c] for x in lists]  # a cycle ends where it closes
         out, left = [c], [list(x) for x in lists if x]
         while left:
             head = next((x[0] for x in left if not any(x[0] in y[1:] for y in left)), None)

@@ -4,12 +4,33 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a settled side that may be broadcast, about 100 bytes each; a larger one is shuffled.
+SMALL = 50_000
+
+
+_own: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which all executors share; an own folder only where none is set, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
+    if not named and app not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="graphloom-")
+    return (named or _own[app]).rstrip("/")
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of df in spark.checkpoint.dir; an own folder only where none is set, as in tests."""
+    """A reliable checkpoint of df in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="graphloom-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def narrow(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """A settled frame with a broadcast hint if it has no more rows than most, so that what it meets stays in place."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

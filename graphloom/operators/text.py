@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalar import ancestors, words
+from graphloom.operators.settle import settle
 
 #: Limits of chunks, queries and results; BM25's constants.
 CHUNK_LINES, CHUNK_BYTES, HEADING_CHARS, QUERY_TERMS, TOP = 32, 4096, 200, 32, 200
@@ -53,14 +54,15 @@ def query_terms(query: DataFrame, text: str = "text") -> DataFrame:
 def bm25(units: DataFrame, key: list[str], terms: str, query: DataFrame, keep: Column | None = None, top: int = TOP) -> DataFrame:
     """(key, score): the best units for the query's terms.
 
-    Numbers of units and their mean length are over all units; keep only chooses what is returned. Postings are
-    made for the query's terms alone: words are filtered by a join before they are counted.
+    Numbers of units and their mean length are over all units; keep only chooses what is returned. Words are read
+    once: of each unit its length and the query's terms in it are settled, and all else works on those.
     """
-    u = units.select(*key, terms, *([keep.alias("__keep")] if keep is not None else []))
-    sized = u.withColumn("__dl", F.size(terms))
+    wanted = [r["term"] for r in query.limit(QUERY_TERMS).collect()]
+    hits = F.filter(terms, lambda w: w.isin(*wanted) if wanted else F.lit(False))
+    sized = settle(units.select(*key, F.size(terms).alias("__dl"), hits.alias("__hits"), *([keep.alias("__keep")] if keep is not None else [])))
     stats = sized.agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"))
-    posts = sized.select(*[c for c in sized.columns if c != terms], F.explode(terms).alias("term")).join(F.broadcast(query), "term", "left_semi")
-    tf = posts.groupBy(*[c for c in posts.columns]).agg(F.count("*").alias("__tf"))
+    tf = sized.select(*[c for c in sized.columns if c != "__hits"], F.explode("__hits").alias("term"))
+    tf = tf.groupBy(*tf.columns).agg(F.count("*").alias("__tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("__df"))
     joined = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
     idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("__n") - F.col("__df") + 0.5) / (F.col("__df") + 0.5)))

@@ -81,43 +81,43 @@ def edges_projected(spark, sf_dir):
 @query(f"WITH {_EDGES}, n(relation) AS (VALUES ('IMPORTS'), ('CALLS'), ('INHERITS'), ('REFERENCES')) SELECT relation, count(r)::BIGINT AS n FROM n LEFT JOIN e ON r = relation GROUP BY relation")
 def edge_counts(spark, sf_dir):
     """AG-1"""
-    return E.counts(star.edges(spark, sf_dir))
+    return E.counts(star.published(spark, sf_dir))
 
 
 @query(f"WITH {_EDGES} SELECT r AS relation, tier AS resolution_tier, status AS resolution_status, count(*)::BIGINT AS n, round(avg(c), 4) AS mean_confidence FROM e GROUP BY ALL")
 def edge_tiers(spark, sf_dir):
     """AG-14: edges by relation, tier and status."""
-    return star.edges(spark, sf_dir).groupBy("relation", "resolution_tier", "resolution_status").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("mean_confidence"))
+    return star.published(spark, sf_dir).groupBy("relation", "resolution_tier", "resolution_status").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("mean_confidence"))
 
 
 @query(_reach_sql(["part::7"], 3, True, None, False))
 def callers_d3(spark, sf_dir):
     """GR-1: what reaches a part within three hops."""
-    return _shown(G.reach(star.edges(spark, sf_dir), keys(spark, "part::7"), 3, incoming=True))
+    return _shown(G.reach(star.published(spark, sf_dir), keys(spark, "part::7"), 3, incoming=True))
 
 
 @query(_reach_sql(["customer::7"], 3, False, None, False))
 def dependents_d3(spark, sf_dir):
     """GR-1 along the edges."""
-    return _shown(G.reach(star.edges(spark, sf_dir), keys(spark, "customer::7"), 3, incoming=False))
+    return _shown(G.reach(star.published(spark, sf_dir), keys(spark, "customer::7"), 3, incoming=False))
 
 
 @query(_reach_sql(["customer::7"], 3, False, None, True))
 def dependents_candidates(spark, sf_dir):
     """FLT-8: candidate edges too."""
-    return _shown(G.reach(star.edges(spark, sf_dir), keys(spark, "customer::7"), 3, incoming=False, candidates=True))
+    return _shown(G.reach(star.published(spark, sf_dir), keys(spark, "customer::7"), 3, incoming=False, candidates=True))
 
 
 @query(_reach_sql(["customer::7", "supplier::3", "orders::11"], 2, False, ["CALLS", "REFERENCES", "INHERITS"], True))
 def reach_multi_target(spark, sf_dir):
     """GR-2, FLT-9: several targets, chosen relations."""
-    return _shown(G.reach(star.edges(spark, sf_dir), keys(spark, "customer::7", "supplier::3", "orders::11"), 2, incoming=False, relations=("CALLS", "REFERENCES", "INHERITS"), candidates=True))
+    return _shown(G.reach(star.published(spark, sf_dir), keys(spark, "customer::7", "supplier::3", "orders::11"), 2, incoming=False, relations=("CALLS", "REFERENCES", "INHERITS"), candidates=True))
 
 
 @query(f"WITH {_EDGES} SELECT s AS source_key, t AS target_key, round(1 / greatest(max(c), 0.01), 6) AS weight, array_to_string(list_sort(list(DISTINCT r)), ',') AS relations FROM e WHERE status = 'resolved' GROUP BY s, t")
 def parallel_edges(spark, sf_dir):
     """GR-4"""
-    return G.parallel(star.edges(spark, sf_dir)).select("source_key", "target_key", F.round("weight", 6).alias("weight"), F.array_join("relations", ",").alias("relations"))
+    return G.parallel(star.published(spark, sf_dir)).select("source_key", "target_key", F.round("weight", 6).alias("weight"), F.array_join("relations", ",").alias("relations"))
 
 
 _PATHS = f"""WITH RECURSIVE {_EDGES}, x AS (SELECT s, t, 1 / greatest(max(c), 0.01) AS w FROM e WHERE status = 'resolved' GROUP BY s, t),
@@ -128,26 +128,26 @@ b AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(cost, 9), pa
 @query(f"{_PATHS} SELECT node AS node_key, round(cost, 4) AS cost, hops::INT AS hops, path FROM b WHERE k = 1")
 def shortest_path_cost(spark, sf_dir):
     """GR-5: the cheapest paths of at most three hops from one source."""
-    return G.shortest_paths(star.edges(spark, sf_dir), keys(spark, "customer::7"), 3).select("node_key", F.round("cost", 4).alias("cost"), "hops", "path")
+    return G.shortest_paths(star.published(spark, sf_dir), keys(spark, "customer::7"), 3).select("node_key", F.round("cost", 4).alias("cost"), "hops", "path")
 
 
 @query(f"{_PATHS} SELECT path, hops::INT AS hops, round(cost, 4) AS cost, NULL::VARCHAR AS reason FROM b WHERE k = 1 AND node LIKE 'supplier::%' ORDER BY round(cost, 9), node, path LIMIT 1")
 def trace_path(spark, sf_dir):
     """GR-6: the cheapest path to any supplier."""
-    e = star.edges(spark, sf_dir)
+    e = star.published(spark, sf_dir)
     return G.trace(e, keys(spark, "customer::7"), star.nodes(spark, sf_dir).where("kind = 'supplier'"), 3)
 
 
 @query("SELECT NULL::VARCHAR AS path, NULL::INT AS hops, NULL::DOUBLE AS cost, 'no path' AS reason")
 def trace_no_path(spark, sf_dir):
     """GR-7: no path is an answer."""
-    return G.trace(star.edges(spark, sf_dir), keys(spark, "orders::11"), keys(spark, "nowhere::1"), 2)
+    return G.trace(star.published(spark, sf_dir), keys(spark, "orders::11"), keys(spark, "nowhere::1"), 2)
 
 
 @query(f"{_PATHS}, q AS (SELECT *, min(round(cost, 9)) OVER (PARTITION BY node) AS best FROM p WHERE node = 'supplier::3') SELECT path FROM q WHERE round(cost, 9) = best")
 def all_cheapest_paths(spark, sf_dir):
     """GR-12"""
-    return G.all_cheapest(star.edges(spark, sf_dir), "customer::7", "supplier::3", 3)
+    return G.all_cheapest(star.published(spark, sf_dir), "customer::7", "supplier::3", 3)
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, {_NODES}, x AS (SELECT t AS a, s AS b, r FROM e WHERE status = 'resolved'),
@@ -157,7 +157,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY seed, node ORDER BY ev, rel) AS
 SELECT seed, node AS node_key, kind, d::INT AS distance, ev AS evidence, rel AS hop_relations FROM k JOIN node ON k = node WHERE FALSE""".replace(" JOIN node ON k = node WHERE FALSE", " LEFT JOIN node ON node.k = k.node WHERE n = 1 AND d > 0 AND kind IN ('orders', 'customer')"))
 def impact_incoming(spark, sf_dir):
     """GR-8: what a change reaches, with evidence, in two kinds of nodes."""
-    return G.impact(star.edges(spark, sf_dir), keys(spark, "supplier::3", "part::7"), star.nodes(spark, sf_dir), 3, scopes=("orders", "customer"))
+    return G.impact(star.published(spark, sf_dir), keys(spark, "supplier::3", "part::7"), star.nodes(spark, sf_dir), 3, scopes=("orders", "customer"))
 
 
 _SNAP = _EDGES.replace("FROM orders", "FROM orders WHERE o_orderdate < TIMESTAMP '{0}'")
@@ -192,7 +192,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY direction, c DESC,
 SELECT seed, direction, node_key, r AS relation, c AS confidence, place::INT AS place, truncated FROM k WHERE place <= 6""")
 def neighbourhood_top6(spark, sf_dir):
     """GR-11, TK-6, JN-8"""
-    return G.neighbourhood(star.edges(spark, sf_dir), keys(spark, "part::7", "supplier::3"))
+    return G.neighbourhood(star.published(spark, sf_dir), keys(spark, "part::7", "supplier::3"))
 
 
 @query(f"""WITH {_EDGES}, y AS (SELECT DISTINCT s AS a, t AS b FROM e WHERE status = 'resolved' AND r IN ('IMPORTS', 'INHERITS', 'CONTAINS', 'REFERENCES') AND s <> t),
@@ -202,7 +202,7 @@ o AS (SELECT a, b, count(*) AS k, min(a || ' > ' || m || ' > ' || n || ' > ' ||
 SELECT a AS source_key, b AS target_key, path FROM o WHERE NOT EXISTS (SELECT 1 FROM y WHERE y.a = o.a AND y.b = o.b) AND NOT EXISTS (SELECT 1 FROM two WHERE two.a = o.a AND two.b = o.b)""")
 def chains_three_hops(spark, sf_dir):
     """GR-13: unique three-hop chains."""
-    return G.chains(star.edges(spark, sf_dir), ("IMPORTS", "INHERITS", "CONTAINS", "REFERENCES"))
+    return G.chains(star.published(spark, sf_dir), ("IMPORTS", "INHERITS", "CONTAINS", "REFERENCES"))
 
 
 @query(f"WITH {_EDGES} SELECT s AS source_key, t AS target_key, r AS relation FROM e WHERE t NOT IN (SELECT 'part::' || p_partkey FROM part WHERE p_size > 25) AND t LIKE 'part::%'")
@@ -210,20 +210,20 @@ def dangling_edges(spark, sf_dir):
     """JN-17, FLT-13: edges to parts that a smaller node table does not have."""
     n = star.nodes(spark, sf_dir)
     big = n.where("kind <> 'part'").select("node_key").union(table(spark, sf_dir, "part").where("p_size > 25").select(F.concat(F.lit("part::"), F.col("p_partkey").cast("string"))))
-    return E.dangling(star.edges(spark, sf_dir).where("target_key LIKE 'part::%'"), big)
+    return E.dangling(star.published(spark, sf_dir).where("target_key LIKE 'part::%'"), big)
 
 
 @query(f"WITH {_EDGES} SELECT s AS source_key, count(*)::BIGINT AS fan_out, count(DISTINCT t)::BIGINT AS n_targets FROM e WHERE r = 'CALLS' GROUP BY s HAVING count(DISTINCT t) BETWEEN 3 AND 15")
 def fan_out_candidates(spark, sf_dir):
     """AG-26"""
-    c = star.edges(spark, sf_dir).where("relation = 'CALLS'").groupBy("source_key").agg(F.count("*").alias("fan_out"), F.countDistinct("target_key").alias("n_targets"))
+    c = star.published(spark, sf_dir).where("relation = 'CALLS'").groupBy("source_key").agg(F.count("*").alias("fan_out"), F.countDistinct("target_key").alias("n_targets"))
     return c.where("n_targets BETWEEN 3 AND 15")
 
 
 @query(f"WITH {_EDGES}, {_NODES} SELECT kind, count(*)::BIGINT AS n FROM node WHERE k NOT IN (SELECT t FROM e) GROUP BY kind")
 def no_static_use(spark, sf_dir):
     """AG-24: nodes that no edge leads to."""
-    used = star.edges(spark, sf_dir).select(F.col("target_key").alias("node_key"))
+    used = star.published(spark, sf_dir).select(F.col("target_key").alias("node_key"))
     return star.nodes(spark, sf_dir).join(used, "node_key", "left_anti").groupBy("kind").agg(F.count("*").alias("n"))
 
 

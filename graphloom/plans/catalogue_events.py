@@ -125,7 +125,7 @@ def tier_precision(spark, sf_dir):
 
 
 def _judged(spark, sf_dir):
-    e = star.edges(spark, sf_dir)
+    e = star.published(spark, sf_dir)
     big = table(spark, sf_dir, "part").where("p_size > 10").select(F.concat(F.lit("part::"), F.col("p_partkey").cast("string")).alias("target_key"))
     return e, e.where("relation = 'CALLS'").join(big, "target_key", "left_semi").unionByName(e.where("relation = 'INHERITS'"))
 
@@ -144,7 +144,7 @@ SELECT CASE k WHEN 1 THEN 'resolved' WHEN 0 THEN 'candidate_only' ELSE 'absent'
 def runtime_accounting(spark, sf_dir):
     """AG-23, EV-19: every runtime edge is in one part."""
     run = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").groupBy(F.concat(F.lit("orders::"), F.col("l_orderkey").cast("string")).alias("source_key"), F.concat(F.lit("part::"), F.col("l_partkey").cast("string")).alias("target_key")).agg(F.count("*").alias("count"))
-    return V.accounted(run, star.edges(spark, sf_dir).where("relation = 'CALLS' AND target_key NOT LIKE '%7'"))
+    return V.accounted(run, star.published(spark, sf_dir).where("relation = 'CALLS' AND target_key NOT LIKE '%7'"))
 
 
 _TASKS = "t AS (SELECT DISTINCT n_regionkey AS lang, n_nationkey AS repo, c_mktsegment AS stratum, c_custkey AS task FROM customer JOIN nation ON c_nationkey = n_nationkey)"

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators.edges import deduplicated
+from graphloom.operators.settle import shared_dir
+from graphloom.operators.snapshot import Store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +42,19 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(raw_edges(spark, sf_dir))
 
 
+_published: dict[tuple[str, str], str] = {}
+
+
+def published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of the folder's published snapshot: built by the first query of an application that asks, read by others."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _published:
+        root = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+        Store(spark, root).publish({"edges": edges(spark, sf_dir)})
+        _published[key] = root
+    return Store(spark, _published[key]).table("edges")
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(node_key, name, kind)"""
     out = None

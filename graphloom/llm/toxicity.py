@@ -17,6 +17,7 @@ the share of toxic ones, or 0; an empty table gives an empty result. Extra colum
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +31,7 @@ from graphloom.llm.common import LOWER, binary, crc_mod, hashed, share_of, slice
 
 FIT_TOXIC, FIT_ORDINARY, FIT_WINDOWS = 2000, 5000, 300
 WINDOW, LEVEL, ROUNDS = 12, 12, 3
-ORDINARY_BYTES, HARD_BYTES, TOXIC_BYTES = 65536, 49152, (2048, 4096, 8192)
+ORDINARY_BYTES, HARD_BYTES, TOXIC_BYTES = 65536, 49152, (4096, 8192, 16384)
 THRESHOLDS = (2, 3, 4, 5, 7)
 
 #: ASCII letters (lower-cased) and digits stay, and so does all that is not ASCII.
@@ -39,12 +40,13 @@ _PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in LOWER)
 
 @dataclass
 class Model:
-    """Both dictionaries and the calibration; share is the score without a model."""
+    """Both dictionaries and the calibration; share is the score without a model, rates are of ordinary windows."""
 
     ordinary: bytes
     toxic: bytes
     weights: np.ndarray
     share: float
+    rates: np.ndarray
 
     def compressors(self):
         return _compressor(self.ordinary), _compressor(self.toxic + self.ordinary)
@@ -67,9 +69,12 @@ def distances(ws: list[bytes], ordinary, toxic) -> np.ndarray:
     return np.fromiter((len(a(w)) - len(b(w)) for w in ws), np.int64, len(ws))
 
 
-def features(d: np.ndarray) -> np.ndarray:
-    counts = [np.log1p((d >= t).sum()) for t in THRESHOLDS]
-    return np.array([1.0, np.log1p(len(d)), min(10, d.max(initial=0)) / 5, *counts])
+def features(d: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    """Counts of windows above each threshold, and how far each lies above what ordinary windows of that number give."""
+    n = (d[:, None] >= THRESHOLDS).sum(0) if len(d) else np.zeros(len(THRESHOLDS))
+    usual = rates * len(d)
+    over = (n - usual) / np.sqrt(usual + 0.5)
+    return np.array([1.0, np.log1p(len(d)), min(10, d.max(initial=0)) / 5, *np.log1p(n), *np.sign(over) * np.sqrt(np.abs(over))])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -95,7 +100,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, apart: np.ndarray) -> Model:
     """Dictionaries from the rows that are not apart, the calibration from those that are."""
     share = float(toxic.mean()) if len(toxic) else 0.0
     if not 0 < share < 1:
-        return Model(b"", b"", np.zeros(0), share)
+        return Model(b"", b"", np.zeros(0), share, np.zeros(0))
     ws = [windows(t, FIT_WINDOWS) for t in texts]
     if not (apart.any() and 0 < toxic[apart].mean() < 1 and 0 < toxic[~apart].mean() < 1):
         apart = np.zeros(len(toxic), bool)
@@ -106,8 +111,8 @@ def fit(texts: list[bytes], toxic: np.ndarray, apart: np.ndarray) -> Model:
     good = [good[i] for i in rng.permutation(len(good))[:60000]]
     base = _train(ORDINARY_BYTES, good)
     held = np.flatnonzero(apart) if apart.any() else learn
-    best = None
-    for size in TOXIC_BYTES:
+
+    def attempt(size: int) -> tuple[float, Model]:
         ordinary, extra = base, _train(size, bad)
         for _ in range(ROUNDS):
             a, b = _compressor(ordinary or b" "), _compressor((extra + ordinary) or b" ")
@@ -116,20 +121,23 @@ def fit(texts: list[bytes], toxic: np.ndarray, apart: np.ndarray) -> Model:
             ordinary = b"".join(hard)[:HARD_BYTES] + ordinary
             extra = _train(size, keep) or extra
         a, b = _compressor(ordinary or b" "), _compressor((extra + ordinary) or b" ")
-        x, y = np.array([features(distances(ws[i], a, b)) for i in held]), toxic[held].astype(float)
+        far, y = [distances(ws[i], a, b) for i in held], toxic[held].astype(float)
+        plain = np.concatenate([d for d, t in zip(far, y, strict=True) if not t] + [np.zeros(1, np.int64)])
+        rates = ((plain[:, None] >= THRESHOLDS).sum(0) + 0.5) / (len(plain) + 1)
+        x = np.array([features(d, rates) for d in far])
         w = _logistic(x, y)
-        p = 1 / (1 + np.exp(-(x @ w)))
-        loss = -np.mean(np.log(np.where(y > 0, p, 1 - p) + 1e-12))
-        if best is None or loss < best[0]:
-            best = loss, Model(ordinary or b" ", extra, w, share)
-    return best[1]
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        return -np.mean(np.log(np.where(y > 0, p, 1 - p) + 1e-12)), Model(ordinary or b" ", extra, w, share, rates)
+
+    with ThreadPoolExecutor(len(TOXIC_BYTES)) as pool:  # compression frees the interpreter
+        return min(pool.map(attempt, TOXIC_BYTES), key=lambda m: m[0])[1]
 
 
 def scores(model: Model, texts: list[bytes], pair=None) -> np.ndarray:
     if not len(model.weights):
         return np.full(len(texts), model.share)
     a, b = pair or model.compressors()
-    x = np.array([features(distances(windows(t), a, b)) for t in texts]).reshape(len(texts), -1)
+    x = np.array([features(distances(windows(t), a, b), model.rates) for t in texts]).reshape(len(texts), -1)
     return 1 / (1 + np.exp(-np.clip((x * model.weights).sum(1), -30, 30)))
 
 

@@ -22,6 +22,8 @@ _KEYWORDS = {
     "if", "for", "while", "switch", "catch", "return", "typeof", "new", "function", "class", "super", "await", "yield", "delete", "void", "in", "of", "instanceof", "do", "else", "case",
     "throw", "import", "export", "const", "let", "var", "default", "extends", "implements", "async", "static", "get", "set", "from", "as", "type", "interface", "enum", "this",
 }
+#: Words that are names where no declaration stands.
+_SOFT = {"get", "set", "from", "as", "type", "of", "static", "async", "interface", "enum"}
 
 
 @dataclass
@@ -326,7 +328,7 @@ class _Scan:
         i = 0
         while i < len(self.t):
             t = self.t[i]
-            if t.kind == "name" and self.text(i - 1) not in (".", "?.") and i not in self.declared and (t.text not in _KEYWORDS or t.text in ("this", "super")):
+            if t.kind == "name" and self.text(i - 1) not in (".", "?.") and i not in self.declared and (t.text not in _KEYWORDS or t.text in ("this", "super") or (t.text in _SOFT and self.text(i + 1) in ("(", ".", "?."))):
                 chain, k = self.chain(i)
                 name, receiver = chain[-1], ".".join(chain[:-1]) or None
                 if self.text(i - 1) == "<" and t.text[0].isupper() and self.text(i - 2) in ("(", "return", "=>", ">", "?", ":", "{", "&", "}", "=", "") :

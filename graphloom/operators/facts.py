@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators import extract_javascript, extract_python
+from graphloom.operators.settle import settle
 
 VERSION = 1
 _REF = "name: string, receiver: string, line: int"
@@ -53,6 +54,11 @@ def refreshed(files: DataFrame, previous: DataFrame | None) -> DataFrame:
     return kept.unionByName(extracted(files.join(kept.select("path"), "path", "left_anti")))
 
 
+def settle_facts(facts: DataFrame) -> DataFrame:
+    """Facts written once, so that no source is parsed twice in a build."""
+    return settle(facts)
+
+
 def rows_of(facts: DataFrame, column: str) -> DataFrame:
     """The structs of an array column as rows with their path and place."""
     return facts.select("path", F.posexplode(column).alias("place", "x")).select("path", "place", "x.*")

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import LOWER, Scratch, binary, grouped, runs, slices
 from graphloom.llm.components import components
+from graphloom.llm.exactdup import small
 
 WORDS, BANDS, ROWS, BITS = 5, 40, 4, 512
 SAMPLES = BANDS * ROWS
@@ -234,7 +235,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75) -> DataFrame:
     count = held.groupBy("component").agg(F.count("*").alias("size"))
     held = held.join(count, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cc"), "size")
     held = tmp.save(held.join(one.select("doc_id", "sketch"), "doc_id").dropDuplicates(["doc_id"]), "held")
-    sets = texts.join(held, "doc_id").mapInArrow(_sets, "doc_id long, cc long, size long, sketch binary, shingles binary")
+    sets = texts.join(small(held), "doc_id").mapInArrow(_sets, "doc_id long, cc long, size long, sketch binary, shingles binary")
     sets = tmp.save(sets, "sets")
     tmp.drop(one)
 
@@ -293,5 +294,6 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.75) -> DataFrame
 
     Rows without a doc_id stay.
     """
-    lost = near_duplicates(docs, similarity).where("NOT kept").select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(lost, docs["doc_id"].cast("long") == lost["__lost"], "left_anti")
+    tmp = Scratch(docs.sparkSession, "neardup")
+    lost = tmp.save(near_duplicates(docs, similarity).where("NOT kept").select(F.col("doc_id").alias("__lost")).distinct(), "lost")
+    return docs.join(small(lost), docs["doc_id"].cast("long") == lost["__lost"], "left_anti")

@@ -8,17 +8,24 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import Scratch
 
 
-def _large(e: DataFrame) -> DataFrame:
+def _least(e: DataFrame, scratch: Scratch) -> DataFrame:
+    """(u, m): each node's smallest neighbour. A table of its own, so that the join with it may split a hub's edges."""
+    return scratch.save(e.groupBy("u").agg(F.min("v").alias("m")), "least")
+
+
+def _large(e: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Each node's larger neighbours are tied to its smallest neighbour (itself included)."""
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = _least(both, scratch)
+    tied = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+    return tied.where("u <> v").distinct(), low
 
 
-def _small(e: DataFrame) -> DataFrame:
+def _small(e: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Each node and its smaller neighbours are tied to the smallest of them; edges come as u > v."""
-    low = e.groupBy("u").agg(F.min("v").alias("m"))
-    return e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
+    low = _least(e, scratch)
+    tied = e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
+    return tied.distinct(), low
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -33,9 +40,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     e = scratch.save(e, "edges")
     before = None
     while True:
-        new = scratch.save(_small(_large(e).where("u <> v").distinct()).distinct(), "edges")
-        scratch.drop(e)
-        e = new
+        for step in (_large, _small):
+            new, low = step(e, scratch)
+            new = scratch.save(new, "edges")
+            scratch.drop(e, low)
+            e = new
         # a sum of hashes tells whether anything moved; a star is a fixed point
         now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if now == before or not now[0]:

@@ -23,14 +23,19 @@ IMPORT_MAP, SAME_MODULE, INHERITED, UNIQUE, UNCERTAIN, SUFFIX, FUZZY = 0.95, 0.9
 SELF, TRANSPARENT = ("self", "cls", "this"), ("object", "Generic", "Protocol", "ABC")
 #: Method names that built-in types and the standard libraries define everywhere.
 COMMON_PYTHON = (
-    "keys values items get pop popitem setdefault update clear copy fromkeys append extend insert remove index count sort reverse add discard union intersection difference issubset issuperset "
-    "join split rsplit strip lstrip rstrip startswith endswith replace format encode decode lower upper find rfind splitlines partition title isdigit read write close open readline readlines flush seek tell "
-    "match search findall finditer sub subn compile group groups fullmatch put get_nowait put_nowait acquire release wait notify start stop run debug info warning warn error exception critical fatal log"
-).split()
+    "keys", "values", "items", "get", "pop", "popitem", "setdefault", "update", "clear", "copy", "fromkeys", "append", "extend", "insert", "remove",
+    "index", "count", "sort", "reverse", "add", "discard", "union", "intersection", "difference", "issubset", "issuperset", "join", "split", "rsplit",
+    "strip", "lstrip", "rstrip", "startswith", "endswith", "replace", "format", "encode", "decode", "lower", "upper", "find", "rfind", "splitlines",
+    "partition", "title", "isdigit", "read", "write", "close", "open", "readline", "readlines", "flush", "seek", "tell", "match", "search", "findall",
+    "finditer", "sub", "subn", "compile", "group", "groups", "fullmatch", "put", "get_nowait", "put_nowait", "acquire", "release", "wait", "notify",
+    "start", "stop", "run", "debug", "info", "warning", "warn", "error", "exception", "critical", "fatal", "log",
+)
 COMMON_JAVASCRIPT = (
-    "map filter reduce forEach find findIndex some every includes indexOf push pop shift unshift slice splice concat join split replace trim toString keys values entries then catch finally bind call apply "
-    "has get set add delete clear test exec match startsWith endsWith toLowerCase toUpperCase sort reverse flat flatMap fill assign parse stringify"
-).split()
+    "map", "filter", "reduce", "forEach", "find", "findIndex", "some", "every", "includes", "indexOf", "push", "pop", "shift", "unshift", "slice",
+    "splice", "concat", "join", "split", "replace", "trim", "toString", "keys", "values", "entries", "then", "catch", "finally", "bind", "call",
+    "apply", "has", "get", "set", "add", "delete", "clear", "test", "exec", "match", "startsWith", "endsWith", "toLowerCase", "toUpperCase", "sort",
+    "reverse", "flat", "flatMap", "fill", "assign", "parse", "stringify",
+)
 MOST_REEXPORTS = 9
 
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-FUSION, TOP = 60, 200
+from graphloom.functions.scalar import byte_prefix
+
+#: The constant of rank fusion, results of a list, bytes and chunks that are embedded at most.
+FUSION, TOP, INPUT_BYTES, MOST_CHUNKS = 60, 200, 6144, 4096
 
 
 def doubles(v: str) -> Column:
@@ -57,3 +63,36 @@ def fresh(vectors: DataFrame, current: DataFrame, key: list[str]) -> bool:
 def to_embed(chunks: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     """VC-3: chunks whose key has no stored vector."""
     return chunks.join(stored.select(key), key, "left_anti")
+
+
+def inputs(chunks: DataFrame, scopes: tuple[str, ...] = ("source", "doc")) -> DataFrame:
+    """VC-2: what is embedded of chunks (path, scope, start_line, end_line, heading, body): a text and its digest as the key.
+
+    More chunks than MOST_CHUNKS are an error of the caller, who decides what is left out; nothing is dropped here.
+    """
+    text = byte_prefix(F.concat_ws("\n", "path", F.expr("nullif(heading, '')"), "body"), F.lit(INPUT_BYTES))
+    return chunks.where(F.col("scope").isin(*scopes)).withColumn("input", text).withColumn("key", F.sha2(F.col("input").cast("binary"), 256))
+
+
+def embedded(rows: DataFrame, load: Callable[[], Callable[[list[str]], list[list[float]]]], size: int) -> DataFrame:
+    """VC-8: (key, vector) of inputs (key, input); load() is called once a Python worker and gives the encoder.
+
+    Vectors of another size, not finite or zero raise.
+    """
+
+    def fn(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = None
+        for part in parts:
+            if len(part):
+                encode = encode or load()
+                yield pd.DataFrame({"key": part["key"], "vector": encode(part["input"].tolist())})
+
+    return normalised(rows.select("key", "input").mapInPandas(fn, "key string, vector array<double>"), "vector", size)
+
+
+def refreshed(chunks: DataFrame, stored: DataFrame | None, load: Callable, size: int) -> DataFrame:
+    """VC-3: vectors of the chunks; those whose key is stored are taken from there, the rest is embedded."""
+    if stored is None:
+        return embedded(chunks, load, size)
+    kept = stored.join(chunks.select("key"), "key", "left_semi")
+    return kept.unionByName(embedded(to_embed(chunks, stored, "key"), load, size))

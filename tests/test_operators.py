@@ -226,3 +226,34 @@ def test_scalar_columns(spark):
     df = spark.createDataFrame([("getHTTPResponse_code2", "src/a.b/x.test.py", "ééé")], "n string, p string, t string")
     r = df.select(S.words("n").alias("w"), S.name_shape("n").alias("s"), S.suffix("p").alias("x"), S.stem("p").alias("m"), S.folder("p").alias("f"), S.ancestors("p").alias("a"), S.byte_prefix("t", F.lit(3)).alias("b"), S.name_shape(F.lit("get")).alias("none")).first()
     assert r.w == ["get", "http", "response", "code2"] and r.s == "get http response code 2|0|0" and (r.x, r.m, r.f) == (".py", "x.test", "src/a.b") and r.a == ["", "src", "src/a.b"] and r.b == "é" and r.none is None
+
+
+def test_embedding_reuses_stored_vectors(spark, tmp_path):
+    chunks = spark.createDataFrame([("a", "source", 1, 2, "", "red"), ("b", "doc", 1, 2, "H", "blue"), ("c", "config", 1, 2, "", "x")], "path string, scope string, start_line int, end_line int, heading string, body string")
+    rows = vector.inputs(chunks)
+    assert sorted(r.input for r in rows.collect()) == ["a\nred", "b\nH\nblue"]
+    load = lambda: lambda texts: [[float(len(t)), 1.0] for t in texts]
+    one = vector.refreshed(rows, None, load, 2)
+    one.write.parquet(f"{tmp_path}/v")
+    kept = spark.read.parquet(f"{tmp_path}/v")
+    more = vector.inputs(chunks.union(spark.createDataFrame([("d", "doc", 1, 1, "", "new")], chunks.schema)))
+    fail = lambda: lambda texts: [[1.0, 0.0] if t == "d\nnew" else [0.0, 0.0] for t in texts]
+    assert vector.refreshed(more, kept, fail, 2).count() == 3 and vector.to_embed(more, kept, "key").count() == 1
+    assert vector.fresh(kept, more, ["key"]) and not vector.fresh(kept, rows.limit(1), ["key"])
+
+
+def test_commands_parse(capsys, monkeypatch):
+    import io
+
+    from graphloom import __main__ as cli
+
+    a = cli.parser().parse_args(["--index", "i", "callers", "x", "--depth", "2"])
+    assert (a.command, a.name, a.depth, a.candidates) == ("callers", "x", 2, False)
+    monkeypatch.setattr("sys.stdin", io.StringIO("ok\na.ts(1): error TS1: x\n"))
+    assert cli.main(["reduce-output", "tsc", "2"]) == 0 and capsys.readouterr().out == "a.ts(1): error TS1: x\n"
+
+    class Fake:
+        def trace_path(self, s, t):
+            return {"path": f"{s} > {t}"}
+
+    assert cli.run(cli.parser().parse_args(["trace", "a", "b"]), Fake()) == {"path": "a > b"}

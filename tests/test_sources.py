@@ -128,3 +128,29 @@ def test_artifacts(spark, tmp_path):
 
 def test_reports_show_unknown(tmp_path):
     assert "unknown" in snapshot.markdown([{"a": None, "b": 0}], ["a", "b"], "t") and "&lt;b&gt;" in snapshot.dashboard([{"a": "<b>"}], ["a"], "t")
+
+
+def test_tail_holds_back_partial_lines_and_notices_another_file(spark, tmp_path):
+    from graphloom.sources.tail import TailDataSource, _Tail
+
+    f = tmp_path / "t.jsonl"
+    f.write_bytes(b'{"a": 1}\n{"a": 2}\n{"a"')
+    r = _Tail(str(f))
+    rows, one = r.read(r.initialOffset())
+    assert [v for _, _, v in rows] == ['{"a": 1}', '{"a": 2}'] and one["at"] == 18
+    f.write_bytes(f.read_bytes() + b": 3}\n")
+    rows, two = r.read(one)
+    assert list(rows) == [(0, 18, '{"a": 3}')] and list(r.readBetweenOffsets(one, two)) == [(0, 18, '{"a": 3}')]
+    assert list(r.read(two)[0]) == []
+    f.write_bytes(b"new\n")
+    rows, three = r.read(two)
+    assert list(rows) == [(1, 0, "new")] and three["epoch"] == 1
+
+    spark.dataSource.register(TailDataSource)
+    out = f"{tmp_path}/out"
+    for text in (b"x\ny\n", b"x\ny\nz\npart"):
+        f.write_bytes(text)
+        q = spark.readStream.format("tail").load(str(f)).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp").option("path", out).trigger(processingTime="1 second").start()
+        q.processAllAvailable()
+        q.stop()
+    assert sorted((r.seq, r.value) for r in spark.read.parquet(out).collect()) == [(0, "x"), (2, "y"), (4, "z")]

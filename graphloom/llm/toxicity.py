@@ -96,8 +96,11 @@ def _train(size: int, samples: list[bytes]) -> bytes:
         return b"".join(samples)[:size]
 
 
-def fit(texts: list[bytes], toxic: np.ndarray, apart: np.ndarray) -> Model:
-    """Dictionaries from the rows that are not apart, the calibration from those that are."""
+def fit(texts: list[bytes], toxic: np.ndarray, apart: np.ndarray, prior: float | None = None) -> Model:
+    """Dictionaries from the rows that are not apart, the calibration from those that are.
+
+    prior is the share of toxic rows where the sample comes from; the calibration's own share is corrected to it.
+    """
     share = float(toxic.mean()) if len(toxic) else 0.0
     if not 0 < share < 1:
         return Model(b"", b"", np.zeros(0), share, np.zeros(0))
@@ -126,8 +129,12 @@ def fit(texts: list[bytes], toxic: np.ndarray, apart: np.ndarray) -> Model:
         rates = ((plain[:, None] >= THRESHOLDS).sum(0) + 0.5) / (len(plain) + 1)
         x = np.array([features(d, rates) for d in far])
         w = _logistic(x, y)
+        if prior and 0 < prior < 1:
+            odds = lambda q: np.log(q / (1 - q))
+            w[0] += odds(prior) - odds(y.mean())
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        return -np.mean(np.log(np.where(y > 0, p, 1 - p) + 1e-12)), Model(ordinary or b" ", extra, w, share, rates)
+        weight = np.where(y > 0, (prior or y.mean()) / y.mean(), (1 - (prior or y.mean())) / (1 - y.mean()))
+        return -np.average(np.log(np.where(y > 0, p, 1 - p) + 1e-12), weights=weight), Model(ordinary or b" ", extra, w, share, rates)
 
     with ThreadPoolExecutor(len(TOXIC_BYTES)) as pool:  # compression frees the interpreter
         return min(pool.map(attempt, TOXIC_BYTES), key=lambda m: m[0])[1]
@@ -154,7 +161,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     rows = rows.groupBy("__id", "__toxic", "__h").agg(F.min("__text").alias("__text")).toPandas().sort_values("__h")
     toxic = rows["__toxic"].to_numpy(int) == 1
     apart = np.array([int(h[:8], 16) % 3 == 0 for h in rows["__h"]], bool)
-    return fit([t.encode() for t in rows["__text"]], toxic, apart)
+    return fit([t.encode() for t in rows["__text"]], toxic, apart, n.get(1, 0) / max(1, n.get(0, 0) + n.get(1, 0)))
 
 
 def score_column(model: Model):

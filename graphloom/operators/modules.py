@@ -6,7 +6,6 @@ import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalar import ancestors, folder, join_path, strip_jsonc
@@ -121,7 +120,3 @@ def containers(files: DataFrame) -> DataFrame:
     inner = up.where("a <> ''").select(folder("a").alias("source_key"), F.col("a").alias("target_key")).distinct()
     own = files.select(folder("path").alias("source_key"), F.col("path").alias("target_key"))
     return inner.union(own).where("source_key <> ''").withColumn("relation", F.lit("CONTAINS"))
-
-
-def nearest(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
-    return rows.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")

@@ -160,9 +160,6 @@ def impact_incoming(spark, sf_dir):
     return G.impact(star.published(spark, sf_dir), keys(spark, "supplier::3", "part::7"), star.nodes(spark, sf_dir), 3, scopes=("orders", "customer"))
 
 
-_SNAP = _EDGES.replace("FROM orders", "FROM orders WHERE o_orderdate < TIMESTAMP '{0}'")
-
-
 def _snapshot(spark, sf_dir, before: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").where(F.col("o_orderdate") < F.to_timestamp_ntz(F.lit(before)))
     return o.groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import exactdup, mixing, neardup, pieces, toxicity
 from graphloom.llm.common import Scratch, documents
+from graphloom.plans.ship import ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,6 +41,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs, tmp = documents(spark, sf_dir), Scratch(spark, "pipeline")
     for name, stage in STAGES:
         docs = tmp.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))

@@ -68,6 +68,15 @@ class Engine:
         old = self.store.table("files") if self.store.generation() else None
         return {**lookup.health(old, repo.scan(self.spark, root).select("path", "kind", "content_hash")), "crashed": self.store.crashed()}
 
+    def fresh(self, root: str, question, attempts: int = 2):
+        """SM-10: question(engine) on an index that stands for the tree before and after; tried again if it changed."""
+        for _ in range(attempts):
+            self.scan(root)
+            out = question(self)
+            if self.doctor(root)["state"] == "ready":
+                return out
+        raise RuntimeError("the tree keeps changing")
+
     # -- questions
 
     def _table(self, name: str) -> DataFrame:

@@ -144,3 +144,37 @@ def provenance(summary: DataFrame, inputs: DataFrame) -> DataFrame:
     """EV-27: inputs (name, text) whose digest is not the one that a summary (name, sha256) states."""
     now = inputs.select("name", F.sha2(F.col("text").cast("binary"), 256).alias("now"))
     return summary.join(now, "name", "left").where(~F.col("sha256").eqNullSafe(F.col("now"))).select("name")
+
+
+def call_sites(texts: DataFrame, key: str, text: str, name: str) -> DataFrame:
+    """TX-10: textual calls of a name, without lines that define it or are comments."""
+    lines = texts.select(key, F.explode(F.split(text, "\n")).alias("__line")).where(~F.col("__line").rlike(rf"^\s*(#|//|def\s+{name}\b|function\s+{name}\b)"))
+    return lines.groupBy(key).agg(F.sum(F.regexp_count("__line", F.lit(rf"\b{name}\("))).cast("long").alias("n"))
+
+
+def kpis(reports: DataFrame) -> DataFrame:
+    """LG-17: one row of totals; sums come with how many sessions they know."""
+    return reports.agg(F.count("*").alias("sessions"), F.sum("total_tokens").alias("total_tokens"), F.count("total_tokens").alias("sessions_with_usage"), F.sum("n_calls").alias("calls"), F.sum("n_failed").alias("failed"), F.round(F.avg("total_tokens"), 4).alias("mean_tokens"))
+
+
+def same_stem(seeds: DataFrame, files: DataFrame) -> DataFrame:
+    """GR-9: test files whose name is a seed's with test_ before or _test behind it: a heuristic, not an edge."""
+    from graphloom.functions.scalar import stem
+
+    bare = lambda c: F.regexp_replace(F.regexp_replace(stem(c), r"^test_", ""), r"(_test|\.test|\.spec)$", "")
+    s = seeds.select(F.col("path").alias("seed"), stem("path").alias("__k"))
+    t = files.where("kind = 'test'").select("path", bare("path").alias("__k"))
+    return s.join(t, "__k").where("seed <> path").select("seed", "path")
+
+
+def change_counts(old: DataFrame, new: DataFrame) -> DataFrame:
+    """AG-3: added, changed, unchanged, removed and all files of two manifests (path, content_hash, kind)."""
+    a, b = old.select("path", F.struct("content_hash", "kind").alias("o")), new.select("path", F.struct("content_hash", "kind").alias("n"))
+    both = a.join(b, "path", "full_outer")
+    return both.agg(F.count_if(F.col("o").isNull()).alias("added"), F.count_if(F.col("o").isNotNull() & F.col("n").isNotNull() & (F.col("o") != F.col("n"))).alias("changed"), F.count_if(F.col("o") == F.col("n")).alias("unchanged"), F.count_if(F.col("n").isNull()).alias("removed"), F.count("n").alias("total"))
+
+
+def folder_digest(contents: DataFrame) -> DataFrame:
+    """VC-7: one digest of files (path, content) in the order of their paths; digests are folded, not contents."""
+    each = contents.select("path", F.sha2("content", 256).alias("d"))
+    return each.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "d"))), lambda x: F.concat_ws(" ", x["path"], x["d"])), "\n").cast("binary"), 256).alias("digest"))

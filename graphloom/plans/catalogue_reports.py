@@ -152,3 +152,55 @@ def provenance_broken(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select(F.col("item_id").cast("string").alias("name"), "item_id", "text")
     stated = b.select("name", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
     return R.provenance(stated, b.withColumn("text", F.when(F.col("item_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))))
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, sum(len(regexp_extract_all(line, '\bthe ')))::BIGINT AS n FROM l WHERE NOT regexp_matches(line, '^\s*(#|//|def\s+the \b|function\s+the \b)') GROUP BY doc_id""".replace(r"\bthe '", r"\btoken\('").replace(r"def\s+the \b|function\s+the \b", r"def\s+token\b|function\s+token\b"))
+def call_site_counts(spark, sf_dir):
+    """TX-10: textual calls in documents."""
+    return R.call_sites(table(spark, sf_dir, "documents"), "doc_id", "text", "token")
+
+
+@query(f"""WITH {_TYPED}, a AS (SELECT session, arg_max(k, seq) AS total FROM t WHERE kind = 'usage' AND client = 'a' GROUP BY 1), b AS (SELECT session, sum(k) AS total FROM (SELECT session, m, max(k) AS k FROM t WHERE kind = 'usage' AND client = 'b' GROUP BY 1, 2) GROUP BY 1), u AS (SELECT * FROM a UNION ALL SELECT * FROM b),
+r AS (SELECT session, count(*) AS c, count(*) FILTER (NOT ok) AS f FROM (SELECT DISTINCT session, c FROM t WHERE kind = 'call') LEFT JOIN (SELECT session, c, max(ok) AS ok FROM t WHERE kind = 'result' GROUP BY 1, 2) USING (session, c) GROUP BY 1)
+SELECT (SELECT count(DISTINCT session) FROM t) AS sessions, (SELECT sum(total)::BIGINT FROM u) AS total_tokens, (SELECT count(total) FROM u) AS sessions_with_usage, (SELECT sum(c)::BIGINT FROM r) AS calls, (SELECT sum(f)::BIGINT FROM r) AS failed, (SELECT round(avg(total), 4) FROM u) AS mean_tokens""")
+def dashboard_kpis(spark, sf_dir):
+    """LG-17"""
+    return R.kpis(logs.session_reports(_typed(table(spark, sf_dir, "events"))))
+
+
+@query("""WITH o AS (SELECT event_id % 300 AS oid, user_id % 5 AS tool, event_type = 'purchase' AS done, event_id, CASE WHEN event_id % 4 <> 0 THEN (props ->> '$.k')::BIGINT END AS bytes, value FROM events WHERE event_type IN ('purchase', 'signup')),
+p AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY oid ORDER BY done DESC, event_id DESC) = 1)
+SELECT tool, count(*) AS requests, sum(bytes)::BIGINT AS response_bytes, count(bytes) AS response_bytes_known, median(value) AS median_ms FROM p GROUP BY tool""")
+def retrieval_evidence(spark, sf_dir):
+    """LG-13, AG-9, AG-12: one row an observation, sums with their known counts."""
+    e = table(spark, sf_dir, "events").where("event_type IN ('purchase', 'signup')")
+    k = F.get_json_object("props", "$.k").cast("long")
+    ledger = e.select(
+        (F.col("event_id") % 300).alias("observation_id"), (F.col("user_id") % 5).alias("tool"), F.when(F.col("event_type") == "purchase", "completed").otherwise("invoked").alias("phase"), F.col("event_id").alias("seq"),
+        F.when(F.col("event_id") % 4 != 0, k).alias("response_bytes"), F.lit(1).alias("result_count"), F.lit(False).alias("truncated"), F.col("value").alias("duration_ms"),
+    )
+    return logs.retrieval_evidence(ledger).select("tool", "requests", "response_bytes", "response_bytes_known", "median_ms")
+
+
+@query("SELECT count(*) FILTER (o.p_partkey IS NULL) AS added, count(*) FILTER (o.p_partkey IS NOT NULL AND n.p_partkey IS NOT NULL AND o.p_size <> n.s) AS changed, count(*) FILTER (o.p_size = n.s) AS unchanged, count(*) FILTER (n.p_partkey IS NULL) AS removed, count(n.p_partkey) AS total FROM (SELECT p_partkey, p_size FROM part WHERE p_partkey % 7 <> 0) o FULL JOIN (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN p_size + 1 ELSE p_size END AS s FROM part WHERE p_partkey % 11 <> 0) n USING (p_partkey)")
+def file_change_counts(spark, sf_dir):
+    """AG-3, JN-11"""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("path"), "p_size", F.lit("source").alias("kind"))
+    old = p.where("path % 7 <> 0").withColumn("content_hash", F.col("p_size"))
+    new = p.where("path % 11 <> 0").withColumn("content_hash", F.when(F.col("path") % 5 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")))
+    return R.change_counts(old, new)
+
+
+@query("SELECT 'src/m' || o.p_partkey || '.py' AS seed, 'tests/test_m' || n.s_suppkey || '.py' AS path FROM part o JOIN supplier n ON o.p_partkey = n.s_suppkey")
+def filename_heuristic(spark, sf_dir):
+    """GR-9: tests by the names of their files."""
+    s = table(spark, sf_dir, "part").select(F.concat(F.lit("src/m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"))
+    t = table(spark, sf_dir, "supplier").select(F.concat(F.lit("tests/test_m"), F.col("s_suppkey").cast("string"), F.lit(".py")).alias("path"), F.lit("test").alias("kind"))
+    return R.same_stem(s, t)
+
+
+@query("SELECT sha256(string_agg(item_id || ' ' || sha256(text), chr(10) ORDER BY item_id::VARCHAR)) AS digest FROM benchmark")
+def folder_digest(spark, sf_dir):
+    """VC-7"""
+    b = table(spark, sf_dir, "benchmark")
+    return R.folder_digest(b.select(F.col("item_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content")))

@@ -54,6 +54,9 @@ def test_rescan_is_incremental(engine, tree):
     assert out["rebuilt"] and out["changed"] == ["util.py"]
     assert {(r.node_key, r.change) for r in engine.changed(before).collect()} >= {("util.py::second", "added"), ("util.py::Bag", "removed")}
     assert any(r["node_key"] == "util.py::second" for r in engine.callers("only_here", 1).items)
+    assert engine.fresh(str(tree), lambda e: e.find_symbol("second").items[0]["name"]) == "second"
+    with pytest.raises(RuntimeError):
+        engine.fresh(str(tree), lambda e: (tree / "util.py").write_text((tree / "util.py").read_text() + "# more\n"))
 
 
 def test_artifacts_and_export(engine, tmp_path):

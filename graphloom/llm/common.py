@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -68,6 +70,14 @@ def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iter
         step = max(1, batch.num_rows * most_bytes // size)
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+    trim()
+
+
+def trim() -> None:
+    """Gives free memory back to the machine at the end of a task, as Python workers outlive it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -91,6 +101,7 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table
     if rest:
         whole = pa.Table.from_batches(rest)
         yield whole, bounds(whole.column(key).to_numpy())
+    trim()
 
 
 def bounds(keys: np.ndarray) -> np.ndarray:

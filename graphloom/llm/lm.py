@@ -255,6 +255,7 @@ def score(docs: DataFrame) -> DataFrame:
 
     shared = spark.sparkContext.broadcast(t)
     first = tmp.save(scored(rows, shared).withColumn("uid", F.monotonically_increasing_id()), "scored")
+    shared.destroy()
     rest = first.select("uid", F.explode("rest").alias("r")).select("uid", "r.word", "r.n").join(table, "word", "left")
     sums = spark.createDataFrame([(k, float(np.log10(n_class[k] + 0.5 * (k_class[k] + 1)))) for k in range(CLASSES)], "class int, low_class double")
     rest = rest.withColumn("class", class_column("word")).join(F.broadcast(sums), "class")

@@ -19,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from graphloom.llm.common import slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Units remembered by a process; units up to BATCH_BYTES long are searched together.
-REMEMBER, BATCH_BYTES, BATCH_ROWS = 400_000, 40, 8192
+REMEMBER, BATCH_BYTES, BATCH_ROWS = 200_000, 40, 4096
 
 
 @dataclass
@@ -46,10 +46,16 @@ class Vocabulary:
     byte_ids: np.ndarray
     byte_score: float
     longest: int
-    memory: dict = field(default_factory=dict, repr=False)
 
-    def __getstate__(self):
-        return {**self.__dict__, "memory": {}}
+
+#: The units of the last vocabulary that this process encoded with; one only, as workers outlive queries.
+_last: list = [None, {}]
+
+
+def remembered(v: Vocabulary) -> dict[bytes, bytes]:
+    if _last[0] is not v:
+        _last[:] = v, {}
+    return _last[1]
 
 
 def double_array(keys: list[bytes], values: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -221,14 +227,14 @@ _UNIT = re.compile(rb" *[^ \n]+| +|\n")
 
 def encode(v: Vocabulary, texts: list[bytes]) -> list[np.ndarray]:
     """Ids of each text."""
-    units = [_UNIT.findall(b" " + t) if t else [] for t in texts]
-    new = {u for x in units for u in x if u not in v.memory}
-    if len(v.memory) + len(new) > REMEMBER:
-        v.memory.clear()
+    units, memory = [_UNIT.findall(b" " + t) if t else [] for t in texts], remembered(v)
+    new = {u for x in units for u in x if u not in memory}
+    if len(memory) + len(new) > REMEMBER:
+        memory.clear()
         new = {u for x in units for u in x}
     new = list(new)
-    v.memory.update(zip(new, viterbi(v, new), strict=True))
-    get = v.memory.__getitem__
+    memory.update(zip(new, viterbi(v, new), strict=True))
+    get = memory.__getitem__
     return [np.frombuffer(b"".join(map(get, x)), np.int32) for x in units]
 
 
@@ -249,7 +255,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary | None = None, path: str = M
         v = shared.value
         is_byte = np.zeros(len(v.pieces), bool)
         is_byte[v.byte_ids] = True
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches, 2 << 20):
             raw = batch.column("text").cast(pa.binary()).to_pylist()
             ids = encode(v, [x or b"" for x in raw])
             null = np.array([x is None for x in raw], bool)

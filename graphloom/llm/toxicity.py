@@ -27,9 +27,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import LOWER, binary, crc_mod, hashed, share_of, slices
+from graphloom.llm.common import LOWER, binary, crc_mod, hashed, share_of, slices, trim
 
-FIT_TOXIC, FIT_ORDINARY, FIT_WINDOWS = 2000, 5000, 300
+FIT_TOXIC, FIT_ORDINARY, FIT_WINDOWS = 2000, 5000, 200
 WINDOW, LEVEL, ROUNDS = 12, 12, 3
 ORDINARY_BYTES, HARD_BYTES, TOXIC_BYTES = 65536, 49152, (4096, 8192, 16384)
 THRESHOLDS = (2, 3, 4, 5, 7)
@@ -100,11 +100,13 @@ def fit(texts: list[bytes], toxic: np.ndarray, apart: np.ndarray, prior: float |
     """Dictionaries from the rows that are not apart, the calibration from those that are.
 
     prior is the share of toxic rows where the sample comes from; the calibration's own share is corrected to it.
+    The texts are taken over: the list is empty afterwards.
     """
     share = float(toxic.mean()) if len(toxic) else 0.0
     if not 0 < share < 1:
         return Model(b"", b"", np.zeros(0), share, np.zeros(0))
     ws = [windows(t, FIT_WINDOWS) for t in texts]
+    texts.clear()  # the windows are all that is used
     if not (apart.any() and 0 < toxic[apart].mean() < 1 and 0 < toxic[~apart].mean() < 1):
         apart = np.zeros(len(toxic), bool)
     learn = np.flatnonzero(~apart)
@@ -161,7 +163,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     rows = rows.groupBy("__id", "__toxic", "__h").agg(F.min("__text").alias("__text")).toPandas().sort_values("__h")
     toxic = rows["__toxic"].to_numpy(int) == 1
     apart = np.array([int(h[:8], 16) % 3 == 0 for h in rows["__h"]], bool)
-    return fit([t.encode() for t in rows["__text"]], toxic, apart, n.get(1, 0) / max(1, n.get(0, 0) + n.get(1, 0)))
+    texts = [t.encode() for t in rows["__text"]]
+    del rows
+    trim()
+    model = fit(texts, toxic, apart, n.get(1, 0) / max(1, n.get(0, 0) + n.get(1, 0)))
+    trim()
+    return model
 
 
 def score_column(model: Model):

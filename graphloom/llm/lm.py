@@ -8,8 +8,11 @@ needs no sum over outcomes, while scoring normalises over all of them by batched
 then has its smoothed share of the class's counts, so the log probabilities are of a proper distribution over words.
 
 Counts of the KNOWN most frequent words at most travel to every task; a document's other words are summed up and
-joined with the counts table. The neural model learns from FIT_DOCS training documents at most, in the order of the
-md5 of their ids, and FIT_TOKENS tokens of them; everything else is of all documents.
+joined with the counts table. The neural model learns from all training tokens: it starts from FIT_TOKENS tokens at
+most of FIT_DOCS documents, in the order of the md5 of their ids, trained on the driver; where these are not all, it
+goes on in STEPS rounds. Each round takes the training documents of one value of their ids' hash, so that every one is
+in exactly one round; tasks sum the gradients of their documents' tokens, with the noise in expectation, and the
+driver changes the model by the sum.
 
 Nulls and edges: a null text counts as empty and has the end alone; a row whose doc_id is null is a training row;
 without training tokens every base probability is 1; repeated rows are rows of their own; an empty table gives an
@@ -32,6 +35,8 @@ from graphloom.llm.common import LOWER, Scratch, binary, crc_mod, hashed, share_
 
 WORDS, CLASSES, CONTEXT, DIM = 192, 64, 4, 16
 KNOWN, FIT_DOCS, FIT_TOKENS, NOISE, PASSES = 200_000, 2000, 400_000, 12, 4
+#: Rounds over the whole corpus, and the most that the first of them changes a parameter by.
+STEPS, RATE = 48, 0.06
 #: Distinct words that a task holds before it hands their counts on.
 HOLD = 200_000
 OUT = WORDS + CLASSES
@@ -146,6 +151,94 @@ def train(ids: np.ndarray, at: np.ndarray, share: np.ndarray, seed: int = 3) ->
     return m
 
 
+def gradient(m: Model, ids: np.ndarray, at: np.ndarray, share: np.ndarray) -> list[np.ndarray]:
+    """Sums over the outcomes of the gradients of q, b, r and w; every outcome is noise with its expected number."""
+    expected = (NOISE * share).astype(np.float32)
+    shift, own, n = m.b - np.log(expected), m.r[ids], len(ids)
+    inside = [(at[j:] >= j)[:, None] for j in range(1, CONTEXT + 1)]
+    none = [float((at < j).sum()) for j in range(1, CONTEXT + 1)]
+    h = np.zeros((n, DIM), np.float32)
+    for j, (fits, w) in enumerate(zip(inside, m.w, strict=True), 1):
+        h[:j] += m.r[OUT] * w
+        h[j:] += np.where(fits, own[:-j], m.r[OUT]) * w
+    gq, gb, dh = np.zeros(m.q.shape), np.zeros(m.b.shape), np.empty_like(h)
+    for a in range(0, n, 512):
+        z = min(n, a + 512)
+        s = h[a:z] @ -m.q.T
+        s -= shift
+        np.exp(s, out=s)
+        s += 1
+        np.divide(-expected, s, out=s)  # less the expected number as noise times the chance to be data
+        cell = np.arange(z - a), ids[a:z]
+        s[cell] += 1 + s[cell] / expected[ids[a:z]]
+        dh[a:z] = s @ m.q
+        gq += s.T @ h[a:z]
+        gb += s.sum(0)
+    # what each token's vector gets from the outcomes after it in its text
+    back, gw = np.zeros_like(h), np.zeros(m.w.shape)
+    gr = np.zeros(m.r.shape)
+    for j, (fits, w) in enumerate(zip(inside, m.w, strict=True), 1):
+        later = dh[j:] * fits
+        back[: n - j if n > j else 0] += later * w
+        outer = dh.sum(0, dtype=np.float64) - later.sum(0, dtype=np.float64) if none[j - 1] else 0.0
+        gw[j - 1] = (later * own[:-j]).sum(0, dtype=np.float64) + outer * m.r[OUT]
+        gr[OUT] += outer * w
+    for d in range(DIM):
+        gr[:, d] += np.bincount(ids, back[:, d], OUT + 1)
+    return [gq, gb, gr, gw]
+
+
+class Steps:
+    """Changes of a model by sums of gradients: moments by Adam, and a rate that falls to nothing."""
+
+    def __init__(self, m: Model, rounds: int):
+        self.m, self.rounds, self.n = m, rounds, 0
+        self.mean, self.square = [[np.zeros(x.shape) for x in (m.q, m.b, m.r, m.w)] for _ in range(2)]
+
+    def take(self, grads: list[np.ndarray]) -> None:
+        """grads are means over the round's tokens."""
+        rate = RATE * (1 - self.n / self.rounds)
+        self.n += 1
+        for p, g, a, b in zip((self.m.q, self.m.b, self.m.r, self.m.w), grads, self.mean, self.square, strict=True):
+            a += 0.2 * (g - a)
+            b += 0.05 * (g * g - b)
+            p += (rate * a / (1 - 0.8**self.n) / (np.sqrt(b / (1 - 0.95**self.n)) + 1e-6)).astype(np.float32)
+
+
+def places(sizes: np.ndarray) -> np.ndarray:
+    """Place of each token in its text."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def learn_all(m: Model, prepared: DataFrame, share: np.ndarray, rounds: int) -> None:
+    """Rounds over the outcomes of all training documents."""
+    steps = Steps(m, rounds)
+    for k in range(rounds):
+        shared = prepared.sparkSession.sparkContext.broadcast(m)
+
+        def fn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            total, n = None, 0
+            for batch in slices(batches, 1 << 18):
+                texts = binary(batch, "ids")
+                ids = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
+                g = gradient(shared.value, ids, places(np.array([len(x) for x in texts], np.int64)), share)
+                total = g if total is None else [x + y for x, y in zip(total, g, strict=True)]
+                n += len(ids)
+            if n:
+                flat = np.concatenate([x.ravel() for x in total])
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["n", "g"])
+
+        parts = prepared.where((F.col("round") == k) & ~F.col("held_out")).select("ids").mapInArrow(fn, "n long, g binary").collect()
+        shared.destroy()
+        n = sum(r["n"] for r in parts)
+        if not n:
+            continue
+        flat = np.sum([np.frombuffer(r["g"]) for r in sorted(parts, key=lambda r: bytes(r["g"]))], axis=0) / n
+        shapes = [x.shape for x in (m.q, m.b, m.r, m.w)]
+        cuts = np.cumsum([int(np.prod(x)) for x in shapes])[:-1]
+        steps.take([x.reshape(shape) for x, shape in zip(np.split(flat, cuts), shapes, strict=True)])
+
+
 @dataclass
 class Tables:
     """What every task needs: the known words with outcome, logs of base and of share in the class."""
@@ -154,7 +247,6 @@ class Tables:
     outcome: np.ndarray
     base: np.ndarray
     share: np.ndarray
-    model: Model
 
 
 def _outcomes(t: Tables, words: list[bytes], memory: dict) -> np.ndarray:
@@ -172,11 +264,11 @@ def _outcomes(t: Tables, words: list[bytes], memory: dict) -> np.ndarray:
     return place
 
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<struct<word: string, n: long>>"
+PREPARED = "doc_id long, held_out boolean, round int, n_tokens long, n_known long, base double, inside double, ids binary, rest array<struct<word: string, n: long>>"
 
 
-def scored(docs: DataFrame, shared) -> DataFrame:
-    """Sums over the known words of each text, and its other words with their numbers."""
+def prepared(docs: DataFrame, shared) -> DataFrame:
+    """Sums over the known words of each text, the outcomes of its tokens as bytes, and its other words with their numbers."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, memory = shared.value, {}
@@ -188,8 +280,8 @@ def scored(docs: DataFrame, shared) -> DataFrame:
             place = _outcomes(t, words, memory)
             known = place >= 0
             ids = np.where(known, t.outcome[np.maximum(place, 0)], WORDS - 1 - place).astype(np.int64)
-            at = np.arange(len(ids)) - np.repeat(starts[:-1], sizes)
-            score = t.model.log10(ids, at) + np.where(known, t.share[np.maximum(place, 0)], 0.0)
+            flat = ids.astype(np.uint8).tobytes()
+            inside = np.where(known, t.share[np.maximum(place, 0)], 0.0)
             base = np.where(known, t.base[np.maximum(place, 0)], 0.0)
             add = lambda x: np.add.reduceat(x, starts[:-1]) if len(sizes) else np.empty(0, x.dtype)
             rest, ends = Counter(), [0]
@@ -202,16 +294,38 @@ def scored(docs: DataFrame, shared) -> DataFrame:
                 flat_n += rest.values()
                 ends.append(len(flat_words))
             pair = pa.StructArray.from_arrays([pa.array(flat_words, pa.binary()).cast(pa.string()), pa.array(flat_n, pa.int64())], ["word", "n"])
-            cols = [batch.column("doc_id"), batch.column("held_out"), pa.array(sizes), pa.array(add(known.astype(np.int64))), pa.array(add(base)), pa.array(add(score)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pair)]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rest"])
+            outcomes = pa.array([flat[a:z] for a, z in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)], pa.binary())
+            own = [batch.column(x) for x in ("doc_id", "held_out", "round")]
+            cols = [*own, pa.array(sizes), pa.array(add(known.astype(np.int64))), pa.array(add(base)), pa.array(add(inside)), outcomes, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pair)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "round", "n_tokens", "n_known", "base", "inside", "ids", "rest"])
+
+    return docs.select("doc_id", "held_out", "round", "text").mapInArrow(fn, PREPARED)
+
+
+SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+
+
+def scored(first: DataFrame, shared) -> DataFrame:
+    """The model's log probability of each text's outcomes, with the words' shares in them."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in slices(batches, 1 << 20):
+            texts = binary(batch, "ids")
+            sizes = np.array([len(x) for x in texts], np.int64)
+            got = m.log10(np.frombuffer(b"".join(texts), np.uint8).astype(np.int64), places(sizes))
+            score = np.add.reduceat(got, np.cumsum(sizes) - sizes) + batch.column("inside").to_numpy() if len(sizes) else np.empty(0)
+            names = [x.split()[0] for x in SCORED.split(", ")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names[:-1]), pa.array(score)], names)
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(fn, SCORED)
+    return first.select("uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "inside", "ids").mapInArrow(fn, SCORED)
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs."""
     spark, tmp = docs.sparkSession, Scratch(docs.sparkSession, "lm")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", F.coalesce(crc_mod("doc_id", 5) == 1, F.lit(False)))
+    rows = rows.withColumn("round", (F.conv(F.substring(hashed("doc_id"), 9, 7), 16, 10).cast("long") % STEPS).cast("int"))
     learn = rows.where("NOT held_out")
     table = tmp.save(counts(learn), "counts")
     total, kinds = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -235,7 +349,7 @@ def score(docs: DataFrame) -> DataFrame:
     np.add.at(noise, outcome[outcome < WORDS], c[outcome[: len(c)] < WORDS] if len(c) else 0.0)
     noise[WORDS:] += n_class
     low = np.log10(total + 0.5 * (kinds + 1))
-    t = Tables({w: i for i, w in enumerate(words)}, outcome, np.log10(np.r_[c, 0.0][: max(1, len(c))] + 0.5) - low, np.where(outcome < WORDS, 0.0, inside), None)
+    t = Tables({w: i for i, w in enumerate(words)}, outcome, np.log10(np.r_[c, 0.0][: max(1, len(c))] + 0.5) - low, np.where(outcome < WORDS, 0.0, inside))
 
     # the number of texts is that of ends; a threshold on the hash keeps what tasks send near FIT_DOCS in all
     n_train = int(c[words.index(END)]) if END in words else 0
@@ -251,16 +365,20 @@ def score(docs: DataFrame) -> DataFrame:
         place = _outcomes(t, ws, memory)
         ids.append(np.where(place >= 0, outcome[np.maximum(place, 0)], WORDS - 1 - place))
         at.append(np.arange(len(ws)))
-    t.model = train(np.concatenate(ids), np.concatenate(at), noise / noise.sum())
+    ids, at, noise = np.concatenate(ids), np.concatenate(at), noise / noise.sum()
+    m = train(ids, at, noise)
 
     shared = spark.sparkContext.broadcast(t)
-    first = tmp.save(scored(rows, shared).withColumn("uid", F.monotonically_increasing_id()), "scored")
+    first = tmp.save(prepared(rows, shared).withColumn("uid", F.monotonically_increasing_id()), "prepared")
     shared.destroy()
+    if len(ids) < total:
+        learn_all(m, first, noise, STEPS)
+    neural = scored(first, spark.sparkContext.broadcast(m))
     rest = first.select("uid", F.explode("rest").alias("r")).select("uid", "r.word", "r.n").join(table, "word", "left")
     sums = spark.createDataFrame([(k, float(np.log10(n_class[k] + 0.5 * (k_class[k] + 1)))) for k in range(CLASSES)], "class int, low_class double")
     rest = rest.withColumn("class", class_column("word")).join(F.broadcast(sums), "class")
     up = F.log10(F.coalesce("c", F.lit(0)) + 0.5)
     rest = rest.groupBy("uid").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * (up - F.lit(float(low)))).alias("more_base"), F.sum(F.col("n") * (up - F.col("low_class"))).alias("more_score"))
-    out = first.drop("rest").join(rest, "uid", "left")
+    out = neural.join(rest, "uid", "left")
     plus = lambda a, b, zero: (F.col(a) + F.coalesce(b, F.lit(zero))).alias
     return out.select("doc_id", "held_out", "n_tokens", plus("n_known", "more", 0)("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), plus("base", "more_base", 0.0)("base_score"), plus("score", "more_score", 0.0)("score"))

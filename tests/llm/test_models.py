@@ -124,6 +124,51 @@ def test_noise_contrastive_training_learns_what_follows():
     assert m.log10(ids[-3000:], np.arange(3000)).mean() > np.log10(1 / 7) + 0.25
 
 
+def test_lm_learns_from_all_training_documents(frame, monkeypatch):
+    """Where the driver's start has next to nothing, the rounds over all documents find what follows what."""
+    rng, rows = random.Random(4), []
+    for i in range(400):
+        at, ws = rng.randrange(7), []
+        for _ in range(60):
+            at = (at * 3 + 1) % 7 if rng.random() < 0.9 else rng.randrange(7)
+            ws.append(f"w{at}")
+        rows.append((i, " ".join(ws), "s"))
+    monkeypatch.setattr(lm, "FIT_TOKENS", 50)
+    a = {r.doc_id: r for r in lm.score(frame(rows).repartition(7)).collect()}
+    held = [r for r in a.values() if r.held_out]
+    assert sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held) > 0.25
+    b = {r.doc_id: r for r in lm.score(frame(rows[::-1]).coalesce(1)).collect()}
+    assert np.allclose([a[i].score for i in range(400)], [b[i].score for i in range(400)], rtol=1e-4)
+
+
+def test_gradient_is_that_of_every_token():
+    """Batches of texts sum to what each text gives on its own, and the differences to those of the objective."""
+    rng = np.random.default_rng(2)
+    sizes = np.array([1, 3, 700, 2])
+    ids, at = rng.integers(0, lm.OUT, sizes.sum()), lm.places(sizes)
+    share = np.full(lm.OUT, 1 / lm.OUT)
+    m = lm.train(rng.integers(0, lm.OUT, 3000), np.arange(3000) % 50, share)
+    whole, ends = lm.gradient(m, ids, at, share), np.cumsum(sizes)
+    parts = [lm.gradient(m, ids[z - n : z], at[z - n : z], share) for n, z in zip(sizes, ends, strict=True)]
+    for k, x in enumerate(whole):
+        assert np.allclose(x, sum(p[k] for p in parts), atol=1e-4)
+
+    def objective():
+        s = lm.Model.hidden(m, ids, at, 0, len(ids)).astype(float) @ m.q.T + m.b - np.log(lm.NOISE * share)
+        chance = 1 / (1 + np.exp(-s))
+        return np.log(chance[np.arange(len(ids)), ids]).sum() + (lm.NOISE * share * np.log(1 - chance)).sum()
+
+    for p, g in zip((m.q, m.b, m.r, m.w), whole, strict=True):
+        at_most = np.unravel_index(np.abs(g).argmax(), g.shape)
+        old = p[at_most]
+        p[at_most] = old + 1e-3
+        up, high = objective(), p[at_most]
+        p[at_most] = old - 1e-3
+        slope = (up - objective()) / float(high - p[at_most])
+        p[at_most] = old
+        assert abs(slope - g[at_most]) < 0.02 * abs(slope) + 1e-2
+
+
 # -- pieces
 
 

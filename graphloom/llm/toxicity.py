@@ -6,8 +6,9 @@ that the toxic dictionary saves are a window's distance. Dictionaries are traine
 that the toxic dictionary shortens go into the ordinary one, toxic windows that it does not shorten are left out.
 Thresholded counts of a document's windows are calibrated into a probability on labelled rows kept apart.
 
-Learning reads at most FIT_TOXIC + FIT_ORDINARY labelled documents in the order of the md5 of their ids, and
-FIT_WINDOWS windows of each; scoring reads whole texts.
+Learning reads at most FIT_TOXIC + FIT_ORDINARY labelled documents in the order of the md5 of their ids. Dictionaries
+are trained on FIT_WINDOWS windows of each, drawn by hash from the whole text; the calibration takes whole texts, whose
+windows are counted in tasks, and so does scoring.
 
 Nulls and edges: a null text counts as empty; empty texts have the score of a text without hits; labels of null
 toxic or doc_id are ignored, and of repeated labels the larger counts; without labels of both kinds every score is
@@ -16,6 +17,7 @@ the share of toxic ones, or 0; an empty table gives an empty result. Extra colum
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -27,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import LOWER, binary, crc_mod, hashed, share_of, slices, trim
+from graphloom.llm.common import LOWER, Scratch, binary, crc_mod, hashed, share_of, slices, trim
 
 FIT_TOXIC, FIT_ORDINARY, FIT_WINDOWS = 2000, 5000, 200
 WINDOW, LEVEL, ROUNDS = 12, 12, 3
@@ -52,9 +54,18 @@ class Model:
         return _compressor(self.ordinary), _compressor(self.toxic + self.ordinary)
 
 
-def windows(text: bytes, most: int | None = None) -> list[bytes]:
+def windows(text: bytes) -> list[bytes]:
     ws = text.translate(_PLAIN).split()
-    return [b" %b " % b" ".join(ws[i : i + WINDOW]) for i in range(0, len(ws), WINDOW)][:most]
+    return [b" %b " % b" ".join(ws[i : i + WINDOW]) for i in range(0, len(ws), WINDOW)]
+
+
+def drawn(text: bytes, key: bytes, most: int) -> list[bytes]:
+    """At most so many windows of the whole text, by the hash of the text's key and their place."""
+    ws = windows(text)
+    if len(ws) <= most:
+        return ws
+    seed = zlib.crc32(key)
+    return [ws[i] for i in sorted(sorted(range(len(ws)), key=lambda i: zlib.crc32(b"%d" % i, seed))[:most])]
 
 
 def _compressor(raw: bytes) -> zstandard.ZstdCompressor:
@@ -69,12 +80,16 @@ def distances(ws: list[bytes], ordinary, toxic) -> np.ndarray:
     return np.fromiter((len(a(w)) - len(b(w)) for w in ws), np.int64, len(ws))
 
 
-def features(d: np.ndarray, rates: np.ndarray) -> np.ndarray:
+def summary(d: np.ndarray) -> np.ndarray:
+    """What a text's distances are known by: their number, the largest, and the numbers above each threshold."""
+    return np.array([len(d), d.max(initial=0), *((d[:, None] >= THRESHOLDS).sum(0) if len(d) else np.zeros(len(THRESHOLDS)))], float)
+
+
+def features(s: np.ndarray, rates: np.ndarray) -> np.ndarray:
     """Counts of windows above each threshold, and how far each lies above what ordinary windows of that number give."""
-    n = (d[:, None] >= THRESHOLDS).sum(0) if len(d) else np.zeros(len(THRESHOLDS))
-    usual = rates * len(d)
+    n, usual = s[2:], rates * s[0]
     over = (n - usual) / np.sqrt(usual + 0.5)
-    return np.array([1.0, np.log1p(len(d)), min(10, d.max(initial=0)) / 5, *np.log1p(n), *np.sign(over) * np.sqrt(np.abs(over))])
+    return np.array([1.0, np.log1p(s[0]), min(10, s[1]) / 5, *np.log1p(n), *np.sign(over) * np.sqrt(np.abs(over))])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -96,28 +111,13 @@ def _train(size: int, samples: list[bytes]) -> bytes:
         return b"".join(samples)[:size]
 
 
-def fit(texts: list[bytes], toxic: np.ndarray, apart: np.ndarray, prior: float | None = None) -> Model:
-    """Dictionaries from the rows that are not apart, the calibration from those that are.
-
-    prior is the share of toxic rows where the sample comes from; the calibration's own share is corrected to it.
-    The texts are taken over: the list is empty afterwards.
-    """
-    share = float(toxic.mean()) if len(toxic) else 0.0
-    if not 0 < share < 1:
-        return Model(b"", b"", np.zeros(0), share, np.zeros(0))
-    ws = [windows(t, FIT_WINDOWS) for t in texts]
-    texts.clear()  # the windows are all that is used
-    if not (apart.any() and 0 < toxic[apart].mean() < 1 and 0 < toxic[~apart].mean() < 1):
-        apart = np.zeros(len(toxic), bool)
-    learn = np.flatnonzero(~apart)
-    bad = [w for i in learn if toxic[i] for w in ws[i]]
-    good = [w for i in learn if not toxic[i] for w in ws[i]]
+def dictionaries(good: list[bytes], bad: list[bytes]) -> list[tuple[bytes, bytes]]:
+    """Pairs of an ordinary and a toxic dictionary, one for each of TOXIC_BYTES."""
     rng = np.random.default_rng(5)
     good = [good[i] for i in rng.permutation(len(good))[:60000]]
     base = _train(ORDINARY_BYTES, good)
-    held = np.flatnonzero(apart) if apart.any() else learn
 
-    def attempt(size: int) -> tuple[float, Model]:
+    def attempt(size: int) -> tuple[bytes, bytes]:
         ordinary, extra = base, _train(size, bad)
         for _ in range(ROUNDS):
             a, b = _compressor(ordinary or b" "), _compressor((extra + ordinary) or b" ")
@@ -125,28 +125,57 @@ def fit(texts: list[bytes], toxic: np.ndarray, apart: np.ndarray, prior: float |
             keep = [w for w, d in zip(bad, distances(bad, a, b), strict=True) if d >= 3]
             ordinary = b"".join(hard)[:HARD_BYTES] + ordinary
             extra = _train(size, keep) or extra
-        a, b = _compressor(ordinary or b" "), _compressor((extra + ordinary) or b" ")
-        far, y = [distances(ws[i], a, b) for i in held], toxic[held].astype(float)
-        plain = np.concatenate([d for d, t in zip(far, y, strict=True) if not t] + [np.zeros(1, np.int64)])
-        rates = ((plain[:, None] >= THRESHOLDS).sum(0) + 0.5) / (len(plain) + 1)
-        x = np.array([features(d, rates) for d in far])
-        w = _logistic(x, y)
-        if prior and 0 < prior < 1:
-            odds = lambda q: np.log(q / (1 - q))
-            w[0] += odds(prior) - odds(y.mean())
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        weight = np.where(y > 0, (prior or y.mean()) / y.mean(), (1 - (prior or y.mean())) / (1 - y.mean()))
-        return -np.average(np.log(np.where(y > 0, p, 1 - p) + 1e-12), weights=weight), Model(ordinary or b" ", extra, w, share, rates)
+        return ordinary or b" ", extra
 
     with ThreadPoolExecutor(len(TOXIC_BYTES)) as pool:  # compression frees the interpreter
-        return min(pool.map(attempt, TOXIC_BYTES), key=lambda m: m[0])[1]
+        return list(pool.map(attempt, TOXIC_BYTES))
+
+
+def calibrated(pair: tuple[bytes, bytes], far: np.ndarray, y: np.ndarray, share: float, prior: float) -> tuple[float, Model]:
+    """The loss and the model of a pair of dictionaries, by the summaries of rows; prior is the share of toxic rows where they come from."""
+    plain = far[y == 0]
+    rates = (plain[:, 2:].sum(0) + 0.5) / (plain[:, 0].sum() + 2)
+    x = np.array([features(d, rates) for d in far])
+    w = _logistic(x, y)
+    if prior and 0 < prior < 1:
+        odds = lambda q: np.log(q / (1 - q))
+        w[0] += odds(prior) - odds(y.mean())
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    weight = np.where(y > 0, (prior or y.mean()) / y.mean(), (1 - (prior or y.mean())) / (1 - y.mean()))
+    return -np.average(np.log(np.where(y > 0, p, 1 - p) + 1e-12), weights=weight), Model(*pair, w, share, rates)
+
+
+def summaries(rows: DataFrame, pairs: list[tuple[bytes, bytes]]) -> DataFrame:
+    """(__h, __toxic, far) of whole texts: their summaries under each pair of dictionaries, one after another."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = [(_compressor(a), _compressor(b + a)) for a, b in pairs]
+        for batch in slices(batches):
+            out = []
+            for text in binary(batch, "__text"):
+                ws = windows(text)
+                out.append(np.concatenate([summary(distances(ws, *x)) for x in both]))
+            yield pa.RecordBatch.from_arrays([batch.column("__h"), batch.column("__toxic").cast(pa.int64()), pa.array(out, pa.list_(pa.float64()))], ["__h", "__toxic", "far"])
+
+    return rows.select("__h", "__toxic", "__text").mapInArrow(fn, "__h string, __toxic long, far array<double>")
+
+
+def sampled(rows: DataFrame) -> DataFrame:
+    """(__h, __toxic, ws) of texts: the windows that dictionaries are trained on."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            ws = [drawn(t, k, FIT_WINDOWS) for t, k in zip(binary(batch, "__text"), binary(batch, "__h"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("__h"), batch.column("__toxic").cast(pa.int64()), pa.array(ws, pa.list_(pa.binary()))], ["__h", "__toxic", "ws"])
+
+    return rows.select("__h", "__toxic", "__text").mapInArrow(fn, "__h string, __toxic long, ws array<binary>")
 
 
 def scores(model: Model, texts: list[bytes], pair=None) -> np.ndarray:
     if not len(model.weights):
         return np.full(len(texts), model.share)
     a, b = pair or model.compressors()
-    x = np.array([features(distances(windows(t), a, b), model.rates) for t in texts]).reshape(len(texts), -1)
+    x = np.array([features(summary(distances(windows(t), a, b)), model.rates) for t in texts]).reshape(len(texts), -1)
     return 1 / (1 + np.exp(-np.clip((x * model.weights).sum(1), -30, 30)))
 
 
@@ -160,15 +189,26 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     picked = few(1, FIT_TOXIC).union(few(0, FIT_ORDINARY))
     rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.coalesce("text", F.lit("")).alias("__text")).join(F.broadcast(picked), "__id")
     # of rows that repeat a doc_id the least text counts, so that the order of rows is no matter
-    rows = rows.groupBy("__id", "__toxic", "__h").agg(F.min("__text").alias("__text")).toPandas().sort_values("__h")
-    toxic = rows["__toxic"].to_numpy(int) == 1
-    apart = np.array([int(h[:8], 16) % 3 == 0 for h in rows["__h"]], bool)
-    texts = [t.encode() for t in rows["__text"]]
-    del rows
-    trim()
-    model = fit(texts, toxic, apart, n.get(1, 0) / max(1, n.get(0, 0) + n.get(1, 0)))
+    rows = rows.groupBy("__id", "__toxic", "__h").agg(F.min("__text").alias("__text"))
+    rows = Scratch(docs.sparkSession, "toxicity").save(rows.withColumn("__apart", F.conv(F.substring("__h", 1, 8), 16, 10).cast("long") % 3 == 0), "sample")
+    kinds = {(r["__apart"], r["__toxic"]): r["n"] for r in rows.groupBy("__apart", (F.col("__toxic") == 1).alias("__toxic")).agg(F.count("*").alias("n")).collect()}
+    total = sum(kinds.values())
+    share = sum(k for (_, bad), k in kinds.items() if bad) / max(1, total)
+    if not 0 < share < 1:
+        return Model(b"", b"", np.zeros(0), share, np.zeros(0))
+    # dictionaries from the rows that are not apart, the calibration from those that are, if both have both kinds
+    two = len(kinds) == 4
+    got = sampled(rows.where(~F.col("__apart")) if two else rows).toPandas().sort_values("__h")
+    good, bad = ([bytes(w) for ws in got["ws"][(got["__toxic"] == 1) == kind] for w in ws] for kind in (False, True))
+    del got
+    pairs = dictionaries(good, bad)
+    del good, bad
     trim()
-    return model
+    held = summaries(rows.where("__apart") if two else rows, pairs).toPandas().sort_values("__h")
+    y = (held["__toxic"] == 1).to_numpy(float)
+    far = np.array(held["far"].tolist()).reshape(len(held), len(pairs), -1)
+    prior = n.get(1, 0) / max(1, n.get(0, 0) + n.get(1, 0))
+    return min((calibrated(pair, far[:, i], y, share, prior) for i, pair in enumerate(pairs)), key=lambda m: m[0])[1]
 
 
 def score_column(model: Model):

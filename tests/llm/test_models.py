@@ -62,6 +62,21 @@ def test_labels_of_held_out_rows_do_not_matter(frame, spark):
     assert {(r.doc_id, r.score) for r in toxicity.toxicity(docs, a).collect()} == {(r.doc_id, r.score) for r in toxicity.toxicity(docs, b).collect()}
 
 
+def test_toxicity_learns_from_whole_texts(frame, spark, monkeypatch):
+    """Toxic passages at the end of labelled texts, behind more windows than a dictionary takes of each."""
+    rng = random.Random(3)
+    rows = [(i, f"{' '.join(rng.choice(['abcd', 'efgh', 'ijkl', 'mnop', 'dcba', 'hgfe']) for _ in range(240))} {t}", s, y) for i, t, s, y in toxic_corpus(400)]
+    monkeypatch.setattr(toxicity, "FIT_WINDOWS", 15)
+    docs = frame([r[:3] for r in rows])
+    labels = spark.createDataFrame([(i, 1, y) for i, _, _, y in rows], "doc_id long, quality int, toxic int")
+    truth = {i: y for i, _, _, y in rows}
+    held = [r for r in toxicity.toxicity(docs, labels).collect() if r.held_out]
+    assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.9
+    text = " ".join(f"w{i}" for i in range(12000)).encode()
+    ws = toxicity.drawn(text, b"k", 100)
+    assert len(ws) == 100 and toxicity.windows(text).index(ws[-1]) > 900 and ws == toxicity.drawn(text, b"k", 100)
+
+
 # -- language model
 
 

@@ -37,8 +37,8 @@ BASE = (
 _LONG_HEX = re.compile(r"[0-9a-f]{16,}")
 #: What may hold an assignment; a text without any of them has none.
 _HINT = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
-#: Candidates of the method: long tokens with a digit and a letter.
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9+/_.=-]{16,256}(?![A-Za-z0-9+/_.=-])")
+#: Candidates of the method: tokens of 16 characters or more with a digit and a letter.
+_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9+/_.=-]{16,}(?![A-Za-z0-9+/_.=-])")
 
 _UP, _LOW, _DIG = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: Public formats: a literal start, an alphabet and the lengths of the rest.

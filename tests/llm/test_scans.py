@@ -85,6 +85,15 @@ def test_grammars_know_credentials_from_words():
     assert [SECRETS[-1][a:b] for a, _, b in more] == ["ghp_16C7e42F292c6912E7710c838347Ae178B4a"]
 
 
+def test_long_credentials_are_candidates():
+    rng = random.Random(8)
+    for n in (257, 363, 1000, 2000):
+        token = "eyJ" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n - 3))
+        text = f"Authorization: Bearer {token} ok"
+        _, more = secrets.scan(text)
+        assert [text[a:b] for a, _, b in more] == [token]
+
+
 URLS = ["http://a.example.net/en/5", "https://EXAMPLE.net/en/", "http://example.net/de/", "http://x.example.com/de/1?q", "http://notexample.com/de/1", "http://a.org/fr/x#y", "http://org/fr/", "http://org", "http://b.net?x", "http://net", "no scheme", "", None, "://", "a://b://c/d", "http://m.ads-track.example.com/x", "http://ads-track.example.com", "HTTP://CheaP-pills.EXAMPLE.org/fr/2"]
 
 

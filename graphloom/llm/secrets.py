@@ -3,7 +3,7 @@
 Labelled credentials of public formats are read into prefix trees over character classes; states whose outgoing
 shares are statistically compatible (Hoeffding's bound) are merged, red-blue order, into one probabilistic automaton
 a format. Every candidate token is scored by its log likelihood under each format against an automaton of ordinary
-tokens, and those above a threshold set on credentials and ordinary tokens kept apart are spans of kind `format`.
+tokens, and where the whole doesn't pass so are its parts behind signs (NAME=value, paths); those above a threshold set on credentials and ordinary tokens kept apart are spans of kind `format`.
 The base patterns always count.
 
 Nulls and edges: a null text counts as empty and has no spans, the sha-256 of nothing and an empty list; spans are
@@ -182,15 +182,30 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+#: Parts of a candidate: first those behind a '=' (with the padding at their ends), then those between '/' and '.'.
+_PARTS = re.compile(r"[^=]+=*"), re.compile(r"[^/.]+")
+_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+
+
+def _inside(text: str, a: int, z: int, taken: list[tuple[int, int]], limit: float, level: int = 0, tried: bool = False) -> Iterator[tuple[int, int]]:
+    """text[a:z] if it passes, otherwise its parts that do."""
+    token = text[a:z]
+    if z - a < 16 or not (_DIGIT.search(token) and _LETTER.search(token)):
+        return
+    if not tried and not any(x < z and a < y for x, y in taken) and likelihood(token) >= limit:
+        yield a, z
+    elif level < len(_PARTS):
+        for m in _PARTS[level].finditer(text, a, z):
+            yield from _inside(text, *m.span(), taken, limit, level + 1, m.span() == (a, z))
+
+
 def scan(text: str) -> tuple[list, list]:
     """Base spans, and the method's that overlap none of them; (start, kind, end)."""
     base, limit = base_spans(text), model()[2]
     taken = [(a, b) for a, _, b in base]
     more = []
     for m in _CANDIDATE.finditer(text):
-        a, b = m.span()
-        if not any(x < b and a < y for x, y in taken) and likelihood(m[0]) >= limit:
-            more.append((a, len(BASE), b))
+        more += [(a, len(BASE), b) for a, b in _inside(text, *m.span(), taken, limit)]
     return base, more
 
 

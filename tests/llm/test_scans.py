@@ -94,6 +94,28 @@ def test_long_credentials_are_candidates():
         assert [text[a:b] for a, _, b in more] == [token]
 
 
+@pytest.mark.parametrize("around", ["GH_PAT={}", "export MY_KEY={} x", "//x.example/cb/{}", "https://x.example/cb/{}/raw.html", "see {}."])
+def test_credentials_behind_names_and_in_paths(around):
+    import numpy as np
+
+    rng = np.random.default_rng(17)
+    for name in secrets.FORMATS:
+        found = 0
+        for token in secrets.credentials(name, 20, rng):
+            text = around.format(token)
+            base, more = secrets.scan(text)
+            at = text.index(token)
+            found += any(a < at + len(token) and at < b for a, _, b in base + more)
+        assert found >= 18, name
+
+
+def test_ordinary_tokens_have_no_parts_that_pass():
+    import numpy as np
+
+    tokens = secrets.ordinary(500, np.random.default_rng(99))
+    assert np.mean([bool(secrets.scan(x)[1]) for x in tokens]) < 0.02
+
+
 URLS = ["http://a.example.net/en/5", "https://EXAMPLE.net/en/", "http://example.net/de/", "http://x.example.com/de/1?q", "http://notexample.com/de/1", "http://a.org/fr/x#y", "http://org/fr/", "http://org", "http://b.net?x", "http://net", "no scheme", "", None, "://", "a://b://c/d", "http://m.ads-track.example.com/x", "http://ads-track.example.com", "HTTP://CheaP-pills.EXAMPLE.org/fr/2"]
 
 

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -331,10 +332,14 @@ def score(docs: DataFrame) -> DataFrame:
     total, kinds = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     per_class = lambda x: x.groupBy(class_column("word").alias("class")).agg(F.sum("c").alias("n"), F.count("*").alias("kinds"))
 
-    # the least count that at most KNOWN words reach
-    floors = table.groupBy("c").agg(F.count("*").alias("k")).orderBy(F.desc("c")).limit(KNOWN).toPandas() if kinds > KNOWN else None
-    floor = 1 if floors is None else int(floors["c"][(floors["k"].cumsum() <= KNOWN)].min())
-    known = table.where(F.col("c") >= floor).toPandas().sort_values(["c", "word"], ascending=[False, True], kind="stable")
+    # the least count that at most KNOWN words reach; where the largest counts are too many, the outcomes alone are known
+    floor = 1
+    if kinds > KNOWN:
+        floors = table.groupBy("c").agg(F.count("*").alias("k")).orderBy(F.desc("c")).limit(KNOWN).toPandas()
+        fits = floors["c"][floors["k"].cumsum() <= KNOWN]
+        floor = int(fits.min()) if len(fits) else int(floors["c"].max()) + 1
+    first = table.orderBy(F.desc("c"), "word").limit(WORDS).union(table.where(F.col("word") == END.decode()))
+    known = pd.concat([table.where(F.col("c") >= floor).toPandas(), first.toPandas()]).drop_duplicates("word").sort_values(["c", "word"], ascending=[False, True], kind="stable")
     words, c = [w.encode() for w in known["word"]], known["c"].to_numpy(np.float64)
     top = [w for w in words if w != END][: WORDS - 1]
     outcome_of = {END: 0} | {w: i + 1 for i, w in enumerate(top)}

@@ -3,7 +3,8 @@
 The trie runs over bytes; the whitespace marker is kept as a space in it, so a literal marker character in a text is
 not mistaken for a space and decodes to itself. Bytes that no piece covers become byte pieces. No piece has a space
 behind another character, nor a line feed, so texts are cut into units there (spaces and the word behind them) and a
-unit's best path is found once; many units go through the trie together.
+unit's best path is found once; many units go through the trie together. Longer units, such as texts without spaces,
+are cut again where no piece crosses. What a process remembers is REMEMBER units of BATCH_BYTES bytes at most.
 
 A vocabulary of merges has ranks in place of log scores; piece r of them then weighs as Zipf's law has it,
 -log(r + 1) less the log of the sum, which keeps the order. Of equally good paths the one whose last piece is longest
@@ -170,13 +171,40 @@ def _alone(v: Vocabulary, unit: bytes) -> np.ndarray:
     return np.array(out[::-1], np.int32)
 
 
+def cuts(v: Vocabulary, unit: bytes) -> list[bytes]:
+    """The unit in parts whose ends no piece crosses, so that their best paths make up the unit's."""
+    text, n = np.frombuffer(unit, np.uint8), len(unit)
+    ends = np.arange(1, n + 1)
+    for a in range(0, n, 1 << 16):
+        at = np.arange(a, min(n, a + (1 << 16)))
+        live, state = at, np.zeros(len(at), np.int32)
+        for step in range(v.longest):
+            t = v.base[state] + text[live + step]
+            ok = v.check[t] == state
+            live, state = live[ok], t[ok]
+            hit = v.piece[state] >= 0
+            ends[live[hit]] = live[hit] + step + 1
+            ok = live + step + 1 < n
+            live, state = live[ok], state[ok]
+            if not len(live):
+                break
+    free = [*np.flatnonzero(np.maximum.accumulate(ends)[:-1] == np.arange(1, n)) + 1, n] if n else []
+    return [unit[a:z] for a, z in zip([0, *free[:-1]], free, strict=True)]
+
+
 def viterbi(v: Vocabulary, units: list[bytes]) -> list[bytes]:
     """The best path of each unit, as bytes of int32 ids; units of up to BATCH_BYTES bytes go together."""
     out: list[bytes] = [b""] * len(units)
     order = sorted(range(len(units)), key=lambda i: len(units[i]))
     short = [i for i in order if len(units[i]) <= BATCH_BYTES]
     for i in order[len(short) :]:
-        out[i] = _alone(v, units[i]).tobytes()
+        parts = cuts(v, units[i])
+        if len(parts) == 1:
+            out[i] = _alone(v, units[i]).tobytes()
+            continue
+        known = list(dict.fromkeys(parts))
+        ids = dict(zip(known, viterbi(v, known), strict=True))
+        out[i] = b"".join(map(ids.__getitem__, parts))
     for a in range(0, len(short), BATCH_ROWS):
         rows = short[a : a + BATCH_ROWS]
         size = np.array([len(units[i]) for i in rows])
@@ -235,7 +263,11 @@ def encode(v: Vocabulary, texts: list[bytes]) -> list[np.ndarray]:
     new = list(new)
     memory.update(zip(new, viterbi(v, new), strict=True))
     get = memory.__getitem__
-    return [np.frombuffer(b"".join(map(get, x)), np.int32) for x in units]
+    out = [np.frombuffer(b"".join(map(get, x)), np.int32) for x in units]
+    for u in new:
+        if len(u) > BATCH_BYTES:
+            del memory[u]
+    return out
 
 
 def decode(v: Vocabulary, ids: np.ndarray) -> bytes:

@@ -63,14 +63,12 @@ l AS (SELECT *, sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap
 o AS (SELECT *, cap::HUGEINT * share >= weight::HUGEINT * rest AS free FROM l),
 f AS (SELECT rest AS l, share AS s FROM o WHERE free ORDER BY cap / weight, sid LIMIT 1),
 u AS (SELECT source, source_size, sid, free, CASE WHEN free THEN (weight * f.l)::DOUBLE / f.s::DOUBLE ELSE cap::DOUBLE END AS target FROM o, f),
-t AS (SELECT *, floor(target)::BIGINT + CASE WHEN row_number() OVER (ORDER BY free DESC, sid) <= sum(source_size - floor(target)::BIGINT) OVER () THEN 1 ELSE 0 END AS goal FROM u),
-r AS (SELECT d.doc_id, d.size, t.source_size, t.sid, t.target, t.goal, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS hash FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+r AS (SELECT d.doc_id, d.size, u.source_size, u.sid, u.target, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS hash FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source),
 b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY sid ORDER BY hash, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r),
-e AS (SELECT *, unnest(range(0, greatest(1, ceil(target / greatest(source_size, 1)))::BIGINT)) AS epoch FROM b),
-v AS (SELECT *, epoch * source_size + before AS start FROM e),
-x AS (SELECT *, greatest(0, least(size, goal - start)) AS served, least((start + size)::DOUBLE / greatest(target, 1e-9), 1.0) AS time FROM v),
-g AS (SELECT *, coalesce(sum(served) OVER (ORDER BY time, sid, epoch, hash, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM x)
-SELECT doc_id, size, source_size, target, sum(greatest(0, least(served, (SELECT sum(size) FROM d) - ahead)))::BIGINT AS taken FROM g GROUP BY doc_id, size, source_size, target""",
+e AS (SELECT *, epoch * source_size + before + size AS stop FROM (SELECT *, unnest(range(0, 3)) AS epoch FROM b)),
+x AS (SELECT *, stop::DOUBLE / greatest(target, 1e-9) AS finish FROM e),
+g AS (SELECT *, coalesce(sum(size) OVER (ORDER BY finish, sid, stop, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM x)
+SELECT doc_id, size, source_size, target, sum(greatest(0, least(size, (SELECT sum(size) FROM d) - ahead)))::BIGINT AS taken FROM g GROUP BY doc_id, size, source_size, target""",
     "op2_minhash_near_dedup": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),

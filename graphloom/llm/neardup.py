@@ -28,8 +28,9 @@ from graphloom.llm.exactdup import small
 
 WORDS, BANDS, ROWS, BITS = 5, 40, 4, 512
 SAMPLES = BANDS * ROWS
-#: A bucket of more members is compared in pairs of blocks, and so is a candidate component.
-BUCKET_BLOCK, SET_BLOCK, PIVOTS = 1024, 256, 8
+#: A bucket, or a candidate component, of more members than its block is compared in blocks that all hold the same
+#: pivots; what the pivots don't tie to the rest meets the others in pairs of blocks of PAIR_BLOCK.
+BUCKET_BLOCK, SET_BLOCK, PAIR_BLOCK, PIVOTS = 256, 48, 256, 8
 
 _rng = np.random.default_rng(20240607)
 _MUL = _rng.integers(0, 1 << 31, SAMPLES, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -211,8 +212,41 @@ def _link(most: int, percent: int):
     return fn
 
 
-def _unit(*cols):
-    return F.xxhash64(*cols)
+def tied(rows: DataFrame, key: str, block: int, fn, payload: list[str], tmp: Scratch) -> DataFrame:
+    """(u, v): the edges that fn finds in the groups of rows (key, size, doc_id, payload), with no pair of two classes left out.
+
+    A group of a block or less is a unit of its own. The rows of a larger one are dealt into blocks that all hold the
+    same pivots; those whose class is not the group's largest afterwards then meet all others in pairs of blocks, so
+    what is copied grows with them and not with the square of the group.
+    """
+    large = rows.where(F.col("size") > block)
+    parts = rows.where(F.col("size") <= block).select(F.col(key).alias("unit"), "doc_id", F.col("doc_id").alias("known"), *payload)
+    blocks = F.ceil(F.col("size") / block).cast("long")
+    pivots = large.groupBy(key, "size").agg(*[F.min(F.col("doc_id").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)).alias(f"p{i}") for i, m in enumerate(_MASKS)])
+    pivots = pivots.select(key, F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("doc_id"))
+    copies = large.join(pivots, [key, "doc_id"]).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    own = large.join(pivots, [key, "doc_id"], "left_anti").withColumn("b", F.pmod(F.xxhash64("doc_id"), blocks))
+    parts = parts.union(own.unionByName(copies).select(F.xxhash64(key, "b").alias("unit"), "doc_id", F.col("doc_id").alias("known"), *payload))
+    links = tmp.save(grouped(parts, "unit", fn, "u long, v long"), "links")
+    if large.isEmpty():
+        return links
+
+    known = tmp.save(components(links, tmp), "known")
+    big = tmp.save(large.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("known", F.coalesce("component", "doc_id")).drop("component"), "big")
+    per = big.groupBy(key, "known").agg(F.count("*").alias("n"))
+    top = per.groupBy(key).agg(F.max(F.struct("n", "known")).alias("top")).select(key, "top.n", F.col("top.known").alias("top"))
+    big = big.join(top, key).where("n < size").withColumn("rest", F.col("size") - F.col("n"))
+    many = F.greatest(F.lit(1), F.ceil(F.col("rest") / PAIR_BLOCK)).cast("long")  # at least one, as filters are pushed below that of the rest
+    zero, place = F.lit(0).cast("long"), lambda n: F.pmod(F.xxhash64("doc_id", F.lit(5)), n)
+    others, whole = big.where("known <> top"), F.ceil(F.col("n") / PAIR_BLOCK).cast("long")
+    each = F.sequence(zero, many - 1)
+    sides = F.concat(F.transform(F.sequence(zero, whole - 1), lambda x: F.concat_ws(":", F.lit("t"), x)), F.transform(F.filter(each, lambda x: x > F.col("b")), lambda x: F.concat_ws(":", F.lit("r"), x)))
+    loose = others.withColumn("b", place(many)).withColumn("side", F.explode(sides))
+    wide = others.withColumn("c", place(many)).withColumn("b", F.explode(each)).where("c > b").withColumn("side", F.concat_ws(":", F.lit("r"), "c"))
+    rest = big.where("known = top").withColumn("c", place(whole)).withColumn("b", F.explode(each)).withColumn("side", F.concat_ws(":", F.lit("t"), "c"))
+    cols = [F.xxhash64(key, "b", "side").alias("unit"), "doc_id", "known", *payload]
+    again = loose.select(*cols).union(wide.select(*cols)).union(rest.select(*cols))
+    return tmp.save(links.union(grouped(again, "unit", fn, "u long, v long")), "links")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.75) -> DataFrame:
@@ -225,53 +259,27 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75) -> DataFrame:
     classes = tmp.save(real.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
     one = tmp.save(real.join(classes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"]).select("doc_id", "n_shingles", "bands", "sketch"), "unique")
 
-    # buckets of two and more; a larger one is met in pairs of blocks, each its own task's unit
+    # buckets of two and more; of what they propose, a spanning forest of near sketches is kept
     rows = one.select("doc_id", F.explode("bands").alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    met = rows.join(sizes, "bucket").join(one.select("doc_id", "n_shingles", "sketch"), "doc_id")
-    met = _blocks(met, "bucket", "n", BUCKET_BLOCK)
-    edges = grouped(met.select("unit", "doc_id", "n_shingles", "sketch"), "unit", _screen(most, percent), "u long, v long")
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    shared = tmp.save(rows.join(sizes, "bucket"), "shared")
+    met = tmp.save(small(shared).join(one.select("doc_id", "n_shingles", "sketch"), "doc_id"), "met")
+    edges = tied(met, "bucket", BUCKET_BLOCK, _screen(most, percent), ["n_shingles", "sketch"], tmp)
     held = tmp.save(components(edges, tmp), "held")
+    tmp.drop(shared, met)
     count = held.groupBy("component").agg(F.count("*").alias("size"))
     held = held.join(count, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cc"), "size")
     held = tmp.save(held.join(one.select("doc_id", "sketch"), "doc_id").dropDuplicates(["doc_id"]), "held")
+
+    # the full sets of a component travel once, to where its links are confirmed
     sets = texts.join(small(held), "doc_id").mapInArrow(_sets, "doc_id long, cc long, size long, sketch binary, shingles binary")
     sets = tmp.save(sets, "sets")
     tmp.drop(one)
-
-    # components of a block or less are settled in one unit; others in blocks that all hold the same pivots
-    large = sets.where(F.col("size") > SET_BLOCK)
-    parts = sets.where(F.col("size") <= SET_BLOCK).select(F.col("cc").alias("unit"), "doc_id", F.col("doc_id").alias("known"), "sketch", "shingles")
-    blocks = F.ceil(F.col("size") / SET_BLOCK).cast("long")
-    block = F.pmod(F.xxhash64("doc_id"), blocks)
-    pivots = large.groupBy("cc", "size").agg(*[F.min(F.col("doc_id").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)).alias(f"p{i}") for i, m in enumerate(_MASKS)])
-    pivots = pivots.select("cc", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("doc_id"))
-    copies = large.join(pivots, ["cc", "doc_id"]).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    own = large.join(pivots, ["cc", "doc_id"], "left_anti").withColumn("b", block)
-    parts = parts.union(own.unionByName(copies).select(_unit("cc", "b").alias("unit"), "doc_id", F.col("doc_id").alias("known"), "sketch", "shingles"))
-    links = tmp.save(grouped(parts, "unit", _link(most, percent), "u long, v long"), "links")
-
-    if not large.isEmpty():
-        # what the pivots did not tie to the largest class of its component meets every other class, block by block
-        known = tmp.save(components(links, tmp), "known")
-        big = tmp.save(large.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("known", F.coalesce("component", "doc_id")).drop("component"), "big")
-        per = big.groupBy("cc", "known").agg(F.count("*").alias("n"))
-        top = per.groupBy("cc").agg(F.max("n").alias("n")).join(per, ["cc", "n"]).groupBy("cc").agg(F.min("known").alias("top"), F.first("n").alias("n_top"))
-        big = big.join(top, "cc").where("n_top < size").withColumn("rest", F.col("size") - F.col("n_top"))
-        many = F.ceil(F.col("rest") / SET_BLOCK).cast("long")
-        loose = big.where("known <> top").withColumn("b", F.pmod(F.xxhash64("doc_id"), many))
-        wide = big.where("known <> top").withColumn("c", F.pmod(F.xxhash64("doc_id"), many)).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), many - 1))).where("c > b").withColumn("side", F.concat_ws(":", F.lit("r"), "c"))
-        rest = F.ceil(F.col("n_top") / SET_BLOCK).cast("long")
-        tied = big.where("known = top").withColumn("c", F.pmod(F.xxhash64("doc_id"), rest)).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), many - 1))).withColumn("side", F.concat_ws(":", F.lit("t"), "c"))
-        sides = F.concat(F.transform(F.sequence(F.lit(0).cast("long"), rest - 1), lambda x: F.concat_ws(":", F.lit("t"), x)), F.transform(F.filter(F.sequence(F.lit(0).cast("long"), many - 1), lambda x: x > F.col("b")), lambda x: F.concat_ws(":", F.lit("r"), x)))
-        loose = loose.withColumn("side", F.explode(sides))
-        cols = [_unit("cc", "b", "side").alias("unit"), "doc_id", "known", "sketch", "shingles"]
-        again = loose.select(*cols).union(wide.select(*cols)).union(tied.select(*cols))
-        more = grouped(again, "unit", _link(most, percent), "u long, v long")
-        links = tmp.save(known.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), "links")
+    links = tied(sets, "cc", SET_BLOCK, _link(most, percent), ["sketch", "shingles"], tmp)
     tmp.drop(sets)
     final = tmp.save(components(links, tmp), "final")
     named = tmp.save(classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id")), "named")
+    tmp.drop(classes, final)
     # rows that repeat a doc_id with another text share its node, so a class may have the component of either
     out = every.join(named, "key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id"))
@@ -279,16 +287,6 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
-def _blocks(rows: DataFrame, key: str, n: str, block: int) -> DataFrame:
-    """A column unit: the key's hash, or for a key of more rows than a block each pair of blocks of its rows."""
-    g = F.ceil(F.col(n) / block).cast("long")
-    rows = rows.withColumn("g", g).withColumn("b", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("g")))
-    other = F.sequence(F.lit(0).cast("long"), F.when(F.col("g") > 2, F.col("g") - 1).otherwise(F.lit(0).cast("long")))
-    rows = rows.withColumn("o", F.explode(F.when(F.col("g") > 2, F.filter(other, lambda x: x != F.col("b"))).otherwise(other)))
-    lo, hi = F.least("b", "o"), F.greatest("b", "o")
-    return rows.withColumn("unit", F.when(F.col("g") > 2, _unit(key, lo, hi)).otherwise(F.col(key)))
-
-
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.75) -> DataFrame:
     """The rows of docs less those that a document of smaller doc_id in their component stands for.
 

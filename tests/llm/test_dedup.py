@@ -107,11 +107,12 @@ def corpus(n, seed):
     return rows
 
 
-@pytest.mark.parametrize("blocks", [(1024, 256), (8, 6)])
+@pytest.mark.parametrize("blocks", [(1024, 256, 256), (8, 6, 256), (8, 6, 3)])
 def test_near_duplicates_equal_brute_force(frame, monkeypatch, blocks):
     """Small blocks send large groups through block pairs, pivots and the second pass."""
     monkeypatch.setattr(neardup, "BUCKET_BLOCK", blocks[0])
     monkeypatch.setattr(neardup, "SET_BLOCK", blocks[1])
+    monkeypatch.setattr(neardup, "PAIR_BLOCK", blocks[2])
     rows = corpus(240, 5)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(frame(rows)).collect()}
     assert got == near_truth(rows)

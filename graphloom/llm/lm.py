@@ -37,10 +37,12 @@ from graphloom.llm.common import LOWER, Scratch, binary, crc_mod, hashed, share_
 WORDS, CLASSES, CONTEXT, DIM = 192, 64, 4, 16
 KNOWN, FIT_DOCS, FIT_TOKENS, NOISE, PASSES = 200_000, 2000, 400_000, 12, 4
 #: Rounds over the whole corpus, and the most that the first of them changes a parameter by.
-STEPS, RATE = 48, 0.06
+STEPS, RATE = 24, 0.06
 #: Distinct words that a task holds before it hands their counts on.
 HOLD = 200_000
 OUT = WORDS + CLASSES
+#: Rows of the matrix products; their scores stay in a core's cache.
+BLOCK = 512
 #: The end token; no word is empty.
 END = b""
 
@@ -92,24 +94,32 @@ class Model:
 
         ids are texts one after another and at is the place of each in its text.
         """
-        out = np.empty(len(ids))
-        for a in range(0, len(ids), 4096):
-            z = min(len(ids), a + 4096)
-            s = self.hidden(ids, at, a, z) @ self.q.T
-            s += self.b
-            hit = s[np.arange(z - a), ids[a:z]]
-            top = s.max(1)
-            s -= top[:, None]
-            np.exp(s, out=s)
-            out[a:z] = (hit - top - np.log(s.sum(1))) / np.log(10)
-        return out
-
-    def hidden(self, ids: np.ndarray, at: np.ndarray, a: int, z: int) -> np.ndarray:
-        h = np.zeros((z - a, DIM), np.float32)
+        h, q = self.hidden(ids, at), np.concatenate([self.q, self.b[:, None]], 1)
+        hit = np.einsum("nd,nd->n", h, q[ids])
+        # no exponent overflows where the largest possible score is small; otherwise the rows' own maxima are taken off
+        far = len(ids) and float(np.linalg.norm(q, axis=1).max() * np.sqrt((h * h).sum(1).max())) > 60
+        total, s = np.empty(len(ids), np.float32), np.empty((BLOCK, OUT), np.float32)
+        for a in range(0, len(ids), BLOCK):
+            z = min(len(ids), a + BLOCK)
+            x = np.matmul(h[a:z], q.T, out=s[: z - a])
+            if far:
+                top = x.max(1)
+                x -= top[:, None]
+                hit[a:z] -= top
+            np.exp(x, out=x)
+            total[a:z] = x.sum(1)
+        return (hit - np.log(total)) / np.log(10)
+
+    def hidden(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """What the context of each outcome predicts with, and a one for the biases."""
+        n = len(ids)
+        out = np.ones((n, DIM + 1), np.float32)
+        out[:, :DIM] = 0
         for j in range(1, CONTEXT + 1):
-            before = np.where(at[a:z] >= j, ids[np.maximum(np.arange(a, z) - j, 0)], OUT)
-            h += self.r[before] * self.w[j - 1]
-        return h
+            before = np.full(n, OUT)
+            before[j:] = np.where(at[j:] >= j, ids[: n - j if n > j else 0], OUT)
+            out[:, :DIM] += (self.r * self.w[j - 1])[before]
+        return out
 
 
 def train(ids: np.ndarray, at: np.ndarray, share: np.ndarray, seed: int = 3) -> Model:
@@ -154,39 +164,35 @@ def train(ids: np.ndarray, at: np.ndarray, share: np.ndarray, seed: int = 3) ->
 
 def gradient(m: Model, ids: np.ndarray, at: np.ndarray, share: np.ndarray) -> list[np.ndarray]:
     """Sums over the outcomes of the gradients of q, b, r and w; every outcome is noise with its expected number."""
-    expected = (NOISE * share).astype(np.float32)
-    shift, own, n = m.b - np.log(expected), m.r[ids], len(ids)
-    inside = [(at[j:] >= j)[:, None] for j in range(1, CONTEXT + 1)]
-    none = [float((at < j).sum()) for j in range(1, CONTEXT + 1)]
-    h = np.zeros((n, DIM), np.float32)
-    for j, (fits, w) in enumerate(zip(inside, m.w, strict=True), 1):
-        h[:j] += m.r[OUT] * w
-        h[j:] += np.where(fits, own[:-j], m.r[OUT]) * w
-    gq, gb, dh = np.zeros(m.q.shape), np.zeros(m.b.shape), np.empty_like(h)
-    for a in range(0, n, 512):
-        z = min(n, a + 512)
-        s = h[a:z] @ -m.q.T
-        s -= shift
-        np.exp(s, out=s)
-        s += 1
-        np.divide(-expected, s, out=s)  # less the expected number as noise times the chance to be data
-        cell = np.arange(z - a), ids[a:z]
-        s[cell] += 1 + s[cell] / expected[ids[a:z]]
-        dh[a:z] = s @ m.q
-        gq += s.T @ h[a:z]
-        gb += s.sum(0)
+    expected, own, n = (NOISE * share).astype(np.float32), m.r[ids], len(ids)
+    h = m.hidden(ids, at)
+    # the chance to be data is (1 + tanh of half the score) / 2
+    half = (np.concatenate([m.q, (m.b - np.log(expected))[:, None]], 1) / 2).T.copy()
+    noise = expected[:, None] * m.q / 2
+    g, dh, hit, s = np.zeros((OUT, DIM + 1)), np.empty((n, DIM), np.float32), np.empty(n, np.float32), np.empty((BLOCK, OUT), np.float32)
+    for a in range(0, n, BLOCK):
+        z = min(n, a + BLOCK)
+        t = np.matmul(h[a:z], half, out=s[: z - a])
+        np.tanh(t, out=t)
+        hit[a:z] = t[np.arange(z - a), ids[a:z]]
+        np.matmul(t, noise, out=dh[a:z])
+        g += t.T @ h[a:z]
+    hit = (1 - hit) / 2  # of each outcome, the chance not to be data
+    g = np.stack([np.bincount(ids, hit * h[:, d], OUT) for d in range(DIM + 1)], 1) - expected[:, None] / 2 * (g + h.sum(0, dtype=np.float64))
+    dh += noise.sum(0)
+    np.subtract(hit[:, None] * m.q[ids], dh, out=dh)
     # what each token's vector gets from the outcomes after it in its text
-    back, gw = np.zeros_like(h), np.zeros(m.w.shape)
-    gr = np.zeros(m.r.shape)
-    for j, (fits, w) in enumerate(zip(inside, m.w, strict=True), 1):
-        later = dh[j:] * fits
+    back, gw, gr = np.zeros((n, DIM), np.float32), np.zeros(m.w.shape), np.zeros(m.r.shape)
+    whole = dh.sum(0, dtype=np.float64)
+    for j, w in enumerate(m.w, 1):
+        later = dh[j:] * (at[j:] >= j)[:, None]
         back[: n - j if n > j else 0] += later * w
-        outer = dh.sum(0, dtype=np.float64) - later.sum(0, dtype=np.float64) if none[j - 1] else 0.0
-        gw[j - 1] = (later * own[:-j]).sum(0, dtype=np.float64) + outer * m.r[OUT]
+        outer = whole - later.sum(0, dtype=np.float64)
+        gw[j - 1] = np.einsum("nd,nd->d", later, own[: n - j if n > j else 0], dtype=np.float64) + outer * m.r[OUT]
         gr[OUT] += outer * w
     for d in range(DIM):
         gr[:, d] += np.bincount(ids, back[:, d], OUT + 1)
-    return [gq, gb, gr, gw]
+    return [g[:, :DIM], g[:, DIM], gr, gw]
 
 
 class Steps:
@@ -374,7 +380,7 @@ def score(docs: DataFrame) -> DataFrame:
     m = train(ids, at, noise)
 
     shared = spark.sparkContext.broadcast(t)
-    first = tmp.save(prepared(rows, shared).withColumn("uid", F.monotonically_increasing_id()), "prepared")
+    first = tmp.save(prepared(rows, shared).sortWithinPartitions("round").withColumn("uid", F.monotonically_increasing_id()), "prepared")
     shared.destroy()
     if len(ids) < total:
         learn_all(m, first, noise, STEPS)

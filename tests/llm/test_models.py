@@ -119,6 +119,26 @@ def test_lm_counts_and_held_out_gain(frame, nothing, monkeypatch):
     assert lm.score(nothing).count() == 0
 
 
+def test_lm_where_most_words_are_equally_frequent(frame, monkeypatch):
+    """More words of the largest count than may be known: all but the outcomes go through the join."""
+    monkeypatch.setattr(lm, "KNOWN", 500)
+    rows = [(0, " ".join(f"w{i}" for i in range(3000)), "s"), (2, " ".join(f"v{i}" for i in range(700)), "s"), (5, "w1 w2 v3 new", "s"), (6, None, "s")]
+    compare(lm.score(frame(rows)).collect(), rows)
+
+
+def test_lm_on_one_long_text_of_distinct_words(frame):
+    rows = [(0, " ".join(f"w{i}" for i in range(lm.KNOWN + 100)), "s"), (5, "w1 w2 x", "s")]
+    compare(lm.score(frame(rows)).collect(), rows)
+
+
+def test_large_scores_do_not_overflow():
+    rng = np.random.default_rng(1)
+    m = lm.train(rng.integers(0, lm.OUT, 3000), np.arange(3000) % 50, np.full(lm.OUT, 1 / lm.OUT))
+    m.q *= 400
+    got = m.log10(np.arange(100), np.arange(100))
+    assert np.isfinite(got).all() and (got <= 1e-4).all()
+
+
 def test_lm_is_a_distribution():
     rng = np.random.default_rng(1)
     ids, at = rng.integers(0, lm.OUT, 3000), np.arange(3000) % 50
@@ -169,7 +189,7 @@ def test_gradient_is_that_of_every_token():
         assert np.allclose(x, sum(p[k] for p in parts), atol=1e-4)
 
     def objective():
-        s = lm.Model.hidden(m, ids, at, 0, len(ids)).astype(float) @ m.q.T + m.b - np.log(lm.NOISE * share)
+        s = m.hidden(ids, at)[:, : lm.DIM].astype(float) @ m.q.T + m.b - np.log(lm.NOISE * share)
         chance = 1 / (1 + np.exp(-s))
         return np.log(chance[np.arange(len(ids)), ids]).sum() + (lm.NOISE * share * np.log(1 - chance)).sum()
 
@@ -238,6 +258,35 @@ def test_viterbi_equals_brute_force():
         assert pieces._alone(v, unit).tobytes() == pieces.viterbi(v, [unit])[0]
 
 
+def test_long_units_are_cut_where_no_piece_crosses():
+    """Texts without spaces: parts make up the unit and its best path, and are not remembered."""
+    v, rng = pieces.load(), random.Random(7)
+    for n in (50, 900, 4000):
+        unit = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) if rng.random() < 0.6 else rng.choice("theandx") for _ in range(n)).encode()
+        parts = pieces.cuts(v, unit)
+        assert b"".join(parts) == unit and all(parts)
+        got = np.frombuffer(pieces.viterbi(v, [unit])[0], np.int32)
+        score = lambda ids: sum(v.byte_score if i in set(v.byte_ids.tolist()) else v.score[i] for i in ids.tolist())
+        assert b"".join(v.pieces[i] for i in got) == unit and abs(score(got) - score(pieces._alone(v, unit))) < 1e-6
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(500)).encode() for _ in range(50)]
+    assert [pieces.decode(v, x) for x in pieces.encode(v, texts)] == texts
+    assert all(len(u) <= pieces.BATCH_BYTES for u in pieces.remembered(v))
+
+
+def test_query_decodes_to_the_whole_table(spark):
+    """The query over the whole table: counts, byte pieces and digests against each text."""
+    from graphloom.llm import queries
+
+    v = pieces.load()
+    text = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = queries.op4_sentencepiece(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.doc_id for r in got) == sorted(text)
+    for r in got:
+        whole = (text[r.doc_id] or "").encode()
+        assert b"".join(v.pieces[i] for i in r.piece_ids)[1:] == whole and r.decoded_sha256 == hashlib.sha256(whole).hexdigest()
+        assert r.n_pieces == len(r.piece_ids) and r.n_byte_pieces == sum(i in set(v.byte_ids.tolist()) for i in r.piece_ids)
+
+
 def test_round_trip(frame, nothing):
     got = pieces.encoded(frame(EDGES)).collect()
     text = {hashlib.sha256((t or "").encode()).hexdigest() for _, t, _ in EDGES if t is not None}

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from graphloom.llm import licenses, secrets, urlfilter
@@ -94,6 +95,39 @@ def test_long_credentials_are_candidates():
         assert [text[a:b] for a, _, b in more] == [token]
 
 
+def test_scan_is_linear_on_long_texts():
+    import time
+
+    for text in ("1234567890123456 " * 40000, "a1" * 300000, "=a1/" * 150000, "token=abcdefghij12 q1w2e3r4t5y6u7i8 " * 20000):
+        began = time.perf_counter()
+        secrets.scan(text)
+        assert time.perf_counter() - began < 10
+
+
+def test_learns_formats_from_the_labelled_values_of_the_corpus(frame):
+    """Values behind `token =` teach a format; the same format without a name is found in texts apart, words are not."""
+    rng = random.Random(12)
+    own = lambda: "-".join(3 * rng.choice("xyz") + str(rng.randrange(10)) for _ in range(7))
+    rows = [(i, f"some words token = {own()} more words", "s") for i in range(120)]
+    m = secrets.learn(frame(rows))
+    fresh = [own() for _ in range(100)]
+    assert np.mean([secrets.likelihood(x, m) >= m.limit for x in fresh]) > 0.9
+    assert np.mean([secrets.likelihood(x) >= secrets.model().limit for x in fresh]) < 0.5
+    assert np.mean([bool(secrets.scan(x, m)[1]) for x in secrets.ordinary(500, np.random.default_rng(99))]) < 0.02
+    apart = frame([(1000, f"see {fresh[0]} here", "s"), (1001, "plain words only", "s")])
+    got = {r.doc_id: r.spans for r in secrets.secrets(apart, m).collect()}
+    assert got == {1000: f"format:4:{4 + len(fresh[0])}", 1001: ""}
+    again = secrets.learn(frame(rows[::-1]).coalesce(1))
+    assert again.limit == m.limit and [secrets.likelihood(x, again) for x in fresh] == [secrets.likelihood(x, m) for x in fresh]
+
+
+def test_spans_are_met_where_they_overlap():
+    taken = secrets.Taken([(5, 9), (9, 12), (20, 25), (6, 7)])
+    for a in range(30):
+        for z in range(a + 1, 31):
+            assert taken.meets(a, z) == any(x < z and a < y for x, y in [(5, 12), (20, 25)])
+
+
 @pytest.mark.parametrize("around", ["GH_PAT={}", "export MY_KEY={} x", "//x.example/cb/{}", "https://x.example/cb/{}/raw.html", "see {}."])
 def test_credentials_behind_names_and_in_paths(around):
     import numpy as np
@@ -144,6 +178,17 @@ def test_urls_equal_brute_force(spark):
     assert {r.verdict for r in urlfilter.judge(pages, urlfilter.table(spark, [], [])).collect()} == {"allow"}
 
 
+def test_urls_of_many_labels_and_a_list_of_its_own(spark):
+    """A host of 8,000 labels is looked up by no more suffixes than the list is deep; a list is a table."""
+    rows = spark.createDataFrame([("Bad.Example.com", None, "block", False), ("deep.a.b.c.example.org", "/x/", "block", True), ("org", "/", "allow", True)], "host string, path string, verdict string, is_rule boolean")
+    entries = urlfilter.listing(rows)
+    host = ".".join(["l"] * 8000)
+    urls = [f"http://{host}.bad.example.com/p", f"http://{host}.deep.a.b.c.example.org/x/1", f"http://{host}.example.org/", "http://example.com/"]
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), entries).collect()}
+    assert got == {0: (None, "block"), 1: ("deep.a.b.c.example.org/x/", "block"), 2: ("org/", "allow"), 3: (None, "allow")}
+    assert len(urlfilter.keys_of(f"{host}.a.b", "/x/", [1, 3], 5)) == 10
+
+
 def test_bloom_passes_every_listed_key(spark):
     t = urlfilter.table(spark, [(f"h{i}.com", "/", "block") for i in range(5000)], [])
     words, blocks = urlfilter.bloom(t)

@@ -1,14 +1,11 @@
-"""Evaluation: set metrics, tiers, medians, recall, repeatability, verdicts, alignment (AG-13 to AG-27, EV-1 to EV-34)."""
+"""Evaluation: set metrics, tiers, medians, recall, repeatability, verdicts (AG-13 to AG-27, EV-11 to EV-13, EV-15 to EV-28)."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.functions.scalar import at_path, canonical
-
 #: Thresholds of the population gate.
 PRECISION, TIER_PRECISION, RECALL = 0.95, 0.99, 0.90
 
@@ -143,75 +140,6 @@ def manifest_filter(symbols: DataFrame, edges: DataFrame, files: DataFrame) -> t
     return keep, out
 
 
-def align(expected: list[dict], actual: list[dict]) -> tuple[int, list[tuple[int, int]]]:
-    """EV-2: the order-keeping pairs of equal tools with the most pairs, then the most equal arguments."""
-    def equal(a: dict, b: dict) -> int:
-        x, y = a.get("arguments") or {}, b.get("arguments") or {}
-        return sum(canonical(x[k]) == canonical(y[k]) for k in x.keys() & y.keys())
-
-    n, m = len(expected), len(actual)
-    best = [[(0, 0)] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            options = [best[i + 1][j], best[i][j + 1]]
-            if expected[i]["tool"] == actual[j]["tool"]:
-                c, a = best[i + 1][j + 1]
-                options.append((c + 1, a + equal(expected[i], actual[j])))
-            best[i][j] = max(options)
-    pairs, i, j = [], 0, 0
-    while i < n and j < m:
-        if expected[i]["tool"] == actual[j]["tool"]:
-            c, a = best[i + 1][j + 1]
-            if best[i][j] == (c + 1, a + equal(expected[i], actual[j])):
-                pairs.append((i, j))
-                i, j = i + 1, j + 1
-                continue
-        i, j = (i + 1, j) if best[i][j] == best[i + 1][j] else (i, j + 1)
-    return best[0][0][0], pairs
-
-
-def _run_scores(case: dict, run: dict) -> dict:
-    """EV-3 to EV-12 of one run."""
-    calls = run.get("calls") or []
-    golds = case.get("acceptable_call_sequences") or [case.get("expected_calls") or []]
-    gold = max(golds, key=lambda g: (align(g, calls)[0], -len(g)))
-    hits, pairs = align(gold, calls)
-    right = wanted = given = 0
-    for i, j in pairs:
-        x, y = gold[i].get("arguments") or {}, calls[j].get("arguments") or {}
-        right += sum(k in y and canonical(y[k]) == canonical(v) for k, v in x.items())
-        wanted, given = wanted + len(x), given + sum(k in x for k in y)
-    named = [c["tool"] for c in calls]
-    evidence, found = set(case.get("expected_evidence") or []), set(run.get("returned_evidence") or [])
-    failed = [c for c in calls if c.get("error")]
-    unsafe = [t for t in named if t in (case.get("forbidden_tools") or []) or (case.get("allowed_tools") and t not in case["allowed_tools"])]
-    carried = [at_path(calls[d["from_call"]].get("result"), d["from_result_path"]) == (calls[d["to_call"]].get("arguments") or {}).get(d["to_argument"]) for d in case.get("dependencies") or [] if max(d["from_call"], d["to_call"]) < len(calls)]
-    share = lambda a, b: round(a / b, 4) if b else None
-    bad = bool(unsafe) or not all(carried) or (bool(case.get("should_abstain")) and bool(calls))
-    whole = run.get("final_state") is not None
-    good = hits == len(gold) and evidence <= found
-    return {
-        "case_id": case["id"], "run": run["run_id"], "n_calls": len(calls), "matched": hits, "trajectory_precision": share(hits, len(calls)), "trajectory_recall": share(hits, len(gold)),
-        "exact": [c["tool"] for c in gold] == named, "argument_precision": share(right, given), "argument_recall": share(right, wanted), "evidence_precision": share(len(evidence & found), len(found)),
-        "evidence_recall": share(len(evidence & found), len(evidence)), "redundant": len(calls) - len({canonical([c["tool"], c.get("arguments")]) for c in calls}), "n_errors": len(failed), "n_unsafe": len(unsafe),
-        "status": "failed" if bad or (whole and not good) else "passed" if whole else "not_evaluated",
-    }
-
-
-RUN_SCHEMA = "case_id string, run string, n_calls long, matched long, trajectory_precision double, trajectory_recall double, exact boolean, argument_precision double, argument_recall double, evidence_precision double, evidence_recall double, redundant long, n_errors long, n_unsafe long, status string"
-
-
-def evaluate_runs(cases: DataFrame, runs: DataFrame) -> DataFrame:
-    """Scores of runs (case_id, run as JSON) against cases (case_id, case as JSON); a run is scored where it is."""
-    import json
-
-    def fn(batches):
-        for pdf in batches:
-            yield pd.DataFrame([_run_scores(json.loads(c), json.loads(r)) for c, r in zip(pdf["case"], pdf["run"], strict=True)], columns=[x.split()[0] for x in RUN_SCHEMA.split(", ")])
-
-    return runs.join(cases, "case_id").select("case", "run").mapInPandas(fn, RUN_SCHEMA)
-
-
 def grade(answers: DataFrame) -> DataFrame:
     """EV-20: expected and actual arrays as sets; or an accepted path."""
     return answers.withColumn("missing", F.size(F.array_except("expected", "actual"))).withColumn("extra", F.size(F.array_except("actual", "expected"))).withColumn("correct", F.expr("missing = 0 AND extra = 0"))

@@ -66,14 +66,21 @@ def bound_names(node: ast.AST) -> set[str]:
     return names - free
 
 
+def blocks(node: ast.stmt) -> list[list[ast.stmt]]:
+    """The bodies of a statement: of if, try, with, for, while, match and their clauses."""
+    own = [getattr(node, f, None) for f in ("body", "orelse", "finalbody")]
+    clauses = [c.body for f in ("handlers", "cases") for c in getattr(node, f, [])]
+    return [x for x in own + clauses if isinstance(x, list) and x]
+
+
 class _Facts(ast.NodeVisitor):
     def __init__(self):
         self.out = empty()
         self.scope: list[tuple[int, int]] = []
         self.called: set[int] = set()
 
-    # definitions: class bodies, if and try, but no function bodies
-    def define(self, body: list, owner: str = "", in_class: bool = False) -> None:
+    # definitions: class bodies and every statement with a body of its own, but no function bodies; aliases only below if and try
+    def define(self, body: list, owner: str = "", in_class: bool = False, aliases: bool = True) -> None:
         for node in body:
             if isinstance(node, (*FUNCTION, ast.ClassDef)):
                 kind = "Class" if isinstance(node, ast.ClassDef) else "Method" if in_class else "Function"
@@ -84,10 +91,10 @@ class _Facts(ast.NodeVisitor):
                         if r := reference(b):
                             self.out["bases"].append({"class_qualname": name, "line": node.lineno, "name": r[0], "receiver": r[1]})
                     self.define(node.body, name, True)
-            elif isinstance(node, (ast.If, ast.Try)):
-                for part in (node.body, node.orelse, getattr(node, "finalbody", []), *(h.body for h in getattr(node, "handlers", []))):
-                    self.define(part, owner, in_class)
-            elif isinstance(node, ast.Assign) and not owner and len(node.targets) == 1 and isinstance(node.targets[0], ast.Name):
+            elif inner := blocks(node):
+                for part in inner:
+                    self.define(part, owner, in_class, aliases and isinstance(node, (ast.If, ast.Try)))
+            elif isinstance(node, ast.Assign) and aliases and not owner and len(node.targets) == 1 and isinstance(node.targets[0], ast.Name):
                 if (r := reference(node.value)) and isinstance(node.value, (ast.Name, ast.Attribute, ast.Subscript)):
                     self.out["aliases"].append({"alias": node.targets[0].id, "name": r[0], "receiver": r[1]})
 

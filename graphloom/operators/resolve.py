@@ -1,4 +1,4 @@
-"""Resolution of references to symbols as joins (RES-1, RES-5 to RES-20).
+"""Resolution of references to symbols as joins (RES-1, RES-5 to RES-20, RES-23).
 
 Every tier is one join that gives rows (ref, rank, target, confidence); a rule that ends the search is a row without a
 target. The row of the lowest rank decides, and a reference whose deciding row has no target has no edge.
@@ -110,8 +110,8 @@ def bindings(imports: DataFrame, modules: DataFrame, files: DataFrame, exports:
     return b, e.union(f)
 
 
-def linearise(bases: dict[str, list[str | None]]) -> dict[str, list[tuple[str, bool]]]:
-    """RES-10: C3 orders of classes by key, each with whether an opaque base (None) goes before it.
+def linearise(bases: dict[str, list[str | None]], wanted: list[str] | None = None) -> dict[str, list[tuple[str, bool]]]:
+    """RES-10: C3 orders of classes (all, or those wanted) by key, each with whether an opaque base (None) goes before it.
 
     An inconsistent hierarchy falls back to the order of declaration, and a cycle ends where it closes.
     """
@@ -138,7 +138,7 @@ def linearise(bases: dict[str, list[str | None]]) -> dict[str, list[tuple[str, b
         return out
 
     result = {}
-    for c in sorted(bases):
+    for c in wanted or sorted(bases):
         opaque, row = False, []
         for k in order(c, ()):
             if k.startswith("?"):
@@ -152,28 +152,32 @@ def linearise(bases: dict[str, list[str | None]]) -> dict[str, list[tuple[str, b
 def hierarchy(bases: DataFrame) -> DataFrame:
     """(class_key, place, base_key, opaque) of resolved bases (class_key, place, base_key or null).
 
-    Classes are grouped by the connected part of the class graph, found by spreading the smallest key, so a task
-    holds one hierarchy.
+    Each class is ordered by itself from the bases of its ancestors, which are found by rounds of joins, as many as the
+    hierarchy is deep. So a task holds the ancestors of one class, however many classes share them.
     """
-    pairs = bases.where("base_key IS NOT NULL").select(F.col("class_key").alias("a"), F.col("base_key").alias("b"))
-    both = settle(pairs.union(pairs.select("b", "a")).distinct())
-    part = settle(bases.select(F.col("class_key").alias("k")).union(pairs.select("b")).distinct().withColumn("p", F.col("k")))
+    own = bases.select("class_key").distinct()
+    pairs = settle(bases.where("base_key IS NOT NULL").select(F.col("class_key").alias("at"), F.col("base_key").alias("up")).distinct())
+    above = front = settle(own.select("class_key", F.col("class_key").alias("of")))
     while True:
-        near = both.join(part, F.col("b") == F.col("k")).groupBy("a").agg(F.min("p").alias("q"))
-        new = settle(part.join(near, F.col("k") == F.col("a"), "left").select("k", F.least("p", F.coalesce("q", "p")).alias("p")))
-        moved = not new.join(part.withColumnRenamed("p", "o"), "k").where("p <> o").isEmpty()
-        part = new
-        if not moved:
+        step = front.join(pairs, F.col("of") == F.col("at")).select("class_key", F.col("up").alias("of")).distinct()
+        front = settle(step.join(above, ["class_key", "of"], "left_anti"))
+        if front.isEmpty():
             break
+        above = above.union(front)
+    rows = bases.select(F.col("class_key").alias("of"), "place", "base_key").join(above, "of")
+    one = rows.groupBy("class_key").agg(F.array_sort(F.collect_list(F.struct("of", "place", "base_key"))).alias("rows"))
 
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        known: dict[str, list] = defaultdict(list)
-        for c, b in pdf.sort_values(["class_key", "place"])[["class_key", "base_key"]].itertuples(index=False):
-            known[c].append(b if isinstance(b, str) else None)
-        return pd.DataFrame([(c, i, k, o) for c, row in linearise(known).items() for i, (k, o) in enumerate(row)], columns=["class_key", "place", "base_key", "opaque"])
+    def fn(batches):
+        for pdf in batches:
+            out = []
+            for c, known in zip(pdf["class_key"], pdf["rows"], strict=True):
+                lists: dict[str, list] = defaultdict(list)
+                for r in known:
+                    lists[r["of"]].append(r["base_key"])
+                out += [(c, i, k, o) for i, (k, o) in enumerate(linearise(lists, [c])[c])]
+            yield pd.DataFrame(out, columns=["class_key", "place", "base_key", "opaque"])
 
-    rows = bases.join(part, F.col("class_key") == F.col("k")).select("p", "class_key", "place", "base_key")
-    return rows.groupBy("p").applyInPandas(fn, "class_key string, place int, base_key string, opaque boolean")
+    return one.mapInPandas(fn, "class_key string, place int, base_key string, opaque boolean")
 
 
 def resolve(refs: DataFrame, symbols: DataFrame, binds: DataFrame, names: DataFrame, exports: DataFrame, mro: DataFrame | None, kinds: tuple[str, ...], value_mode: bool = False, fuzzy: bool = False) -> DataFrame:
@@ -202,6 +206,10 @@ def resolve(refs: DataFrame, symbols: DataFrame, binds: DataFrame, names: DataFr
     none = F.lit(None).cast("string")
     ok = symbols.where(F.col("kind").isin(*kinds))
     ex = exports.where(F.col("kind").isin(*kinds)).select(F.col("file").alias("ef"), F.col("name").alias("en"), F.col("node_key").alias("ek"))
+    # a bare name in a class body is a member that the body defines before it (RES-16)
+    body = bare.where(F.col("path").endswith(".py") & F.col("owner").isNotNull()).withColumn("mk", F.concat("path", F.lit("::"), "owner"))
+    body = body.join(symbols.where("kind = 'Class'").select(F.col("node_key").alias("mk")), "mk", "left_semi").withColumn("mk", F.concat("mk", F.lit("."), "name"))
+    row(body.join(ok.select(F.col("node_key").alias("mk"), F.col("first").alias("m_first")), "mk").where("m_first < line"), -1, F.col("mk"), F.lit(SAME_MODULE))
     # tier 0 and external names end the search
     row(bare.where("bn.local"), 0, none, F.lit(0))
     row(bare.where("bn.external"), 0, none, F.lit(0))
@@ -286,3 +294,26 @@ def build_edges(facts: DataFrame, files: DataFrame, configs: list[dict] = (), fu
     calls = edges("calls", "CALLS", ("Function", "Method", "Class"), False)
     values = edges("values", "REFERENCES", ("Function", "Method"), True)
     return {"symbols": symbols, "edges": settle(deduplicated(import_edges.union(inherits).union(calls).union(values))), "hierarchy": mro}
+
+
+def runtime_edges(trace: DataFrame, spans: DataFrame) -> DataFrame:
+    """RES-23: (source_key, target_key, count) of traced calls (caller_path, caller_line, callee_path, callee_line, count).
+
+    A line belongs to the innermost symbol around it, so closures and comprehensions count for what holds them; a line
+    that no symbol holds belongs to its file. spans are (path, first, last, owner).
+    """
+    t = trace.withColumn("call", F.monotonically_increasing_id())
+
+    def owned(side: str) -> DataFrame:
+        points = t.select("call", F.col(f"{side}_path").alias("path"), F.col(f"{side}_line").alias("line"))
+        return innermost(points, spans, ["path"], "line", "owner").select("call", F.concat_ws("::", "path", "owner").alias(f"{side}_key"))
+
+    t = settle(t)
+    out = t.select("call", "count").join(owned("caller"), "call").join(owned("callee"), "call")
+    return out.groupBy(F.col("caller_key").alias("source_key"), F.col("callee_key").alias("target_key")).agg(F.sum("count").alias("count"))
+
+
+def syntax_only(edges: DataFrame) -> DataFrame:
+    """EV-34: what imports and the own module alone show, explicitly unverified."""
+    tiers = F.round("confidence", 2).isin(IMPORT_MAP, SAME_MODULE)
+    return edges.where((F.col("relation") != "IMPORTS") & tiers).withColumn("resolution_status", F.lit("unverified"))

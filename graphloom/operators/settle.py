@@ -15,12 +15,26 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors share; an own folder only where none is set, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if not named and app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-    return (named or _own[app]).rstrip("/")
+    """spark.checkpoint.dir, or the folder given to setCheckpointDir, which all executors share.
+
+    Where neither is set, a folder of this machine will do in local mode only; on a cluster that is an error.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc.applicationId not in _own else None)
+    if named:
+        return named.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if sc.applicationId not in _own:
+        _own[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="graphloom-")
+    return _own[sc.applicationId]
+
+
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Removes a folder of scratch tables when the driver ends."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(p)
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -28,6 +42,7 @@ def settle(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
+        forget_at_exit(df.sparkSession, sc.getCheckpointDir())
     return df.checkpoint(eager=True)
 
 

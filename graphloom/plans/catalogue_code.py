@@ -222,7 +222,7 @@ def stream_session_fold(spark, sf_dir):
         last[0] = batch
 
     _run_stream(fold.fold(_typed(_stream(spark, sf_dir))).writeStream.outputMode("update").foreachBatch(publish), path)
-    return spark.read.parquet(f"{path}/reports/v={last[0]}").drop("batch")
+    return spark.read.parquet(f"{path}/reports/v={last[0]}").drop("batch", "n_children")
 
 
 @query("SELECT date_trunc('hour', ts)::VARCHAR AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.scalar import command_kinds, exit_codes
+
 USAGE_A = "total_token_usage: struct<input_tokens: long, cached_input_tokens: long, output_tokens: long, reasoning_output_tokens: long, total_tokens: long>"
 LINE = (
     "type string, timestamp string, sessionId string, isSidechain boolean, "
@@ -33,11 +35,11 @@ def events(rows: DataFrame, client: str) -> DataFrame:
     if client == "a":
         p = F.col("j.payload")
         kind = F.when(F.col("bad"), "malformed").when(p["info"].isNotNull(), "usage").when(p["type"] == "function_call", "call").when(p["type"] == "function_call_output", "result").otherwise("other")
-        code = F.regexp_extract(p["output"], r'(?i)exit(?:ed)?(?:[ _]with)?(?:[ _](?:code|status))?"?\s*[:= ]\s*(-?\d+)', 1)
+        code = exit_codes(p["output"])
         u = p["info"]["total_token_usage"]
         return j.select(
             F.col("file").alias("session"), F.lit("a").alias("client"), "seq", F.col("j.timestamp").alias("ts"), kind.alias("kind"), null("string").alias("message_id"), p["call_id"].alias("call_id"), p["name"].alias("name"),
-            command(p["name"], p["arguments"]).alias("command"), F.when(kind == "result", F.when(code != "", code == "0")).alias("ok"), F.lit(False).alias("sidechain"), p["model"].alias("model"),
+            command_kinds(p["name"], p["arguments"]).alias("command"), F.when(kind == "result", code == 0).alias("ok"), F.lit(False).alias("sidechain"), p["model"].alias("model"),
             *[u[c].alias(c) for c in ("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens")],
         )
     m = F.col("j.message")
@@ -54,19 +56,11 @@ def events(rows: DataFrame, client: str) -> DataFrame:
     use = F.col("c.type") == "tool_use"
     calls = block.select(
         F.col("file").alias("session"), F.lit("b").alias("client"), "seq", "ts", F.when(use, "call").otherwise("result").alias("kind"), F.col("mid").alias("message_id"), F.coalesce("c.id", "c.tool_use_id").alias("call_id"), F.col("c.name").alias("name"),
-        command(F.col("c.name"), F.col("c.input")).alias("command"), F.when(~use, ~F.coalesce("c.is_error", F.lit(False))).alias("ok"), F.col("side").alias("sidechain"), "model", *[null("long").alias(c) for c in ("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens")],
+        command_kinds(F.col("c.name"), F.col("c.input")).alias("command"), F.when(~use, ~F.coalesce("c.is_error", F.lit(False))).alias("ok"), F.col("side").alias("sidechain"), "model", *[null("long").alias(c) for c in ("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens")],
     )
     return usage.union(calls)
 
 
-def command(name, arguments):
-    """edit, check, command or tool as a column, by the words of a call (LG-7)."""
-    words = F.lower(F.coalesce(arguments, F.lit("")))
-    check = words.rlike(r"\b(pytest|ruff|mypy|tox|tsc|eslint|jest|vitest|unittest|cargo test|go test)\b")
-    edit = F.lower(name).isin("apply_patch", "edit", "write", "str_replace", "multiedit") | words.rlike(r"\bapply_patch\b|\bsed -i")
-    return F.when(name.isNull(), None).when(edit, "edit").when(check, "check").when(words.rlike(r'"(command|cmd)"'), "command").otherwise("tool")
-
-
 def stream(spark: SparkSession, path: str, client: str) -> DataFrame:
     """SRC-12: events of files that appear under path; the query's checkpoint remembers which were read."""
     raw = spark.readStream.text(path, wholetext=False)

@@ -1,11 +1,14 @@
 """Incremental folding of session events (SM-1 to SM-8) with Structured Streaming.
 
-State of a session is its counters and the largest counters of each message; late or repeated events change nothing
-twice. A session's report is overwritten by its key, so a batch that is replayed gives the same table.
+State of a session is bounded: its counters, the ids of its last RECENT events, and the largest counters of its last
+OPEN messages; those of earlier messages are in a sum. Events come in the order of their sequence numbers but for the
+last RECENT, so one below all that are remembered is a repeat. Late or repeated events change nothing twice. A
+session's report is overwritten by its key, so a batch that is replayed gives the same table.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,37 +16,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-REPORT = "session string, n_events long, n_calls long, n_malformed long, total_tokens long, last_seq long"
+RECENT, OPEN = 2000, 500
+REPORT = "session string, n_events long, n_calls long, n_malformed long, n_children long, total_tokens long, last_seq long"
+STATE = "n long, calls long, bad long, children long, last_seq long, floor long, total_seq long, total long, closed long, messages string, seen string"
 
 
 def _fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    n, calls, bad, last_seq, last_total, messages, seen = state.get if state.exists else (0, 0, 0, -1, -1, "{}", "[]")
-    import json
-
-    per, ids = json.loads(messages), set(json.loads(seen))
-    for pdf in parts:
-        for e in pdf.itertuples(index=False):
-            if e.event_id in ids:
-                continue
-            ids.add(e.event_id)
-            n, bad = n + 1, bad + (e.kind == "malformed")
-            calls += e.kind == "call"
-            if e.kind == "usage" and e.total_tokens == e.total_tokens and e.total_tokens is not None:
-                if e.client == "a":
-                    last_total = int(e.total_tokens) if e.seq >= last_seq else last_total
-                else:
-                    per[e.message_id] = max(per.get(e.message_id, 0), int(e.total_tokens))
-            last_seq = max(last_seq, int(e.seq))
-    state.update((n, calls, bad, last_seq, last_total, json.dumps(per), json.dumps(sorted(ids))))
-    total = last_total if last_total >= 0 else sum(per.values()) if per else None
-    yield pd.DataFrame([(key[0], n, calls, bad, total, last_seq)], columns=[x.split()[0] for x in REPORT.split(", ")]).astype({"total_tokens": "Int64"})
+    n, calls, bad, children, last_seq, floor, total_seq, total, closed, messages, seen = state.get if state.exists else (0, 0, 0, 0, -1, -1, -1, -1, 0, "{}", "{}")
+    per, known = json.loads(messages), json.loads(seen)
+    for part in parts:
+        new = part.drop_duplicates("event_id")
+        new = new[(new["seq"] > floor) & ~new["event_id"].isin(known.keys())]
+        if not len(new):
+            continue
+        known.update(zip(new["event_id"], new["seq"].astype(int).tolist(), strict=True))
+        last_seq = max(last_seq, int(new["seq"].max()))
+        side = new["sidechain"].fillna(False).astype(bool)
+        children, new = children + int(side.sum()), new[~side]
+        kinds = new["kind"].value_counts()
+        n, bad, calls = n + len(new), bad + int(kinds.get("malformed", 0)), calls + int(kinds.get("call", 0))
+        usage = new[(new["kind"] == "usage") & new["total_tokens"].notna()]
+        stated = usage[usage["client"] == "a"].sort_values("seq")
+        if len(stated) and int(stated["seq"].iloc[-1]) > total_seq:
+            total_seq, total = int(stated["seq"].iloc[-1]), int(stated["total_tokens"].iloc[-1])
+        for m, rows in usage[usage["client"] != "a"].groupby("message_id", dropna=False, sort=False):
+            old, at = per.get(str(m), (0, -1))
+            per[str(m)] = max(old, int(rows["total_tokens"].max())), max(at, int(rows["seq"].max()))
+    if len(known) > RECENT:
+        known = dict(sorted(known.items(), key=lambda x: (x[1], x[0]))[-RECENT:])
+        floor = min(known.values()) - 1
+    if len(per) > OPEN:
+        done = sorted(per, key=lambda m: (per[m][1], m))[:-OPEN]
+        closed += sum(per.pop(m)[0] for m in done)
+    state.update((n, calls, bad, children, last_seq, floor, total_seq, total, closed, json.dumps(per), json.dumps(known)))
+    tokens = total if total >= 0 else closed + sum(x for x, _ in per.values()) if per else None
+    yield pd.DataFrame([(key[0], n, calls, bad, children, tokens, last_seq)], columns=[x.split()[0] for x in REPORT.split(", ")]).astype({"total_tokens": "Int64"})
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """A report row a session whenever its state changes; events need an event_id of their own (a hash of place)."""
-    rows = events.withColumn("event_id", F.concat_ws(":", F.col("seq").cast("string"), "kind", F.coalesce("call_id", "message_id", F.lit(""))))
-    state = "n long, calls long, bad long, last_seq long, last_total long, messages string, seen string"
-    return rows.groupBy("session").applyInPandasWithState(_fold, REPORT, state, "update", GroupStateTimeout.NoTimeout)
+    """A report row a session whenever its state changes; events need an event_id of their own (a hash of place).
+
+    Events of child sessions (sidechain) are counted apart and change nothing else (SM-6).
+    """
+    rows = events if "sidechain" in events.columns else events.withColumn("sidechain", F.lit(False))
+    rows = rows.withColumn("event_id", F.concat_ws(":", F.col("seq").cast("string"), "kind", F.coalesce("call_id", "message_id", F.lit(""))))
+    rows = rows.select("session", "client", "seq", "kind", "message_id", "total_tokens", "sidechain", "event_id")
+    return rows.groupBy("session").applyInPandasWithState(_fold, REPORT, STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def watch(events: DataFrame, path: str, interval: str | None = None):
+    """SM-7: the running query that folds events into reports under path, every interval, or once to the end of what is there."""
+    writer = fold(events).writeStream.outputMode("update").option("checkpointLocation", f"{path}/checkpoint").foreachBatch(lambda df, n: publish(df, n, f"{path}/reports"))
+    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
 def publish(reports: DataFrame, batch: int, path: str) -> None:

@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalar as S
-from graphloom.operators import evaluate, graph, logs, lookup, pack, text, vector
+from graphloom.operators import evaluate, graph, logs, lookup, pack, text, traces, vector
 from graphloom.operators import edges as E
 
 EDGE = "source_key string, target_key string, relation string, confidence double, resolution_tier string, resolution_status string"
@@ -167,17 +167,115 @@ def test_usage_rules(spark):
     assert {(x.session, x.label, x.label_state) for x in logs.labelled(r, lab).collect()} == {("s", "good", "current"), ("t", None, "stale"), ("u", None, "none")}
 
 
-def test_alignment_and_runs(spark):
+def call(tool, **a):
+    return {"tool": tool, "arguments": a}
+
+
+def best_alignment(gold, calls):
+    """Brute force over all order-keeping pairings of equal tools."""
+    import itertools
+
+    best = (0, 0)
+    for k in range(min(len(gold), len(calls)) + 1):
+        for i in itertools.combinations(range(len(gold)), k):
+            for j in itertools.combinations(range(len(calls)), k):
+                if all(gold[x]["tool"] == calls[y]["tool"] for x, y in zip(i, j, strict=True)):
+                    best = max(best, (k, sum(gold[x]["arguments"] == calls[y]["arguments"] for x, y in zip(i, j, strict=True))))
+    return best
+
+
+def test_alignment_equals_brute_force():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(150):
+        gold, calls = ([call(rng.choice("abc"), x=rng.randrange(2)) for _ in range(rng.randrange(6))] for _ in range(2))
+        worth, pairs = traces.align(gold, calls)
+        assert worth == best_alignment(gold, calls) and len(pairs) == worth[0]
+        assert pairs == sorted(pairs) and all(gold[i]["tool"] == calls[j]["tool"] for i, j in pairs)
+    assert traces.align([call("a", x=1)], [call("a", x=2), call("a", x=1)])[1] == [(0, 1)]
+    # of equal ones the earliest
+    assert traces.align([call("a"), call("a")], [call("a")])[1] == [(0, 0)] and traces.align([call("a")], [call("a"), call("a")])[1] == [(0, 0)]
+
+
+CASE = {"id": "c", "expected_calls": [call("find", q="x"), call("read", p=1)], "expected_evidence": ["e1", "e2"], "forbidden_tools": ["rm"], "dependencies": [{"from_call": 0, "from_result_path": "items[0].id", "to_call": 1, "to_argument": "p"}]}
+GOOD = {"calls": [{**call("find", q="x"), "result": {"items": [{"id": 1}]}}, {**call("read", p=1), "result": "t"}], "returned_evidence": ["e1", "e2"]}
+
+
+def scored(case=None, schemas=None, **run):
+    return traces.Scored({**CASE, **(case or {})}, {**GOOD, **run}, schemas or {}).row()
+
+
+def test_runs():
+    a, b = GOOD["calls"]
+    assert scored()["status"] == "passed" and scored()["exact"] and scored()["argument_f1"] == 1.0
+    assert scored(returned_evidence=["e1", "e2", "e3"])["evidence_precision"] == 0.6667
+    assert scored(returned_evidence=["e1"])["status"] == "failed"
+    assert scored(calls=[call("rm")])["n_unsafe"] == 1
+    assert scored(calls=[a, call("read", p=1)])["status"] == "not_evaluated"
+    # a dependency whose call is missing is not met, and extra calls are not an exact trajectory
+    r = scored(calls=[a])
+    assert (r["n_dependencies"], r["n_dependencies_met"], r["status"]) == (1, 0, "failed")
+    assert scored(calls=[a, b, b])["status"] == "failed" and scored(calls=[a, b, b])["redundant"] == 1
+    assert scored(calls=[a, {**call("read", p=2), "result": "t"}])["argument_recall"] == 0.5
+    # scope, confirmation, carried values
+    assert scored({"scope_paths": ["src"]}, calls=[{**call("find", q="x", file="src/../lib/a.py"), "result": {"items": [{"id": 1}]}}, b])["n_out_of_scope"] == 1
+    assert scored({"requires_confirmation": True})["status"] == "failed" and scored({"requires_confirmation": True}, confirmed=True)["status"] == "passed"
+    carry = {"expected_latest_arguments": [{"call_index": 1, "argument": "p", "value": 1}, {"call_index": 5, "argument": "p", "value": 1}]}
+    assert (scored(carry)["n_carried"], scored(carry)["n_carried_met"], scored(carry)["status"]) == (2, 1, "failed")
+    # final states
+    assert [scored({"expected_state": {"a": 1}}, **s)["status"] for s in ({"final_state": {"a": 1}}, {"final_state": 2}, {})] == ["passed", "failed", "not_evaluated"]
+
+
+def test_argument_schemas_and_grounding():
+    schemas = {"find": {"type": "object", "properties": {"q": {"type": "string"}, "n": {"type": "integer", "default": 5}}}, "read": {"type": "object", "properties": {"p": {"type": "integer"}}, "required": ["p"]}}
+    a, b = GOOD["calls"]
+    stated = {**call("find", q="x", n=5), "result": a["result"]}
+    assert scored(schemas=schemas, calls=[stated, b])["status"] == "passed" and scored(calls=[stated, b])["status"] == "failed"
+    assert scored(schemas=schemas, calls=[{**a, "arguments": {"q": 3}}, {**call("write"), "result": 1}])["n_schema_errors"] == 2
+    assert scored(schemas=schemas, calls=[a, {**b, "arguments": {"p": 1, "z": 1}}])["n_schema_errors"] == 1
+    assert scored({"messages": ["find x now"]})["n_ungrounded"] == 0 and scored({"messages": ["find xy"]})["n_ungrounded"] == 1
+    assert scored({"messages": [{"content": "x", "turn": 2}]})["n_ungrounded"] == 1
+    free = {"expected_calls": [{**call("find", query="The  Words"), "semantic_arguments": ["query"]}], "dependencies": []}
+    one = scored(free, calls=[{**call("find", query="the words"), "result": 1}])
+    assert one["status"] == "passed" and one["argument_recall"] == 0.0
+
+
+def test_recovery_and_abstention():
+    a, b = GOOD["calls"]
+    broken = {**call("find", q="x"), "error": "Timeout while reading"}
+    rule = {"recovery": {"trigger": "timeout", "max_retries": 1}, "expected_calls": [call("find", q="x"), call("find", q="x"), call("read", p=1)], "dependencies": []}
+    r = scored(rule, calls=[broken, a, b])
+    assert (r["recovered"], r["retries"], r["retries_in_limit"], r["outcome"], r["status"]) == (True, 1, True, True, "passed")
+    r = scored(rule, calls=[broken, broken, a, b])
+    assert r["retries"] == 2 and not r["retries_in_limit"] and r["status"] == "failed"
+    assert scored(rule, calls=[broken, b])["recovered"] is False
+    assert scored(rule, calls=[broken, call("find", q="x"), b])["recovered"] is None and scored(rule, calls=[a, a, b])["status"] == "not_evaluated"
+    assert scored(rule, calls=[broken, a, {**b, "error": "other"}])["recovered"] is False
+    quiet = {"should_abstain": True, "clarification_required": True, "dependencies": [], "expected_evidence": []}
+    assert scored(quiet, calls=[], returned_evidence=[], clarification="which?")["status"] == "passed" and scored(quiet, calls=[], returned_evidence=[])["status"] == "failed"
+
+
+def test_runs_as_rows_and_their_faults(spark):
     import json
 
-    call = lambda t, **a: {"tool": t, "arguments": a}
-    assert evaluate.align([call("a"), call("b"), call("c")], [call("b"), call("a"), call("c")])[0] == 2
-    assert evaluate.align([call("a", x=1)], [call("a", x=2), call("a", x=1)])[1] == [(0, 1)]
-    case = {"id": "c", "expected_calls": [call("find", q="x"), call("read", p=1)], "expected_evidence": ["e1", "e2"], "forbidden_tools": ["rm"], "dependencies": [{"from_call": 0, "from_result_path": "items[0].id", "to_call": 1, "to_argument": "p"}]}
-    good = {"run_id": "1", "calls": [{**call("find", q="x"), "result": {"items": [{"id": 1}]}}, call("read", p=1)], "returned_evidence": ["e1", "e2", "e3"], "final_state": "done"}
-    runs = [good, {**good, "run_id": "2", "calls": [call("rm")]}, {**good, "run_id": "3", "final_state": None}, {**good, "run_id": "4", "calls": [good["calls"][0], call("read", p=2)]}]
-    got = {r.run: r for r in evaluate.evaluate_runs(spark.createDataFrame([("c", json.dumps(case))], "case_id string, case string"), spark.createDataFrame([("c", json.dumps(r)) for r in runs], "case_id string, run string")).collect()}
-    assert [got[k].status for k in "1234"] == ["passed", "failed", "not_evaluated", "failed"] and got["1"].exact and got["1"].evidence_precision == 0.6667 and got["2"].n_unsafe == 1
+    cases = spark.createDataFrame([("c", json.dumps(CASE)), ("d", "{"), ("e", json.dumps({"id": "e", "clarification_required": True, "dependencies": [{"from_call": 1, "to_call": 1}]}))], "case_id string, case string")
+    runs = spark.createDataFrame([("c", json.dumps({**GOOD, "run_id": "1"})), ("c", json.dumps({**GOOD, "run_id": "2", "calls": []})), ("z", json.dumps(GOOD))], "case_id string, run string")
+    got = {r.run: r for r in traces.evaluate_runs(cases.where("case_id = 'c'"), runs).collect()}
+    assert got["1"].status == "passed" and got["2"].status == "failed" and got["1"].recovered is None and got["1"].n_calls == 2
+    found = {tuple(r) for r in traces.faults(cases, runs).collect()}
+    assert found == {("d", "no JSON of finite values"), ("e", "clarification needs abstention"), ("e", "a dependency on a later call"), ("z", "an unknown case")}
+
+
+def test_replay():
+    run = {"calls": [call("find", q="x"), call("rm"), call("find", q=3), call("find", q="x", file="../y"), call("bad")]}
+    schemas = {"find": {"type": "object", "properties": {"q": {"type": "string"}}}}
+
+    def bad(args):
+        raise KeyError("k")
+
+    out = traces.replay(run, {"find": lambda a: {"hit": a["q"]}, "bad": bad}, schemas, ["."])
+    assert out["calls"][0]["result"] == {"hit": "x"} and out["blocked_calls"] == 3 and "KeyError" in out["calls"][4]["error"]
 
 
 def test_mapping_and_accounting(spark):
@@ -215,13 +313,49 @@ def test_driver_functions():
     assert S.last_object('x {"a": 1} y {"b": {"c": 2}} z {') == {"b": {"c": 2}}
     assert S.at_path({"a": [{"b": 5}]}, "a[0].b") == 5 and S.at_path({}, "a.b") is None
     assert S.schema_errors({"a": 1}, {"type": "object", "required": ["b"], "properties": {"a": {"type": "string"}}, "additionalProperties": False}) == ["$.b: missing", "$.a: not of type string"]
-    assert S.command_kind("shell", {"command": "python -m pytest -q"}) == "check" and S.command_kind("apply_patch", {}) == "edit" and S.command_kind("shell", {"cmd": "ls"}) == "command" and S.command_kind("read", {"p": 1}) == "tool"
-    assert S.exit_status('{"metadata": {"exit_code": 3}}') == 3 and S.exit_status("Process exited with code 0") == 0 and S.exit_status("x") is None
     assert S.join_path("a/b", "../c") == "a/c" and S.join_path("a", "../../c") is None
     with pytest.raises(ValueError):
         S.cursor_offset("!!", "g", "q")
 
 
+COMMANDS = {
+    "pytest -q": "check", "cd a/b && python -m pytest": "check", "ls; pytest": "check", "pytest; ls": "command", "pytest -q | tee log": "command", "pytest > log": "command", "pytest || true": "command", "pytest &": "command",
+    "grep -rn pytest .": "command", "npm run test": "check", "npx jest": "check", "/usr/bin/pytest x": "check", "python3.12 -m unittest": "check", "python pytest.py": "command", "go test ./...": "check", "cargo build": "command", "yarn test": "check",
+    "echo 'pytest; x'": "command", "echo 'open": "command", "": "command", "pytest &&": "command", "npx": "command", "''": "command",
+}
+
+
+@pytest.mark.parametrize(("line", "kind"), COMMANDS.items())
+def test_command_kinds(line, kind):
+    import json
+
+    assert S.command_kind("Bash", {"command": line}) == kind and S.command_kind("exec_command", json.dumps({"cmd": line})) == kind
+
+
+def test_calls_that_are_no_commands(spark):
+    assert [S.command_kind(n, a) for n, a in (("Edit", {}), ("apply_patch", "x"), ("search", {"text": "how to run pytest"}), ("Bash", "no json"), ("Bash", [1]), ("Bash", {"command": 3}))] == ["edit", "edit", "tool", "command", "command", "command"]
+    df = spark.createDataFrame([("Bash", '{"cmd": "pytest"}'), (None, "x"), ("Edit", None)], "n string, a string")
+    assert [r[0] for r in df.select(S.command_kinds("n", "a")).collect()] == ["check", None, "edit"]
+
+
+def test_exit_status(spark):
+    import json
+
+    rows = {
+        '{"exit_code": 3, "output": "x"}': 3, '{"exit_code": 3}': None, '{"exit_code": true, "output": ""}': None, "Process exited with code 0": 0, "x\nExit code: -2\nOutput: y": -2, "Output: Exit code: 1": None, "it said exit code: 3": None, "x" * 600 + "\nExit code: 1": None,
+        json.dumps([{"type": "text", "text": '{"exit_code": 7, "chunk_id": "c"}'}]): 7, json.dumps([{"type": "image", "text": '{"exit_code": 7, "chunk_id": "c"}'}]): None, "": None,
+    }
+    assert {k: S.exit_status(k) for k in rows} == rows and S.exit_status(None) is None
+    got = spark.createDataFrame([(k,) for k in rows], "o string").select("o", S.exit_codes("o").alias("c")).collect()
+    assert {r.o: r.c for r in got} == rows
+
+
+def test_answer_paths(spark):
+    rows = {" ./a//b.py ": "a/b.py", "a\\b": "a/b", "/a": None, "a/../b": None, "C:\\x": None, "": None, "././a": "a", "a/..b": "a/..b"}
+    got = spark.createDataFrame([(k,) for k in rows], "p string").select("p", S.answer_path("p").alias("a")).collect()
+    assert {r.p: r.a for r in got} == rows
+
+
 def test_scalar_columns(spark):
     df = spark.createDataFrame([("getHTTPResponse_code2", "src/a.b/x.test.py", "ééé")], "n string, p string, t string")
     r = df.select(S.words("n").alias("w"), S.name_shape("n").alias("s"), S.suffix("p").alias("x"), S.stem("p").alias("m"), S.folder("p").alias("f"), S.ancestors("p").alias("a"), S.byte_prefix("t", F.lit(3)).alias("b"), S.name_shape(F.lit("get")).alias("none")).first()

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,34 +12,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators.settle import forget_at_exit, shared_dir
+
 #: A-Z to a-z and nothing else; bytes.split() then cuts at exactly 0x20 and 0x09-0x0D.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: The word rule `[^\x20\x09-\x0D]+` for Spark's and DuckDB's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own: dict[str, str] = {}
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); an own folder only where none is set, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-    return _own[app]
+_within: list[list[Scratch]] = []
+
+
+@contextlib.contextmanager
+def temporary() -> Iterator[None]:
+    """Removes the scratch tables made inside at its end, when what is built on them has been written."""
+    _within.append([])
+    try:
+        yield
+    finally:
+        for made in _within.pop():
+            made.remove()
 
 
 class Scratch:
-    """Parquet tables in the shared folder that cut lineage; an executor's loss costs no more than a reread."""
+    """Parquet tables in the shared folder that cut lineage; an executor's loss costs no more than a reread.
+
+    They are gone when temporary() ends, or when the driver does.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        forget_at_exit(spark, self.root)
+        if _within:
+            _within[-1].append(self)
+
+    def remove(self) -> None:
+        """Removes all its tables."""
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        sc = self.spark.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         path = f"{self.root}/{name}-{self.n}"
@@ -52,10 +68,8 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Removes tables that no unread result is built on."""
-        sc = self.spark.sparkContext
         for t in tables:
-            path = sc._jvm.org.apache.hadoop.fs.Path(t._scratch)
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(t._scratch)
 
 
 def binary(batch: pa.RecordBatch, column: str) -> list[bytes]:

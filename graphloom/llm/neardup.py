@@ -268,8 +268,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75) -> DataFrame:
     held = tmp.save(components(edges, tmp), "held")
     tmp.drop(shared, met)
     count = held.groupBy("component").agg(F.count("*").alias("size"))
-    held = held.join(count, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cc"), "size")
-    held = tmp.save(held.join(one.select("doc_id", "sketch"), "doc_id").dropDuplicates(["doc_id"]), "held")
+    held = small(held).join(small(count), "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cc"), "size")
+    held = tmp.save(small(held).join(one.select("doc_id", "sketch"), "doc_id").groupBy("doc_id").agg(*[F.min(c).alias(c) for c in ("cc", "size", "sketch")]), "held")
 
     # the full sets of a component travel once, to where its links are confirmed
     sets = texts.join(small(held), "doc_id").mapInArrow(_sets, "doc_id long, cc long, size long, sketch binary, shingles binary")

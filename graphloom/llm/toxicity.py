@@ -7,8 +7,9 @@ that the toxic dictionary shortens go into the ordinary one, toxic windows that
 Thresholded counts of a document's windows are calibrated into a probability on labelled rows kept apart.
 
 Learning reads at most FIT_TOXIC + FIT_ORDINARY labelled documents in the order of the md5 of their ids. Dictionaries
-are trained on FIT_WINDOWS windows of each, drawn by hash from the whole text; the calibration takes whole texts, whose
-windows are counted in tasks, and so does scoring.
+are trained on at most TOXIC_WINDOWS or ORDINARY_WINDOWS windows of each, drawn by hash from the whole text in tasks,
+so the driver holds no texts; they are of at most ORDINARY_BYTES and TOXIC_BYTES, with HARD_BYTES of ordinary windows
+that look toxic. The calibration takes whole texts, whose windows are counted in tasks, and so does scoring.
 
 Nulls and edges: a null text counts as empty; empty texts have the score of a text without hits; labels of null
 toxic or doc_id are ignored, and of repeated labels the larger counts; without labels of both kinds every score is
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import LOWER, Scratch, binary, crc_mod, hashed, share_of, slices, trim
 
-FIT_TOXIC, FIT_ORDINARY, FIT_WINDOWS = 2000, 5000, 200
+FIT_TOXIC, FIT_ORDINARY, TOXIC_WINDOWS, ORDINARY_WINDOWS = 2000, 5000, 200, 30
 WINDOW, LEVEL, ROUNDS = 12, 12, 3
 ORDINARY_BYTES, HARD_BYTES, TOXIC_BYTES = 65536, 49152, (4096, 8192, 16384)
 THRESHOLDS = (2, 3, 4, 5, 7)
@@ -114,7 +115,7 @@ def _train(size: int, samples: list[bytes]) -> bytes:
 def dictionaries(good: list[bytes], bad: list[bytes]) -> list[tuple[bytes, bytes]]:
     """Pairs of an ordinary and a toxic dictionary, one for each of TOXIC_BYTES."""
     rng = np.random.default_rng(5)
-    good = [good[i] for i in rng.permutation(len(good))[:60000]]
+    good = [good[i] for i in rng.permutation(len(good))]
     base = _train(ORDINARY_BYTES, good)
 
     def attempt(size: int) -> tuple[bytes, bytes]:
@@ -165,7 +166,8 @@ def sampled(rows: DataFrame) -> DataFrame:
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ws = [drawn(t, k, FIT_WINDOWS) for t, k in zip(binary(batch, "__text"), binary(batch, "__h"), strict=True)]
+            most = [TOXIC_WINDOWS if x == 1 else ORDINARY_WINDOWS for x in batch.column("__toxic").to_pylist()]
+            ws = [drawn(t, k, n) for t, k, n in zip(binary(batch, "__text"), binary(batch, "__h"), most, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("__h"), batch.column("__toxic").cast(pa.int64()), pa.array(ws, pa.list_(pa.binary()))], ["__h", "__toxic", "ws"])
 
     return rows.select("__h", "__toxic", "__text").mapInArrow(fn, "__h string, __toxic long, ws array<binary>")

@@ -66,7 +66,7 @@ def test_toxicity_learns_from_whole_texts(frame, spark, monkeypatch):
     """Toxic passages at the end of labelled texts, behind more windows than a dictionary takes of each."""
     rng = random.Random(3)
     rows = [(i, f"{' '.join(rng.choice(['abcd', 'efgh', 'ijkl', 'mnop', 'dcba', 'hgfe']) for _ in range(240))} {t}", s, y) for i, t, s, y in toxic_corpus(400)]
-    monkeypatch.setattr(toxicity, "FIT_WINDOWS", 15)
+    monkeypatch.setattr(toxicity, "TOXIC_WINDOWS", 15)
     docs = frame([r[:3] for r in rows])
     labels = spark.createDataFrame([(i, 1, y) for i, _, _, y in rows], "doc_id long, quality int, toxic int")
     truth = {i: y for i, _, _, y in rows}

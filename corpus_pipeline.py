@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import exactdup, mixing, neardup, pieces, toxicity
-from graphloom.llm.common import Scratch, documents
+from graphloom.llm.common import Scratch, documents, temporary
 from graphloom.plans.ship import ship
 
 
@@ -42,7 +42,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    docs, tmp = documents(spark, sf_dir), Scratch(spark, "pipeline")
+    docs, tmp, last = documents(spark, sf_dir), Scratch(spark, "pipeline"), None
     for name, stage in STAGES:
-        docs = tmp.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with temporary():
+            docs = tmp.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if last is not None:
+            tmp.drop(last)
+        last = docs
     return docs

@@ -37,7 +37,7 @@ from graphloom.llm.common import LOWER, Scratch, binary, crc_mod, hashed, share_
 WORDS, CLASSES, CONTEXT, DIM = 192, 64, 4, 16
 KNOWN, FIT_DOCS, FIT_TOKENS, NOISE, PASSES = 200_000, 2000, 400_000, 12, 4
 #: Rounds over the whole corpus, and the most that the first of them changes a parameter by.
-STEPS, RATE = 24, 0.06
+STEPS, RATE = 16, 0.06
 #: Distinct words that a task holds before it hands their counts on.
 HOLD = 200_000
 OUT = WORDS + CLASSES
@@ -112,16 +112,24 @@ class Model:
 
     def hidden(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """What the context of each outcome predicts with, and a one for the biases."""
-        n = len(ids)
-        out = np.ones((n, DIM + 1), np.float32)
+        real, x = padded(ids, at)
+        out = np.ones((len(ids), DIM + 1), np.float32)
         out[:, :DIM] = 0
-        for j in range(1, CONTEXT + 1):
-            before = np.full(n, OUT)
-            before[j:] = np.where(at[j:] >= j, ids[: n - j if n > j else 0], OUT)
-            out[:, :DIM] += (self.r * self.w[j - 1])[before]
+        for j in range(1, CONTEXT + 1, 2):  # two places of the context at once
+            pair = (self.r * self.w[j - 1])[:, None] + (self.r * self.w[j])[None]
+            out[:, :DIM] += pair.reshape(-1, DIM)[x[real - j] * (OUT + 1) + x[real - j - 1]]
         return out
 
 
+def padded(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the outcomes among all texts with CONTEXT empty places (OUT) before each, and what stands there."""
+    texts = np.cumsum(at == 0)
+    real = np.arange(len(ids)) + CONTEXT * texts
+    x = np.full(len(ids) + CONTEXT * (int(texts[-1]) if len(ids) else 0), OUT)
+    x[real] = ids
+    return real, x
+
+
 def train(ids: np.ndarray, at: np.ndarray, share: np.ndarray, seed: int = 3) -> Model:
     """A log-bilinear model by noise-contrastive estimation with share as the noise, by Adagrad on minibatches."""
     rng = np.random.default_rng(seed)
@@ -164,34 +172,33 @@ def train(ids: np.ndarray, at: np.ndarray, share: np.ndarray, seed: int = 3) ->
 
 def gradient(m: Model, ids: np.ndarray, at: np.ndarray, share: np.ndarray) -> list[np.ndarray]:
     """Sums over the outcomes of the gradients of q, b, r and w; every outcome is noise with its expected number."""
-    expected, own, n = (NOISE * share).astype(np.float32), m.r[ids], len(ids)
-    h = m.hidden(ids, at)
+    n, h, expected = len(ids), m.hidden(ids, at), (NOISE * share).astype(np.float32)
     # the chance to be data is (1 + tanh of half the score) / 2
     half = (np.concatenate([m.q, (m.b - np.log(expected))[:, None]], 1) / 2).T.copy()
-    noise = expected[:, None] * m.q / 2
-    g, dh, hit, s = np.zeros((OUT, DIM + 1)), np.empty((n, DIM), np.float32), np.empty(n, np.float32), np.empty((BLOCK, OUT), np.float32)
+    weight = expected[:, None] / 2
+    pulls, pushed, miss = weight * m.q, np.zeros((OUT, DIM + 1)), np.empty(n, np.float32)
+    dh, s = np.empty((n, DIM), np.float32), np.empty((BLOCK, OUT), np.float32)
     for a in range(0, n, BLOCK):
         z = min(n, a + BLOCK)
         t = np.matmul(h[a:z], half, out=s[: z - a])
         np.tanh(t, out=t)
-        hit[a:z] = t[np.arange(z - a), ids[a:z]]
-        np.matmul(t, noise, out=dh[a:z])
-        g += t.T @ h[a:z]
-    hit = (1 - hit) / 2  # of each outcome, the chance not to be data
-    g = np.stack([np.bincount(ids, hit * h[:, d], OUT) for d in range(DIM + 1)], 1) - expected[:, None] / 2 * (g + h.sum(0, dtype=np.float64))
-    dh += noise.sum(0)
-    np.subtract(hit[:, None] * m.q[ids], dh, out=dh)
-    # what each token's vector gets from the outcomes after it in its text
-    back, gw, gr = np.zeros((n, DIM), np.float32), np.zeros(m.w.shape), np.zeros(m.r.shape)
-    whole = dh.sum(0, dtype=np.float64)
+        miss[a:z] = t[np.arange(z - a), ids[a:z]]
+        np.matmul(t, pulls, out=dh[a:z])
+        pushed += t.T @ h[a:z]
+    miss = (1 - miss) / 2  # of each outcome, the chance not to be data
+    g = np.stack([np.bincount(ids, miss * h[:, d], OUT) for d in range(DIM + 1)], 1) - weight * (pushed + h.sum(0, dtype=np.float64))
+    dh += pulls.sum(0)
+    np.subtract(miss[:, None] * m.q[ids], dh, out=dh)
+    # what the vector at each place gets from the outcomes after it in its text
+    real, x = padded(ids, at)
+    wide = np.zeros((len(x) + CONTEXT, DIM), np.float32)
+    wide[real] = dh
+    back, own, gw = np.zeros((len(x), DIM), np.float32), m.r[x], np.empty(m.w.shape)
     for j, w in enumerate(m.w, 1):
-        later = dh[j:] * (at[j:] >= j)[:, None]
-        back[: n - j if n > j else 0] += later * w
-        outer = whole - later.sum(0, dtype=np.float64)
-        gw[j - 1] = np.einsum("nd,nd->d", later, own[: n - j if n > j else 0], dtype=np.float64) + outer * m.r[OUT]
-        gr[OUT] += outer * w
-    for d in range(DIM):
-        gr[:, d] += np.bincount(ids, back[:, d], OUT + 1)
+        later = wide[j : j + len(x)]
+        back += later * w
+        gw[j - 1] = np.einsum("nd,nd->d", later, own, dtype=np.float64) if n else 0
+    gr = np.stack([np.bincount(x, back[:, d], OUT + 1) for d in range(DIM)], 1)
     return [g[:, :DIM], g[:, DIM], gr, gw]
 
 

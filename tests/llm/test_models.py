@@ -181,7 +181,8 @@ def test_gradient_is_that_of_every_token():
     rng = np.random.default_rng(2)
     sizes = np.array([1, 3, 700, 2])
     ids, at = rng.integers(0, lm.OUT, sizes.sum()), lm.places(sizes)
-    share = np.full(lm.OUT, 1 / lm.OUT)
+    share = rng.random(lm.OUT) + 0.1
+    share /= share.sum()
     m = lm.train(rng.integers(0, lm.OUT, 3000), np.arange(3000) % 50, share)
     whole, ends = lm.gradient(m, ids, at, share), np.cumsum(sizes)
     parts = [lm.gradient(m, ids[z - n : z], at[z - n : z], share) for n, z in zip(sizes, ends, strict=True)]
@@ -204,6 +205,17 @@ def test_gradient_is_that_of_every_token():
         assert abs(slope - g[at_most]) < 0.02 * abs(slope) + 1e-2
 
 
+def test_context_stays_in_its_text():
+    rng = np.random.default_rng(4)
+    m = lm.train(rng.integers(0, lm.OUT, 3000), np.arange(3000) % 50, np.full(lm.OUT, 1 / lm.OUT))
+    sizes = np.array([2, 1, 5])
+    ids, at = rng.integers(0, lm.OUT, 8), lm.places(sizes)
+    h = m.hidden(ids, at)
+    for i in range(8):
+        before = [ids[i - j] if at[i] >= j else lm.OUT for j in range(1, lm.CONTEXT + 1)]
+        assert np.allclose(h[i], [*sum(m.r[x] * w for x, w in zip(before, m.w, strict=True)), 1], atol=1e-5)
+
+
 # -- pieces
 
 

@@ -16,9 +16,10 @@ from graphloom.functions.scalar import words
 from graphloom.operators import edges as E
 from graphloom.operators import facts, graph, lookup, modules, pack, resolve, snapshot, text
 from graphloom.operators.lookup import Envelope
+from graphloom.operators.settle import settle
 from graphloom.sources import repo
 
-VERSIONS = {"facts": facts.VERSION, "edges": 1, "chunks": 1}
+VERSIONS = {"facts": facts.VERSION, "edges": 2, "chunks": 2}
 
 
 class Engine:
@@ -49,19 +50,27 @@ class Engine:
         if state["state"] == "ready":
             return {"generation": self.store.generation(), **state, "rebuilt": False}
         code = files.where("kind IN ('source', 'test') AND omission IS NULL")
-        previous = self.store.table("facts") if old is not None and meta.get("versions") == VERSIONS else None
-        known = facts.settle_facts(facts.refreshed(code, previous))
-        configs = modules.read_configs([p for p, _ in listed], read)
-        built = resolve.build_edges(known, code.select("path"), configs)
-        kind = files.select(F.col("path").alias("file_path"), F.col("kind").alias("file_kind"), "content_hash")
-        symbols = built["symbols"].select("node_key", "name", F.col("node_key").alias("qualified_name"), "kind", F.col("path").alias("file_path"), F.col("first").alias("start_line"), F.col("last").alias("end_line")).join(kind, "file_path", "left")
+        usable = old is not None and meta.get("versions") == VERSIONS
+        # a change that no reference can see leaves the edges as they are (RES-21)
+        alike = usable and meta.get("config") == digest and E.difference(old.where("kind IN ('source', 'test')"), inputs.where("kind IN ('source', 'test')"), ["path"], ["kind", "content_hash"]).isEmpty()
+        if alike:
+            tables = {n: self.store.table(n) for n in ("facts", "symbols", "edges")}
+        else:
+            known = facts.settle_facts(facts.refreshed(code, self.store.table("facts") if usable else None))
+            configs = modules.read_configs([p for p, _ in listed], read)
+            built = resolve.build_edges(known, code.select("path"), configs)
+            kind = files.select(F.col("path").alias("file_path"), F.col("kind").alias("file_kind"), "content_hash")
+            symbols = built["symbols"].select("node_key", "name", F.col("node_key").alias("qualified_name"), "kind", F.col("path").alias("file_path"), F.col("first").alias("start_line"), F.col("last").alias("end_line")).join(kind, "file_path", "left")
+            tables = {"facts": known, "symbols": symbols, "edges": built["edges"]}
         evidence = files.where("omission IS NULL AND kind IN ('source', 'test', 'doc', 'config')")
-        chunks = text.chunks(evidence.select("path", F.col("kind").alias("scope"), "text")).withColumn("terms", words(F.concat_ws(" ", "path", "heading", "body")))
+        chunks = settle(text.chunks_refreshed(evidence.select("path", F.col("kind").alias("scope"), "content_hash", "text"), self.store.table("chunks") if usable else None))
         hold = lambda: repo.scan(self.spark, root).select("path", "kind", "content_hash").exceptAll(inputs).isEmpty()
-        tables = {"files": inputs.withColumn("size", F.lit(None).cast("long")), "texts": evidence.select("path", "content_hash", "text"), "facts": known, "symbols": symbols, "edges": built["edges"], "containers": modules.containers(inputs), "chunks": chunks}
+        tables |= {"files": inputs.withColumn("size", F.lit(None).cast("long")), "texts": evidence.select("path", "content_hash", "text"), "containers": modules.containers(inputs), "chunks": chunks}
+        tables |= {"postings": text.postings(chunks, ["path", "start_line", "end_line"], "terms", ("scope",)), "statistics": text.statistics(chunks, "terms")}
         g = self.store.publish(tables, check=hold, versions=VERSIONS, config=digest)
+        self.store.prune()
         counts = {r["relation"]: r["n"] for r in E.counts(self.store.table("edges")).collect()}
-        return {"generation": g, **state, "rebuilt": True, "symbols": self.store.table("symbols").count(), "edges": counts}
+        return {"generation": g, **state, "rebuilt": True, "edges_kept": alike, "symbols": self.store.table("symbols").count(), "edges": counts}
 
     def doctor(self, root: str) -> dict:
         """Whether the index stands for the tree as it is."""
@@ -147,7 +156,7 @@ class Engine:
     def _context(self, task: str, targets: list[str], budget: int, at: int, scopes: tuple[str, ...]) -> dict:
         chunks = self._table("chunks")
         query = text.query_terms(self.spark.createDataFrame([(task,)], "text string"))
-        best = text.bm25(chunks, ["path", "start_line", "end_line"], "terms", query, keep=F.col("scope").isin(*scopes))
+        best = text.search(self._table("postings"), self._table("statistics"), query, ["path", "start_line", "end_line"], keep=F.col("scope").isin(*scopes))
         turns = text.round_robin(best, "path", [F.col("score").desc(), F.col("path"), F.col("start_line")])
         exact, missing = text.exact_tier(self._table("symbols"), chunks, self.spark.createDataFrame([(t,) for t in dict.fromkeys(targets)], "target string"))
         merged = text.merged(exact, turns)

@@ -54,6 +54,27 @@ def mapped(theirs: DataFrame, ours: DataFrame) -> DataFrame:
     return out.select("their_id", F.coalesce("exact_id", "near_id").alias("our_id"), F.when(F.col("exact_id").isNotNull(), "exact").when(F.col("near_id").isNotNull(), "unique").otherwise("unmapped").alias("mapping"))
 
 
+def compare_pairs(theirs: DataFrame, ours: DataFrame, their_symbols: DataFrame, our_symbols: DataFrame) -> DataFrame:
+    """EV-15: one row: pairs of symbols that both graphs, only ours or only theirs connect, and their pairs that map to none of ours."""
+    m = mapped(their_symbols, our_symbols).select("their_id", "our_id")
+    pair = theirs.select(F.col("source").alias("s"), F.col("target").alias("t")).distinct()
+    pair = pair.join(m.withColumnsRenamed({"their_id": "s", "our_id": "source"}), "s", "left").join(m.withColumnsRenamed({"their_id": "t", "our_id": "target"}), "t", "left")
+    found = scores(pair.where("source IS NOT NULL AND target IS NOT NULL"), ours, ["source", "target"])
+    lost = pair.where("source IS NULL OR target IS NULL").agg(F.count("*").alias("unmapped"))
+    return found.join(lost)
+
+
+#: EV-23: what a record of an adjudicated edge has, and its verdicts. Who finds them is no part of this engine.
+ADJUDICATION, VERDICTS = "repo_sha string, source_key string, target_key string, relation string, verdict string, category string", ("true", "false", "unclear")
+
+
+def adjudicated(records: DataFrame) -> DataFrame:
+    """EV-23: records of known verdicts, one an edge; edges with two verdicts are unclear."""
+    known = records.where(F.col("verdict").isin(*VERDICTS))
+    one = known.groupBy("repo_sha", "source_key", "target_key", "relation").agg(F.countDistinct("verdict").alias("n"), F.min("verdict").alias("verdict"), F.min("category").alias("category"))
+    return one.withColumn("verdict", F.when(F.col("n") > 1, "unclear").otherwise(F.col("verdict"))).drop("n")
+
+
 def weights(tasks: DataFrame) -> DataFrame:
     """AG-15: 1 / (languages * repositories of the language * strata of the repository * tasks of the stratum)."""
     size = lambda c, *by: F.size(F.collect_set(c).over(W.partitionBy(*by)))

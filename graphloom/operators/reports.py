@@ -135,6 +135,12 @@ def attempts(spark, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(f"{path}/*.json").dropDuplicates(["session_id", "attempt"])
 
 
+def pending(schedule: DataFrame, made: DataFrame, most: int = 2) -> DataFrame:
+    """SNK-10: what of a schedule (session_id) is left to do by inspection of its attempts: no valid one, and fewer than `most`."""
+    done = made.groupBy("session_id").agg(F.bool_or("valid").alias("valid"), F.count("*").alias("n")).where(F.col("valid") | (F.col("n") >= most))
+    return schedule.join(done.select("session_id"), "session_id", "left_anti")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """SNK-11"""
     df.write.mode("overwrite").option("header", True).csv(path)

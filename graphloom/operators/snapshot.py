@@ -71,6 +71,15 @@ class Store:
         self._fs.delete(self._path(f"{self.root}/{MARKER}"), False)
         return g
 
+    def prune(self) -> list[str]:
+        """RES-21: removes generations but the current and the one before it, which answers what changed."""
+        meta = self.metadata()
+        old = [f.getPath() for f in self._fs.listStatus(self._path(self.root)) if f.isDirectory()]
+        gone = [p for p in old if len(p.getName()) == 32 and p.getName() not in (meta.get("generation"), meta.get("previous"))]
+        for p in gone:
+            self._fs.delete(p, True)
+        return [p.getName() for p in gone]
+
     def crashed(self) -> bool:
         """Whether a build began and did not end."""
         return self._read(MARKER) is not None

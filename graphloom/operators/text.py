@@ -1,4 +1,4 @@
-"""Text retrieval: chunks, BM25, exact tier, diversification, condensed logs (TX-1 to TX-10, WN-2, WN-6, EXT-17/18)."""
+"""Text retrieval: chunks, BM25, exact tier, diversification, condensed logs (TX-1 to TX-6, TX-8, TX-9, JN-13, WN-2, WN-6, EXT-17/18)."""
 
 from __future__ import annotations
 
@@ -51,29 +51,70 @@ def query_terms(query: DataFrame, text: str = "text") -> DataFrame:
     return query.select(F.explode(F.slice(F.array_distinct(words(text)), 1, QUERY_TERMS)).alias("term"))
 
 
-def bm25(units: DataFrame, key: list[str], terms: str, query: DataFrame, keep: Column | None = None, top: int = TOP) -> DataFrame:
-    """(key, score): the best units for the query's terms.
+def postings(units: DataFrame, key: list[str], terms: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(term, key, carry, dl, tf): the words of units, in the order of terms, so that a query reads those of its own terms.
+
+    Counting is whole within a task, as a unit is a row; ranges of terms keep a frequent word's rows in several files.
+    """
+    each = units.select(*key, *carry, F.size(terms).alias("dl"), F.explode(terms).alias("term"))
+    return each.groupBy("term", *key, *carry, "dl").agg(F.count("*").cast("int").alias("tf")).repartitionByRange("term", *key).sortWithinPartitions("term", *key)
+
+
+def statistics(units: DataFrame, terms: str) -> DataFrame:
+    """One row: the number of units and their mean length."""
+    return units.agg(F.count("*").alias("n"), F.avg(F.size(terms)).alias("mean"))
 
-    Numbers of units and their mean length are over all units; keep only chooses what is returned. Words are read
-    once: of each unit its length and the query's terms in it are settled, and all else works on those.
+
+def search(posted: DataFrame, stats: DataFrame, query: DataFrame, key: list[str], keep: Column | None = None, top: int = TOP) -> DataFrame:
+    """(key, score): the best units for the query's terms by BM25, from postings and statistics of all units.
+
+    keep only chooses what is returned. The query's terms are at most QUERY_TERMS and reach the scan of the postings.
     """
     wanted = [r["term"] for r in query.limit(QUERY_TERMS).collect()]
-    hits = F.filter(terms, lambda w: w.isin(*wanted) if wanted else F.lit(False))
-    sized = settle(units.select(*key, F.size(terms).alias("__dl"), hits.alias("__hits"), *([keep.alias("__keep")] if keep is not None else [])))
-    stats = sized.agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"))
-    tf = sized.select(*[c for c in sized.columns if c != "__hits"], F.explode("__hits").alias("term"))
-    tf = tf.groupBy(*tf.columns).agg(F.count("*").alias("__tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("__df"))
-    joined = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
-    idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("__n") - F.col("__df") + 0.5) / (F.col("__df") + 0.5)))
-    part = idf * F.col("__tf") * (K1 + 1) / (F.col("__tf") + K1 * (1 - B + B * F.col("__dl") / F.col("__avg")))
+    rows = posted.where(F.col("term").isin(*wanted) if wanted else F.lit(False))
+    df = rows.groupBy("term").agg(F.count("*").alias("__df"))
+    joined = rows.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
+    idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("n") - F.col("__df") + 0.5) / (F.col("__df") + 0.5)))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
     if keep is not None:
-        joined = joined.where("__keep")
+        joined = joined.where(keep)
     # parts are summed in the order of terms, so sums agree between runs
     score = F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("term", part.alias("p")))), lambda x: x["p"]), F.lit(0.0), lambda a, x: a + x)
     return joined.groupBy(*key).agg(score.alias("score")).orderBy(F.col("score").desc(), *key).limit(top)
 
 
+def bm25(units: DataFrame, key: list[str], terms: str, query: DataFrame, keep: Column | None = None, top: int = TOP) -> DataFrame:
+    """search() of units that have no postings yet: their words are read once and settled."""
+    wanted = [r["term"] for r in query.limit(QUERY_TERMS).collect()]
+    hits = F.filter(terms, lambda w: w.isin(*wanted) if wanted else F.lit(False))
+    carry = [keep.alias("__keep")] if keep is not None else []
+    sized = settle(units.select(*key, F.size(terms).alias("dl"), hits.alias("__hits"), *carry))
+    stats = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
+    tf = sized.withColumn("term", F.explode("__hits")).drop("__hits")
+    tf = tf.groupBy(*tf.columns).agg(F.count("*").alias("tf"))
+    return search(tf, stats, query, key, F.col("__keep") if keep is not None else None, top)
+
+
+def evidence(chunked: DataFrame, files: DataFrame, scopes: tuple[str, ...]) -> DataFrame:
+    """JN-13: chunks of the scopes whose file is evidence (path, content_hash, omission), with the file's hash."""
+    return chunked.where(F.col("scope").isin(*scopes)).join(files.where("omission IS NULL").select("path", "content_hash"), "path")
+
+
+def chunks_refreshed(docs: DataFrame, previous: DataFrame | None) -> DataFrame:
+    """TX-3: chunks with terms of docs (path, scope, content_hash, text); those of the same path, scope and hash are
+    taken from the previous snapshot, unread."""
+    key = ["path", "scope", "content_hash"]
+
+    def made(some: DataFrame) -> DataFrame:
+        hashes = some.select(*key)
+        return chunks(some).join(hashes, ["path", "scope"]).withColumn("terms", words(F.concat_ws(" ", "path", "heading", "body")))
+
+    if previous is None:
+        return made(docs)
+    kept = previous.join(docs.select(*key), key, "left_semi")
+    return kept.unionByName(made(docs.join(previous.select(*key).distinct(), key, "left_anti")))
+
+
 def round_robin(rows: DataFrame, bucket: str, order: list) -> DataFrame:
     """WN-2: buckets take turns, in the order of their first row; position counts from 1."""
     ranked = rows.withColumn("__rank", F.row_number().over(W.orderBy(*order)))

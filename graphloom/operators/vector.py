@@ -1,4 +1,4 @@
-"""Vectors: validation, cosine top-k, reciprocal-rank fusion (VC-1 to VC-6, WN-1)."""
+"""Vectors: validation, cosine top-k, reciprocal-rank fusion, fallbacks, helper order (VC-1 to VC-9, JN-12, JN-16, WN-1)."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ from graphloom.functions.scalar import byte_prefix
 
 #: The constant of rank fusion, results of a list, bytes and chunks that are embedded at most.
 FUSION, TOP, INPUT_BYTES, MOST_CHUNKS = 60, 200, 6144, 4096
+#: Items that a helper is shown at most.
+HELPED = 20
 
 
 def doubles(v: str) -> Column:
@@ -40,7 +42,12 @@ def dot(a: str, b: str) -> Column:
 
 
 def cosine_top(vectors: DataFrame, key: str, v: str, query: DataFrame, size: int, top: int = TOP) -> DataFrame:
-    """(key, score): the nearest to one query row, best first, keys breaking ties; the query travels, not the vectors."""
+    """(key, score): the nearest to one query row, best first, keys breaking ties; the query travels, not the vectors.
+
+    A query of more than one row is an error.
+    """
+    if query.limit(2).count() > 1:
+        raise ValueError("one query row at a time")
     q = normalised(query.select(F.col(v).alias("__q")), "__q", size)
     return normalised(vectors.select(key, v), v, size).crossJoin(F.broadcast(q)).select(key, dot(v, "__q").alias("score")).orderBy(F.col("score").desc(), key).limit(top)
 
@@ -96,3 +103,48 @@ def refreshed(chunks: DataFrame, stored: DataFrame | None, load: Callable, size:
         return embedded(chunks, load, size)
     kept = stored.join(chunks.select("key"), "key", "left_semi")
     return kept.unionByName(embedded(to_embed(chunks, stored, "key"), load, size))
+
+
+def keyed(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """JN-12: chunks with the vectors of their keys; chunks of equal inputs share one."""
+    return chunks.join(vectors.select("key", "vector"), "key")
+
+
+def semantic_state(stored: dict | None, wanted: dict, vectors: DataFrame | None, current: DataFrame, key: list[str]) -> str:
+    """VC-6: disabled, corrupt, busy, stale or ready, of a store's metadata and vectors against what is wanted."""
+    if stored is None or vectors is None:
+        return "disabled"
+    if stored.get("building"):
+        return "busy"
+    if any(stored.get(k) != v for k, v in wanted.items()):
+        return "stale"
+    if not vectors.where(~F.coalesce(valid("vector", wanted["size"]), F.lit(False))).isEmpty():
+        return "corrupt"
+    return "ready" if fresh(vectors, current, key) else "stale"
+
+
+def ranked(state: str, semantic: Callable[[], DataFrame], lexical: DataFrame, key: str, top: int = TOP) -> tuple[DataFrame, str]:
+    """VC-6: lists fused where vectors are ready; otherwise words alone in their own order, and why."""
+    if state != "ready":
+        return lexical.select(key, "score", F.lit("lexical").alias("reason")).orderBy(F.col("score").desc(), key).limit(top), state
+    return fused({"semantic": semantic(), "lexical": lexical}, key, top), state
+
+
+def helper_order(items: DataFrame, choose: Callable[[list[str]], object], describe: Column, most: int = HELPED) -> tuple[DataFrame, str]:
+    """VC-9: items (place, reason) in a helper's order, with a new place: exact ones, then the chosen, then the others.
+
+    choose() is told the first `most` items that are not exact, as texts, and answers with their numbers. An answer that
+    is no list of distinct numbers of theirs, or an error, leaves the order as it is.
+    """
+    shown = items.where("reason <> 'exact'").orderBy("place").limit(most).select("place", describe.alias("text")).collect()
+    try:
+        ids = choose([r["text"] for r in shown])
+        fine = isinstance(ids, list) and 0 < len(ids) <= len(shown) and all(type(i) is int and 0 <= i < len(shown) for i in ids) and len(set(ids)) == len(ids)
+    except (OSError, ValueError, TypeError, KeyError):
+        fine = False
+    first = {shown[i]["place"]: k for k, i in enumerate(ids)} if fine else {}
+    rank = F.lit(len(first))
+    for place, k in first.items():
+        rank = F.when(F.col("place") == place, k).otherwise(rank)
+    order = F.struct((F.col("reason") != "exact").alias("late"), F.when(F.col("reason") == "exact", -1).otherwise(rank).alias("rank"), F.col("place").alias("at"))
+    return items.withColumn("place", F.row_number().over(W.orderBy(order))), "ready" if fine else "fallback"

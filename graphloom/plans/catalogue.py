@@ -339,16 +339,14 @@ def bm25_top200(spark, sf_dir):
     """TX-4, TK-5: a benchmark item as the query."""
     b = table(spark, sf_dir, "benchmark")
     q = T.query_terms(b.orderBy("item_id").limit(1))
-    u = table(spark, sf_dir, "documents").select("doc_id", words("text").alias("ws"))
-    return T.bm25(u, ["doc_id"], "ws", q).withColumn("score", F.round("score", 4))
+    return T.search(*star.words_of_documents(spark, sf_dir), q, ["doc_id"]).withColumn("score", F.round("score", 4))
 
 
 @query(f"{_BM25} SELECT doc_id, round(sum(p), 4) AS score FROM z WHERE lang = 'en' GROUP BY doc_id ORDER BY sum(p) DESC, doc_id LIMIT 50")
 def bm25_scoped(spark, sf_dir):
     """TX-4 with a scope: statistics stay those of all documents."""
     q = T.query_terms(table(spark, sf_dir, "benchmark").orderBy("item_id").limit(1))
-    u = table(spark, sf_dir, "documents").select("doc_id", "lang", words("text").alias("ws"))
-    return T.bm25(u, ["doc_id"], "ws", q, keep=F.col("lang") == "en", top=50).withColumn("score", F.round("score", 4))
+    return T.search(*star.words_of_documents(spark, sf_dir), q, ["doc_id"], F.col("lang") == "en", 50).withColumn("score", F.round("score", 4))
 
 
 @query("""WITH r AS (SELECT doc_id, source, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS k FROM documents QUALIFY k <= 300), p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY k) AS pass, min(k) OVER (PARTITION BY source) AS f FROM r)

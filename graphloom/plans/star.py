@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.scalar import words
 from graphloom.operators.edges import deduplicated
-from graphloom.operators.settle import shared_dir
+from graphloom.operators.settle import forget_at_exit, shared_dir
 from graphloom.operators.snapshot import Store
+from graphloom.operators.text import postings, statistics
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,17 +44,30 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(raw_edges(spark, sf_dir))
 
 
-_published: dict[tuple[str, str], str] = {}
+_published: dict[tuple[str, str, str], str] = {}
 
 
-def published(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edges of the folder's published snapshot: built by the first query of an application that asks, read by others."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _store(spark: SparkSession, sf_dir: str, what: str, tables) -> Store:
+    """A published snapshot of the folder: built by the first query of an application that asks, read by others."""
+    key = (spark.sparkContext.applicationId, sf_dir, what)
     if key not in _published:
-        root = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
-        Store(spark, root).publish({"edges": edges(spark, sf_dir)})
+        root = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+        forget_at_exit(spark, root)
+        Store(spark, root).publish(tables())
         _published[key] = root
-    return Store(spark, _published[key]).table("edges")
+    return Store(spark, _published[key])
+
+
+def published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of the folder's published snapshot."""
+    return _store(spark, sf_dir, "graph", lambda: {"edges": edges(spark, sf_dir)}).table("edges")
+
+
+def words_of_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Postings (term, doc_id, lang, dl, tf) and statistics of the folder's documents, published."""
+    units = table(spark, sf_dir, "documents").select("doc_id", "lang", words("text").alias("terms"))
+    store = _store(spark, sf_dir, "words", lambda: {"postings": postings(units, ["doc_id"], "terms", ("lang",)), "statistics": statistics(units, "terms")})
+    return store.table("postings"), store.table("statistics")
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -264,10 +264,14 @@ class _Scan:
             k += 1
         return out
 
+    def imports_file(self, k: int, line: int) -> None:
+        """An import that binds no name: for its effect, or of what is exported again."""
+        self.out["imports"].append({"spec": self.text(k)[1:-1], "level": 0, "line": line, "local": "", "member": None, "first": None, "last": None})
+
     def imported(self, i: int) -> int:
         line, k, names = self.t[i].line, i + 1, []
         if self.kind(k) == "text":
-            self.out["imports"].append({"spec": self.text(k)[1:-1], "level": 0, "line": line, "local": "", "member": None, "first": None, "last": None})
+            self.imports_file(k, line)
             return k + 1
         while k < len(self.t) and self.text(k) not in ("from", ";"):
             if self.text(k) == "{" and k in self.close:
@@ -299,6 +303,7 @@ class _Scan:
         if self.text(k) == "{" and k in self.close:
             e = self.close[k] + 1
             if self.text(e) == "from" and self.kind(e + 1) == "text":
+                self.imports_file(e + 1, first)
                 self.out["reexports"] += [{"spec": self.text(e + 1)[1:-1], "level": 0, "imported": m, "exported": n} for m, n in self.braces(k)]
                 return e + 2
             known = {x["local"]: x for x in self.out["imports"]}
@@ -311,6 +316,7 @@ class _Scan:
         if self.text(k) == "*":
             f = k + 3 if self.text(k + 1) == "as" else k + 1
             if self.text(f) == "from" and self.kind(f + 1) == "text":
+                self.imports_file(f + 1, first)
                 self.out["reexports"].append({"spec": self.text(f + 1)[1:-1], "level": 0, "imported": "*", "exported": self.text(k + 2) if f > k + 1 else "*"})
                 return f + 2
         return self.declaration(k, "", first) or (self.variables(k, len(self.t), "", first) if self.text(k) in ("const", "let", "var") else k)

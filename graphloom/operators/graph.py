@@ -6,6 +6,9 @@ Frontiers are DataFrames: each hop joins the frontier with the edges, drops what
 
 from __future__ import annotations
 
+import time
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +17,8 @@ from graphloom.operators.edges import chosen
 from graphloom.operators.settle import narrow, settle
 
 MAX_DEPTH, PATH_SEP = 5, " > "
+#: Limits of work of a question.
+MOST_NODES, MOST_EDGES, SECONDS = 2000, 10_000, 2.0
 
 
 def _steps(edges: DataFrame, incoming: bool) -> DataFrame:
@@ -22,6 +27,33 @@ def _steps(edges: DataFrame, incoming: bool) -> DataFrame:
     return edges.select(F.col(a).alias("at"), F.col(b).alias("to"), "relation", "confidence", (F.col("resolution_status") == "candidate").alias("candidate"))
 
 
+class Work(NamedTuple):
+    """An answer within its limits of work, or none and the limit that it met (GR-15)."""
+
+    frame: DataFrame | None
+    reason: str | None
+
+
+def limited(edges: DataFrame, targets: DataFrame, depth: int, incoming: bool = True, relations: tuple[str, ...] | None = None, candidates: bool = False, most_nodes: int = MOST_NODES, most_edges: int = MOST_EDGES, seconds: float = SECONDS) -> Work:
+    """reach() hop by hop; before each the edges that it would walk are counted up to the limit, and nodes after it.
+
+    Time is looked at between hops, so a hop that has begun ends.
+    """
+    end, seen, walked = time.monotonic() + seconds, targets.select(F.col("node_key").alias("at")).distinct(), 0
+    steps = _steps(chosen(edges, relations, candidates), incoming)
+    for hop in range(1, min(MAX_DEPTH, max(1, depth)) + 1):
+        walked = steps.join(seen, "at", "left_semi").limit(most_edges + 1).count()
+        if walked > most_edges:
+            return Work(None, "edges")
+        found = reach(edges, targets, hop, incoming, relations, candidates)
+        if found.limit(most_nodes + 1).count() > most_nodes:
+            return Work(None, "nodes")
+        if time.monotonic() > end and hop < depth:
+            return Work(None, "time")
+        seen = targets.select(F.col("node_key").alias("at")).union(found.select("node_key")).distinct()
+    return Work(found, None)
+
+
 def reach(edges: DataFrame, targets: DataFrame, depth: int, incoming: bool = True, relations: tuple[str, ...] | None = None, candidates: bool = False) -> DataFrame:
     """Nodes within depth (1 to 5) of each target (`of`), without the target itself.
 

@@ -42,13 +42,15 @@ MOST_REEXPORTS = 9
 def innermost(points: DataFrame, spans: DataFrame, key: list[str], at: str, owner: str) -> DataFrame:
     """points with the owner of the shortest span (first, last, owner) of the same key that holds them, else null.
 
-    Of spans of one length the one that begins later counts. The join is on the key, and the range is a filter of it.
+    Of spans of one length the one that begins later counts, and of equal ones the first by place, where spans have one.
+    The join is on the key, and the range is a filter of it.
     """
-    s = spans.select(*[F.col(k).alias(f"__{k}") for k in key], F.col("first").alias("__first"), F.col("last").alias("__last"), F.col(owner).alias("__owner"))
+    place = F.col("place") if "place" in spans.columns else F.lit(0)
+    s = spans.select(*[F.col(k).alias(f"__{k}") for k in key], F.col("first").alias("__first"), F.col("last").alias("__last"), F.col(owner).alias("__owner"), place.alias("__place"))
     on = F.col(at).between(F.col("__first"), F.col("__last"))
     for k in key:
         on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    best = F.min_by("__owner", F.struct((F.col("__last") - F.col("__first")).alias("size"), (-F.col("__first")).alias("late")))
+    best = F.min_by("__owner", F.struct((F.col("__last") - F.col("__first")).alias("size"), (-F.col("__first")).alias("late"), F.col("__place")))
     return points.join(s, on, "left").groupBy(*points.columns).agg(best.alias(owner))
 
 
@@ -267,22 +269,28 @@ def build_edges(facts: DataFrame, files: DataFrame, configs: list[dict] = (), fu
     binds, import_edges = bindings(imports, modules, files, exports)
     binds = settle(binds)
     names = rows_of(facts, "locals").drop("place")
-    spans = rows_of(facts, "symbols").select("path", "first", "last", F.col("qualname").alias("owner"))
+    spans = rows_of(facts, "symbols").select("path", "first", "last", F.col("qualname").alias("owner"), "place")
 
     def numbered(column: str) -> DataFrame:
         rows = rows_of(facts, column).withColumn("ref", F.concat_ws("#", "path", "place"))
         return innermost(rows.select("ref", "path", "name", "receiver", "line"), spans, ["path"], "line", "owner")
 
     raw = rows_of(facts, "bases").withColumn("ref", F.concat_ws("#", "path", "place"))
-    base_refs = raw.select("ref", "path", "name", "receiver", "line", F.lit(None).cast("string").alias("owner"))
-    # a base that is a module-level alias stands for what the alias names
-    alias = rows_of(facts, "aliases").groupBy("path", F.col("alias").alias("name")).agg(F.countDistinct("name", F.coalesce("receiver", F.lit(""))).alias("n"), F.first("name").alias("a_name"), F.first("receiver").alias("a_receiver")).where("n = 1")
-    base_refs = base_refs.join(alias, ["path", "name"], "left").select("ref", "path", F.when(F.col("receiver").isNull() & F.col("a_name").isNotNull(), F.col("a_name")).otherwise(F.col("name")).alias("name"), F.when(F.col("receiver").isNull() & F.col("a_name").isNotNull(), F.col("a_receiver")).otherwise(F.col("receiver")).alias("receiver"), "line", "owner")
-    found = settle(resolve(base_refs, symbols, binds, names, exports, None, ("Class",)))
+    none = F.lit(None).cast("string").alias("owner")
+    direct = settle(resolve(raw.select("ref", "path", "name", "receiver", "line", none), symbols, binds, names, exports, None, ("Class",)))
+    # a base that resolves to nothing may be an alias of its module; all that the alias is set to must be one class
+    alias = rows_of(facts, "aliases").select("path", F.col("alias").alias("name"), F.col("name").alias("a_name"), F.col("receiver").alias("a_receiver"), F.col("place").alias("a_place"))
+    meant = raw.where("receiver IS NULL").join(direct.select("ref"), "ref", "left_anti").join(alias, ["path", "name"])
+    meant = settle(meant.select(F.col("ref").alias("of"), F.concat_ws("#", "ref", "a_place").alias("ref"), "path", F.col("a_name").alias("name"), F.col("a_receiver").alias("receiver"), "line", "a_place"))
+    hits = resolve(meant.select("ref", "path", "name", "receiver", "line", none), symbols, binds, names, exports, None, ("Class",))
+    one = meant.join(hits, "ref", "left").groupBy("of").agg(F.countDistinct("target").alias("n"), F.bool_and(F.col("target").isNotNull()).alias("whole"), F.max_by(F.struct("target", "confidence"), "a_place").alias("b"))
+    aliased = one.where("n = 1 AND whole").select(F.col("of").alias("ref"), "b.target", F.least("b.confidence", F.lit(SAME_MODULE)).alias("confidence"))
+    found = settle(direct.select("ref", "target", "confidence").union(aliased))
     keyed = raw.select("ref", "place", "name", F.concat_ws("::", "path", "class_qualname").alias("class_key")).join(found, "ref", "left")
     inherits = keyed.where("target IS NOT NULL AND target <> class_key").select(F.col("class_key").alias("source_key"), F.col("target").alias("target_key"), F.lit("INHERITS").alias("relation"), "confidence")
-    real = keyed.where((F.col("target").isNotNull() & F.col("confidence").isin(IMPORT_MAP, SAME_MODULE)) | ~F.col("name").isin(*TRANSPARENT))
-    mro = settle(hierarchy(real.select("class_key", "place", F.when(F.col("confidence").isin(IMPORT_MAP, SAME_MODULE), F.col("target")).alias("base_key"))))
+    # what resolves to nothing is an opaque base, but for those that add no methods
+    real = keyed.where("target <> class_key").union(keyed.where(F.col("target").isNull() & ~F.col("name").isin(*TRANSPARENT)))
+    mro = settle(hierarchy(real.select("class_key", "place", F.col("target").alias("base_key"))))
     caller = F.coalesce(F.concat(F.col("path"), F.lit("::"), F.col("owner")), F.col("path"))
 
     def edges(column: str, relation: str, kinds: tuple[str, ...], value: bool) -> DataFrame:

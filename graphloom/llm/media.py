@@ -3,8 +3,9 @@
 A payload is a text's UTF-8 bytes with bytes 0 up to a positive multiple of 64. It is stored as a WAV file of 8-bit
 mono samples, which holds the bytes as they are. Features come from the stored file only: polyphase resampling by a
 windowed sinc, overlapped frames, log-mel filterbank energies, and segments by energy with hysteresis (a segment
-starts above one level and ends below a lower one). Tensors have a fixed shape, [FRAMES, MELS] of float32 with time
-spans, the last one filled up with the floor value.
+starts above one level and ends below a lower one). Features are kept as Arrow columns of fixed-shape tensors,
+[FRAMES, MELS] of float32 with time spans, the last one filled up with the floor value; the query's summary is read
+from them.
 
 Nulls and edges: a null text is an empty one, whose payload is 64 bytes 0; equal texts have equal values whatever
 else is in the batch; a file that is no such WAV raises ValueError; repeated rows are stored one by one; an empty
@@ -124,6 +125,16 @@ def tensors(mel: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
     return out.reshape(n, FRAMES, MELS), [(i * FRAMES * HOP_MS, min(len(mel), (i + 1) * FRAMES) * HOP_MS) for i in range(n)]
 
 
+def tensor_type() -> pa.FixedShapeTensorType:
+    return pa.fixed_shape_tensor(pa.float32(), [FRAMES, MELS], dim_names=["frame", "mel"])
+
+
+def tensor_column(mel: np.ndarray) -> tuple[pa.ExtensionArray, list[tuple[int, int]]]:
+    """Log-mel energies as an Arrow column of fixed-shape tensors, with the time span of each."""
+    t, spans = tensors(mel)
+    return pa.ExtensionArray.from_storage(tensor_type(), pa.FixedSizeListArray.from_arrays(pa.array(t.ravel()), FRAMES * MELS)), spans
+
+
 def store(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each text as an audio file."""
 
@@ -147,15 +158,15 @@ def features(media: DataFrame) -> DataFrame:
             ids, parts, spans, data, segs = [], [], [], [], []
             for d, m in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist(), strict=True):
                 mel, db = make.log_mel(decode(m)[0])
-                t, s = tensors(mel)
+                t, s = tensor_column(mel)
                 all_segments = make.segments(db)
                 ids += [d] * len(t)
                 parts += range(len(t))
                 spans += s
-                data.append(t.reshape(len(t), -1))
+                data.append(t.storage.flatten().to_numpy())
                 segs += [[{"start_ms": max(a, x), "end_ms": min(b, y)} for a, b in all_segments if a < y and b > x] for x, y in s]
-            flat = np.concatenate(data) if data else np.empty((0, FRAMES * MELS), np.float32)
-            log_mel = pa.ListArray.from_arrays(np.arange(0, flat.size + 1, FRAMES * MELS, dtype=np.int32), flat.ravel())
+            flat = np.concatenate(data) if data else np.empty(0, np.float32)
+            log_mel = pa.ListArray.from_arrays(np.arange(0, flat.size + 1, FRAMES * MELS, dtype=np.int32), flat)
             kind = pa.list_(pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64())]))
             cols = [pa.array(ids, pa.int64()), pa.array(parts, pa.int64()), pa.array([a for a, _ in spans], pa.int64()), pa.array([b for _, b in spans], pa.int64()), log_mel, pa.array(segs, kind)]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "part", "start_ms", "end_ms", "log_mel", "segments"])
@@ -165,17 +176,16 @@ def features(media: DataFrame) -> DataFrame:
 
 def arrow_tensors(table: pa.Table) -> pa.Table:
     """The log_mel column of features() as Arrow's fixed-shape tensor [FRAMES, MELS] of float32."""
-    kind = pa.fixed_shape_tensor(pa.float32(), [FRAMES, MELS], dim_names=["frame", "mel"])
     flat = pa.concat_arrays([c.flatten() for c in table.column("log_mel").chunks] or [pa.array([], pa.float32())])
     storage = pa.FixedSizeListArray.from_arrays(flat.cast(pa.float32()), FRAMES * MELS)
-    return table.set_column(table.schema.get_field_index("log_mel"), "log_mel", pa.ExtensionArray.from_storage(kind, storage))
+    return table.set_column(table.schema.get_field_index("log_mel"), "log_mel", pa.ExtensionArray.from_storage(tensor_type(), storage))
 
 
-def summary(mel: np.ndarray, segs: list[tuple[int, int]]) -> str:
-    """Tensors, segments, their time, and each band's mean level in whole dB."""
-    t, spans = tensors(mel)
-    bands = "/".join(str(int(x)) for x in np.rint(mel.mean(0, dtype=np.float64)))
-    return f"tensors={len(t)}x{FRAMES}x{MELS};end_ms={spans[-1][1]};segments={len(segs)};active_ms={sum(b - a for a, b in segs)};mel={bands}"
+def summary(column: pa.ExtensionArray, spans: list[tuple[int, int]], segs: list[tuple[int, int]]) -> str:
+    """Tensors, segments, their time, and each band's mean level in whole dB over the frames of the spans."""
+    frames = column.to_numpy_ndarray().reshape(-1, MELS)[: spans[-1][1] // HOP_MS]
+    bands = "/".join(str(int(x)) for x in np.rint(frames.mean(0, dtype=np.float64)))
+    return f"tensors={len(column)}x{FRAMES}x{MELS};end_ms={spans[-1][1]};segments={len(segs)};active_ms={sum(b - a for a, b in segs)};mel={bands}"
 
 
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -191,7 +201,7 @@ def digests(media: DataFrame) -> DataFrame:
             for m in batch.column("media").to_pylist():
                 samples, _ = decode(m)
                 mel, db = make.log_mel(samples)
-                rows.append((len(samples), sha(samples), zlib.crc32(samples[-64:]), len(m), sha(m), summary(mel, make.segments(db))))
+                rows.append((len(samples), sha(samples), zlib.crc32(samples[-64:]), len(m), sha(m), summary(*tensor_column(mel), make.segments(db))))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], [x.split()[0] for x in SCHEMA.split(", ")])
 

@@ -47,6 +47,29 @@ def test_toxicity_held_out_accuracy_and_edges(frame, spark, nothing):
     assert toxicity.toxicity(nothing, labels).count() == 0
 
 
+def test_toxicity_scores_equal_the_plain_definition(frame, spark):
+    """Windows, both compressed sizes, counts above thresholds and the logistic, one window at a time."""
+    rows = toxic_corpus(300)
+    docs = frame([r[:3] for r in rows] + [(900, None, "s"), (901, "zzidiotqq " * 500, "s"), (902, "é 漢字 A-B", "s")])
+    labels = spark.createDataFrame([(i, 1, y) for i, _, _, y in rows], "doc_id long, quality int, toxic int")
+    m = toxicity.learn(docs, labels)
+    small, large = (toxicity._compressor(d) for d in (m.ordinary, m.toxic + m.ordinary))
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels).collect()}
+    for r in docs.collect():
+        text = "".join(c.lower() if "A" <= c <= "Z" else c if ord(c) >= 128 or c.isalnum() else " " for c in r.text or "")
+        ws = text.encode().split()
+        saved = []
+        for i in range(0, len(ws), 12):
+            w = b" " + b" ".join(ws[i : i + 12]) + b" "
+            saved.append(len(small.compress(w)) - len(large.compress(w)))
+        x = [1.0, math.log1p(len(saved)), min(10, max([0, *saved])) / 5] + [math.log1p(sum(d >= t for d in saved)) for t in toxicity.THRESHOLDS]
+        for t, rate in zip(toxicity.THRESHOLDS, m.rates, strict=True):
+            over = (sum(d >= t for d in saved) - rate * len(saved)) / math.sqrt(rate * len(saved) + 0.5)
+            x.append(math.copysign(math.sqrt(abs(over)), over))
+        plain = 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(x, m.weights, strict=True))))))
+        assert abs(got[r.doc_id] - plain) < 1e-9
+
+
 def test_toxicity_without_labels(frame, spark):
     docs = frame(EDGES)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -139,6 +162,41 @@ def test_large_scores_do_not_overflow():
     assert np.isfinite(got).all() and (got <= 1e-4).all()
 
 
+def test_lm_scores_equal_the_plain_definition(frame, monkeypatch):
+    """Each text's score, word by word: the outcome's share of all outcomes, and the word's share of its class."""
+    rows, kept = lm_corpus(), {}
+    first, last = lm.prepared, lm.scored
+    monkeypatch.setattr(lm, "KNOWN", 300)
+    monkeypatch.setattr(lm, "prepared", lambda docs, shared: kept.update(t=shared.value) or first(docs, shared))
+    monkeypatch.setattr(lm, "scored", lambda df, shared: kept.update(m=shared.value) or last(df, shared))
+    got = lm.score(frame(rows)).collect()
+    t, m = kept["t"], kept["m"]
+    c = Counter(w for i, text, _ in rows if i is None or zlib.crc32(str(i).encode()) % 5 != 1 for w in lm.tokens((text or "").encode()))
+    own = {w: int(t.outcome[k]) for w, k in t.index.items() if t.outcome[k] < lm.WORDS}
+    of = lambda w: own.get(w, lm.WORDS + zlib.crc32(w.decode()[-2:].encode()) % lm.CLASSES)
+    total, kinds = Counter(), Counter()
+    for w, n in c.items():
+        total[of(w)] += n
+        kinds[of(w)] += 1
+
+    def plain(text):
+        out, ids = 0.0, [of(w) for w in lm.tokens(text)]
+        for i, (w, k) in enumerate(zip(lm.tokens(text), ids, strict=True)):
+            h = sum(m.r[ids[i - j] if i >= j else lm.OUT].astype(float) * m.w[j - 1] for j in range(1, lm.CONTEXT + 1))
+            s = m.q.astype(float) @ h + m.b
+            out += (s[k] - np.log(np.exp(s).sum())) / np.log(10)
+            if k >= lm.WORDS:
+                out += math.log10((c[w] + 0.5) / (total[k] + 0.5 * (kinds[k] + 1)))
+        return out
+
+    texts = {}
+    for i, text, _ in rows:
+        texts.setdefault(i, []).append((text or "").encode())
+    for r in got:
+        if r.n_tokens < 200:
+            assert min(abs(r.score - plain(x)) for x in texts[r.doc_id]) < 1e-3 * r.n_tokens
+
+
 def test_lm_is_a_distribution():
     rng = np.random.default_rng(1)
     ids, at = rng.integers(0, lm.OUT, 3000), np.arange(3000) % 50
@@ -370,6 +428,25 @@ def test_features_see_tones_and_silence(spark):
         assert np.allclose(got[:n], plain[::down][:n], atol=1e-4)
 
 
+def test_summary_is_of_the_tensors(frame):
+    """The query's feature against the plain definitions, for one to many tensors."""
+    e = media.Extractor()
+    for text in (b"", b"ab" * 40, b"hello world " * 3000, bytes(range(256)) * 200):
+        mel, db = e.log_mel(media.payload(text))
+        column, spans = media.tensor_column(mel)
+        assert isinstance(column.type, pa.FixedShapeTensorType) and len(column) == -(-len(mel) // media.FRAMES) and spans[-1][1] == len(mel) * media.HOP_MS
+        got = dict(x.split("=") for x in media.summary(column, spans, e.segments(db)).split(";"))
+        assert got["mel"] == "/".join(str(int(x)) for x in np.rint(mel.mean(0, dtype=np.float64)))
+        # hysteresis, frame by frame
+        low, high = np.percentile(db, (10, 95))
+        on, found = False, 0
+        for x in db:
+            was = on
+            on = True if x >= low + media.START * (high - low) else False if x < low + media.END * (high - low) else on
+            found += on and not was
+        assert int(got["segments"]) == found
+
+
 def test_tensors_have_a_fixed_shape(frame):
     m = media.store(frame([(1, "hello world " * 8000, "s"), (2, None, "s")]))
     t = media.features(m).toArrow()

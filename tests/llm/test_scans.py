@@ -38,6 +38,67 @@ def test_licenses_equal_brute_force(frame, nothing):
     assert licenses.licenses(nothing).count() == 0
 
 
+def strictness(text):
+    """A recursive descent over `or`, `and`, `with` and parentheses."""
+    toks = re.findall(r"[()]|[a-z0-9.+-]+", text)
+
+    def atom():
+        t = toks.pop(0)
+        if t == "(":
+            v = either()
+            assert toks.pop(0) == ")"
+            return v
+        return licenses.STRICT.get(licenses.family(t), licenses.UNKNOWN)
+
+    def excepted():
+        v = atom()
+        while toks[:1] == ["with"]:
+            toks.pop(0)
+            atom()
+            v *= 0.75
+        return v
+
+    def every():
+        v = excepted()
+        while toks[:1] == ["and"]:
+            toks.pop(0)
+            v = max(v, excepted())
+        return v
+
+    def either():
+        v = every()
+        while toks[:1] == ["or"]:
+            toks.pop(0)
+            v = min(v, every())
+        return v
+
+    return either()
+
+
+def test_scores_equal_brute_force(frame):
+    """Scores of notices found word by word, and of expressions by another parser."""
+    rng = random.Random(8)
+    names = ["mit", "gpl-3.0-only", "apache-2.0", "foo", "lgpl-2.1+", "cc0-1.0"]
+
+    def expression(depth=0):
+        if depth > 2 or rng.random() < 0.4:
+            return rng.choice(names)
+        return f"({expression(depth + 1)}) {rng.choice(['or', 'and'])} {expression(depth + 1)}" if rng.random() < 0.5 else f"{expression(depth + 1)} {rng.choice(['or', 'and'])} {expression(depth + 1)}"
+
+    rows, want = [], {}
+    phrases = {**licenses.BASE, **licenses.NOTICES}
+    for i in range(150):
+        ws = [rng.choice([*phrases, "word", "public", "license"]) for _ in range(rng.randrange(6))]
+        e = expression() if i % 2 else ""
+        text = " ".join(ws) + (f"\nSPDX-License-Identifier: {e}\n" if e else "")
+        low = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+        found = [licenses.STRICT[x] for p, x in phrases.items() if any(low[k : k + len(p.split())] == p.split() for k in range(len(low)))]
+        rows.append((i, text, "s"))
+        want[i] = max([0.0, *found, *([strictness(e)] if e else [])])
+    for r in licenses.licenses(frame(rows)).collect():
+        assert r.score == pytest.approx(want[r.doc_id]), rows[r.doc_id]
+
+
 @pytest.mark.parametrize(
     ("text", "labels", "strict"),
     [("mit", {"mit"}, 0.2), ("gpl-3.0 or mit", {"gpl", "mit"}, 0.2), ("gpl-3.0 and mit", {"gpl", "mit"}, 0.8), ("mit or gpl-3.0 and apache-2.0", {"mit", "gpl", "apache"}, 0.2), ("(mit or gpl-3.0) and apache-2.0", {"mit", "gpl", "apache"}, 0.3), ("gpl-2.0 with classpath-exception-2.0", {"gpl"}, 0.6), ("mit or", {"mit"}, 0.2), ("", set(), 0.0), ("foo-1", {"foo-1"}, 0.7)],
@@ -75,6 +136,65 @@ def test_secrets_equal_brute_force(frame, nothing):
     assert secrets.secrets(nothing).count() == 0
 
 
+def naive_spans(text):
+    """Runs of the class, then their parts, one character after another; no part that a base span overlaps."""
+    base = [(a, z) for a, _, z in secret_truth(text)]
+    m, allowed = secrets.model(), set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def cut(a, z, ends):
+        out, at = [], a
+        for i in range(a, z + 1):
+            if i == z or text[i] in ends:
+                out.append((at, i))
+                at = i + 1
+        return [(x, y) for x, y in out if y > x]
+
+    def equals(a, z):  # behind a '=', with the padding at the end
+        out, i = [], a
+        while i < z:
+            j = i
+            while j < z and text[j] != "=":
+                j += 1
+            e = j
+            while e < z and text[e] == "=":
+                e += 1
+            if j > i:
+                out.append((i, e))
+            i = e
+        return out
+
+    def passes(a, z):
+        t = text[a:z]
+        good = z - a >= 16 and any(c.isascii() and c.isdigit() for c in t) and any(c.isascii() and c.isalpha() for c in t)
+        return good and not any(x < z and a < y for x, y in base) and secrets.likelihood(t) >= m.limit
+
+    out, i = [], 0
+    while i < len(text):
+        j = i
+        while j < len(text) and text[j] in allowed:
+            j += 1
+        if j - i >= 16:
+            if passes(i, j):
+                out.append((i, j))
+            else:
+                for a, z in equals(i, j):
+                    if passes(a, z):
+                        out.append((a, z))
+                    else:
+                        out += [p for p in cut(a, z, "/.") if passes(*p)]
+        i = max(j, i + 1)
+    return out
+
+
+def test_method_spans_equal_brute_force():
+    rng = random.Random(14)
+    real = [c for name in secrets.FORMATS for c in secrets.credentials(name, 4, np.random.default_rng(3))] + secrets.ordinary(20, np.random.default_rng(5))
+    for _ in range(200):
+        text = "".join(rng.choice([*real, " ", "=", "/", ".", "token = ", "é", "KEY=", "https://x.y/"]) for _ in range(rng.randrange(1, 8)))
+        _, more = secrets.scan(text)
+        assert [(a, z) for a, _, z in more] == naive_spans(text), text
+
+
 def test_grammars_know_credentials_from_words():
     import numpy as np
 

@@ -25,6 +25,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -34,15 +35,15 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import LOWER, Scratch, binary, crc_mod, hashed, share_of, slices
 
-WORDS, CLASSES, CONTEXT, DIM = 192, 64, 4, 16
+WORDS, CLASSES, CONTEXT, DIM = 192, 64, 4, 15
 KNOWN, FIT_DOCS, FIT_TOKENS, NOISE, PASSES = 200_000, 2000, 400_000, 12, 4
 #: Rounds over the whole corpus, and the most that the first of them changes a parameter by.
 STEPS, RATE = 16, 0.06
 #: Distinct words that a task holds before it hands their counts on.
 HOLD = 200_000
 OUT = WORDS + CLASSES
-#: Rows of the matrix products; their scores stay in a core's cache.
-BLOCK = 512
+#: Rows of the matrix products, and bytes of outcomes that are worked on at once; they stay in a core's cache.
+BLOCK, AT_ONCE = 256, 1 << 15
 #: The end token; no word is empty.
 END = b""
 
@@ -89,12 +90,17 @@ class Model:
     r: np.ndarray
     w: np.ndarray
 
-    def log10(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def pairs(self) -> list[np.ndarray]:
+        """What every two neighbours in the context predict with together; made once a task."""
+        two = [(self.r * self.w[j])[:, None] + (self.r * self.w[j + 1])[None] for j in range(0, CONTEXT, 2)]
+        return [x.reshape(-1, DIM) for x in two]
+
+    def log10(self, ids: np.ndarray, at: np.ndarray, pairs: list[np.ndarray] | None = None) -> np.ndarray:
         """log10 P of each outcome given those before it in its text, normalised over all outcomes.
 
         ids are texts one after another and at is the place of each in its text.
         """
-        h, q = self.hidden(ids, at), np.concatenate([self.q, self.b[:, None]], 1)
+        h, q = self.hidden(ids, at, pairs), np.concatenate([self.q, self.b[:, None]], 1)
         hit = np.einsum("nd,nd->n", h, q[ids])
         # no exponent overflows where the largest possible score is small; otherwise the rows' own maxima are taken off
         far = len(ids) and float(np.linalg.norm(q, axis=1).max() * np.sqrt((h * h).sum(1).max())) > 60
@@ -110,14 +116,13 @@ class Model:
             total[a:z] = x.sum(1)
         return (hit - np.log(total)) / np.log(10)
 
-    def hidden(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def hidden(self, ids: np.ndarray, at: np.ndarray, pairs: list[np.ndarray] | None = None) -> np.ndarray:
         """What the context of each outcome predicts with, and a one for the biases."""
         real, x = padded(ids, at)
         out = np.ones((len(ids), DIM + 1), np.float32)
         out[:, :DIM] = 0
-        for j in range(1, CONTEXT + 1, 2):  # two places of the context at once
-            pair = (self.r * self.w[j - 1])[:, None] + (self.r * self.w[j])[None]
-            out[:, :DIM] += pair.reshape(-1, DIM)[x[real - j] * (OUT + 1) + x[real - j - 1]]
+        for j, pair in enumerate(pairs or self.pairs()):
+            out[:, :DIM] += pair[x[real - 2 * j - 1] * (OUT + 1) + x[real - 2 * j - 2]]
         return out
 
 
@@ -170,9 +175,9 @@ def train(ids: np.ndarray, at: np.ndarray, share: np.ndarray, seed: int = 3) ->
     return m
 
 
-def gradient(m: Model, ids: np.ndarray, at: np.ndarray, share: np.ndarray) -> list[np.ndarray]:
+def gradient(m: Model, ids: np.ndarray, at: np.ndarray, share: np.ndarray, pairs: list[np.ndarray] | None = None) -> list[np.ndarray]:
     """Sums over the outcomes of the gradients of q, b, r and w; every outcome is noise with its expected number."""
-    n, h, expected = len(ids), m.hidden(ids, at), (NOISE * share).astype(np.float32)
+    n, h, expected = len(ids), m.hidden(ids, at, pairs), (NOISE * share).astype(np.float32)
     # the chance to be data is (1 + tanh of half the score) / 2
     half = (np.concatenate([m.q, (m.b - np.log(expected))[:, None]], 1) / 2).T.copy()
     weight = expected[:, None] / 2
@@ -186,7 +191,8 @@ def gradient(m: Model, ids: np.ndarray, at: np.ndarray, share: np.ndarray) -> li
         np.matmul(t, pulls, out=dh[a:z])
         pushed += t.T @ h[a:z]
     miss = (1 - miss) / 2  # of each outcome, the chance not to be data
-    g = np.stack([np.bincount(ids, miss * h[:, d], OUT) for d in range(DIM + 1)], 1) - weight * (pushed + h.sum(0, dtype=np.float64))
+    columns = np.ascontiguousarray((h * miss[:, None]).T)
+    g = np.stack([np.bincount(ids, c, OUT) for c in columns], 1) - weight * (pushed + h.sum(0, dtype=np.float64))
     dh += pulls.sum(0)
     np.subtract(miss[:, None] * m.q[ids], dh, out=dh)
     # what the vector at each place gets from the outcomes after it in its text
@@ -198,7 +204,7 @@ def gradient(m: Model, ids: np.ndarray, at: np.ndarray, share: np.ndarray) -> li
         later = wide[j : j + len(x)]
         back += later * w
         gw[j - 1] = np.einsum("nd,nd->d", later, own, dtype=np.float64) if n else 0
-    gr = np.stack([np.bincount(x, back[:, d], OUT + 1) for d in range(DIM)], 1)
+    gr = np.stack([np.bincount(x, c, OUT + 1) for c in np.ascontiguousarray(back.T)], 1)
     return [g[:, :DIM], g[:, DIM], gr, gw]
 
 
@@ -231,11 +237,12 @@ def learn_all(m: Model, prepared: DataFrame, share: np.ndarray, rounds: int) ->
         shared = prepared.sparkSession.sparkContext.broadcast(m)
 
         def fn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            total, n = None, 0
-            for batch in slices(batches, 1 << 18):
+            total, n, m = None, 0, shared.value
+            pairs = m.pairs()
+            for batch in slices(batches, AT_ONCE):
                 texts = binary(batch, "ids")
                 ids = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
-                g = gradient(shared.value, ids, places(np.array([len(x) for x in texts], np.int64)), share)
+                g = gradient(m, ids, places(np.array([len(x) for x in texts], np.int64)), share, pairs)
                 total = g if total is None else [x + y for x, y in zip(total, g, strict=True)]
                 n += len(ids)
             if n:
@@ -266,7 +273,7 @@ class Tables:
 def _outcomes(t: Tables, words: list[bytes], memory: dict) -> np.ndarray:
     """Place in the known words, or -1 - class."""
     get, n = t.index.get, len(words)
-    place = np.fromiter((get(w, -1) for w in words), np.int64, n)
+    place = np.fromiter(map(get, words, repeat(-1)), np.int64, n)
     for i in np.flatnonzero(place < 0).tolist():
         w = words[i]
         c = memory.get(w)
@@ -324,10 +331,11 @@ def scored(first: DataFrame, shared) -> DataFrame:
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in slices(batches, 1 << 20):
+        pairs = m.pairs()
+        for batch in slices(batches, AT_ONCE):
             texts = binary(batch, "ids")
             sizes = np.array([len(x) for x in texts], np.int64)
-            got = m.log10(np.frombuffer(b"".join(texts), np.uint8).astype(np.int64), places(sizes))
+            got = m.log10(np.frombuffer(b"".join(texts), np.uint8).astype(np.int64), places(sizes), pairs)
             score = np.add.reduceat(got, np.cumsum(sizes) - sizes) + batch.column("inside").to_numpy() if len(sizes) else np.empty(0)
             names = [x.split()[0] for x in SCORED.split(", ")]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names[:-1]), pa.array(score)], names)

@@ -54,14 +54,14 @@ class Engine:
         # a change that no reference can see leaves the edges as they are (RES-21)
         alike = usable and meta.get("config") == digest and E.difference(old.where("kind IN ('source', 'test')"), inputs.where("kind IN ('source', 'test')"), ["path"], ["kind", "content_hash"]).isEmpty()
         if alike:
-            tables = {n: self.store.table(n) for n in ("facts", "symbols", "edges")}
+            tables = {n: self.store.table(n) for n in ("facts", "symbols", "edges", "edges_out")}
         else:
             known = facts.settle_facts(facts.refreshed(code, self.store.table("facts") if usable else None))
             configs = modules.read_configs([p for p, _ in listed], read)
             built = resolve.build_edges(known, code.select("path"), configs)
             kind = files.select(F.col("path").alias("file_path"), F.col("kind").alias("file_kind"), "content_hash")
             symbols = built["symbols"].select("node_key", "name", F.col("node_key").alias("qualified_name"), "kind", F.col("path").alias("file_path"), F.col("first").alias("start_line"), F.col("last").alias("end_line")).join(kind, "file_path", "left")
-            tables = {"facts": known, "symbols": symbols, "edges": built["edges"]}
+            tables = {"facts": known, "symbols": symbols, "edges": E.ordered(built["edges"], "target_key"), "edges_out": E.ordered(built["edges"], "source_key")}
         evidence = files.where("omission IS NULL AND kind IN ('source', 'test', 'doc', 'config')")
         chunks = settle(text.chunks_refreshed(evidence.select("path", F.col("kind").alias("scope"), "content_hash", "text"), self.store.table("chunks") if usable else None))
         hold = lambda: repo.scan(self.spark, root).select("path", "kind", "content_hash").exceptAll(inputs).isEmpty()
@@ -128,7 +128,7 @@ class Engine:
         return self._reach("dependents", name, depth, file, E.RELATIONS, candidates, limit, cursor, max_bytes)
 
     def trace_path(self, source: str, target: str, max_hops: int = 6, relations=("CALLS",), candidates: bool = False) -> dict:
-        return graph.trace(self._table("edges"), self._targets(source, None), self._targets(target, None), max_hops, relations, candidates).first().asDict()
+        return graph.trace(self._table("edges_out"), self._targets(source, None), self._targets(target, None), max_hops, relations, candidates).first().asDict()
 
     def impact(self, names: list[str], depth: int = 2, scopes: tuple[str, ...] | None = None, limit: int = 50, cursor: str | None = None, max_bytes: int = lookup.MOST_BYTES) -> Envelope:
         """GR-9: what a change of symbols or files may reach; a file stands for its symbols too."""

@@ -69,3 +69,8 @@ def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     keys = nodes.select("node_key")
     lost = [edges.join(keys.withColumnRenamed("node_key", c), c, "left_anti").select(*KEY) for c in ("source_key", "target_key")]
     return lost[0].union(lost[1]).distinct()
+
+
+def ordered(edges: DataFrame, end: str) -> DataFrame:
+    """Edges in ranges of one of their ends, as a snapshot keeps them for walks from that end."""
+    return edges.repartitionByRange(end).sortWithinPartitions(end)

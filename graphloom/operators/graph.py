@@ -1,7 +1,8 @@
 """Graph operators: bounded reach, shortest paths, impact (GR-1 to GR-13).
 
 Frontiers are DataFrames: each hop joins the frontier with the edges, drops what was seen, and keeps one row a
-(target, node). A hop is checkpointed in the shared folder, so plans stay as short as one hop.
+(target, node). A hop is checkpointed in the shared folder, so plans stay as short as one hop. The keys of a frontier
+of few rows reach the scan, so edges that are kept in the order of the end that is walked from are read in part.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.operators.edges import chosen
-from graphloom.operators.settle import narrow, settle
+from graphloom.operators.settle import met, settle
 
 MAX_DEPTH, PATH_SEP = 5, " > "
 #: Limits of work of a question.
@@ -63,18 +64,18 @@ def reach(edges: DataFrame, targets: DataFrame, depth: int, incoming: bool = Tru
     depth = min(MAX_DEPTH, max(1, depth))
     steps = _steps(chosen(edges, relations, candidates), incoming)
     front = targets.select(F.col("node_key").alias("of"), F.col("node_key").alias("node"), F.lit(1.0).alias("confidence"), F.lit(False).alias("candidate")).distinct()
-    front = narrow(settle(front))
+    front = settle(front)
     seen, layers = front.select("of", "node"), []
     for distance in range(1, depth + 1):
-        walk = front.alias("f").join(steps.alias("s"), F.col("f.node") == F.col("s.at"))
+        front, near = met(front, "node", steps, "at")
+        walk = front.alias("f").join(near.alias("s"), F.col("f.node") == F.col("s.at"))
         walk = walk.select("of", F.col("s.to").alias("node"), (F.col("f.confidence") * F.col("s.confidence")).alias("confidence"), (F.col("f.candidate") | F.col("s.candidate")).alias("candidate"), "relation")
         walk = walk.join(seen, ["of", "node"], "left_anti")
         layer = walk.groupBy("of", "node").agg(F.max(F.struct("confidence", (~F.col("candidate")).alias("sure"))).alias("best"), F.array_sort(F.collect_set("relation")).alias("relations"))
         layer = settle(layer.select("of", "node", F.lit(distance).alias("distance"), F.col("best.confidence").alias("confidence"), (~F.col("best.sure")).alias("candidate"), "relations"))
         layers.append(layer)
         seen = seen.union(layer.select("of", "node"))
-        if distance < depth:
-            front = narrow(layer.select("of", "node", "confidence", "candidate"))
+        front = layer.select("of", "node", "confidence", "candidate")
     out = layers[0]
     for layer in layers[1:]:
         out = out.union(layer)
@@ -98,8 +99,8 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int, relation
     best = settle(sources.select("node_key", F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.col("node_key").alias("path")).distinct())
     front = best
     for hop in range(1, max_hops + 1):
-        front = narrow(front)
-        new = front.join(steps, F.col("node_key") == F.col("at")).select(F.col("to").alias("node_key"), (F.col("cost") + F.col("weight")).alias("cost"), F.lit(hop).alias("hops"), F.concat_ws(PATH_SEP, "path", "to").alias("path"))
+        front, near = met(front, "node_key", steps, "at")
+        new = front.join(near, F.col("node_key") == F.col("at")).select(F.col("to").alias("node_key"), (F.col("cost") + F.col("weight")).alias("cost"), F.lit(hop).alias("hops"), F.concat_ws(PATH_SEP, "path", "to").alias("path"))
         merged = best.union(new).groupBy("node_key").agg(F.min(F.struct(F.round("cost", 9).alias("key"), "path", "cost", "hops")).alias("m"))
         merged = settle(merged.select("node_key", "m.cost", "m.hops", "m.path"))
         front = merged.where(F.col("hops") == hop)
@@ -144,14 +145,15 @@ def impact(edges: DataFrame, seeds: DataFrame, nodes: DataFrame, depth: int, inc
     """
     steps = _steps(chosen(edges, relations), incoming)
     front = seeds.select(F.col("node_key").alias("seed"), F.col("node_key").alias("node"), F.col("node_key").alias("evidence"), F.lit("").alias("hop_relations")).distinct()
-    front = narrow(settle(front))
+    front = settle(front)
     seen, layers = front.select("seed", "node"), []
     for distance in range(1, min(MAX_DEPTH, max(1, depth)) + 1):
-        walk = front.join(steps, F.col("node") == F.col("at")).select("seed", F.col("to").alias("node"), F.concat_ws(PATH_SEP, "evidence", "to").alias("evidence"), F.concat_ws(",", F.expr("nullif(hop_relations, '')"), "relation").alias("hop_relations"))
+        front, near = met(front, "node", steps, "at")
+        walk = front.join(near, F.col("node") == F.col("at")).select("seed", F.col("to").alias("node"), F.concat_ws(PATH_SEP, "evidence", "to").alias("evidence"), F.concat_ws(",", F.expr("nullif(hop_relations, '')"), "relation").alias("hop_relations"))
         walk = walk.join(seen, ["seed", "node"], "left_anti")
         layer = settle(walk.groupBy("seed", "node").agg(F.min(F.struct("evidence", "hop_relations")).alias("m")).select("seed", "node", "m.evidence", "m.hop_relations"))
         layers.append(layer.withColumn("distance", F.lit(distance)))
-        seen, front = seen.union(layer.select("seed", "node")), narrow(layer)
+        seen, front = seen.union(layer.select("seed", "node")), layer
     out = layers[0]
     for layer in layers[1:]:
         out = out.union(layer)

@@ -49,3 +49,22 @@ def settle(df: DataFrame) -> DataFrame:
 def narrow(df: DataFrame, most: int = SMALL) -> DataFrame:
     """A settled frame with a broadcast hint if it has no more rows than most, so that what it meets stays in place."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+#: Keys of a frontier that reach the scan of what it meets.
+FEW = 256
+
+
+def met(front: DataFrame, key: str, rows: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
+    """A settled front and rows, ready to be joined on key = at.
+
+    Of a front of few rows the keys are told to the scan, so that files in the order of `at` are read in part; one of
+    more rows than SMALL is shuffled with the rows.
+    """
+    first = [r[0] for r in front.select(key).limit(FEW + 1).collect()]
+    if len(first) > FEW:
+        return narrow(front), rows
+    tests = [F.col(at) == F.lit(k) for k in sorted({k for k in first if k is not None})]
+    while len(tests) > 1:  # a balanced tree of alternatives, all of which are pushed down
+        tests = [a | b for a, b in zip(tests[::2], tests[1::2], strict=False)] + (tests[-1:] if len(tests) % 2 else [])
+    return F.broadcast(front), rows.where(tests[0] if tests else F.lit(False))

@@ -93,7 +93,7 @@ def edge_tiers(spark, sf_dir):
 @query(_reach_sql(["part::7"], 3, True, None, False))
 def callers_d3(spark, sf_dir):
     """GR-1: what reaches a part within three hops."""
-    return _shown(G.reach(star.published(spark, sf_dir), keys(spark, "part::7"), 3, incoming=True))
+    return _shown(G.reach(star.published(spark, sf_dir, "target_key"), keys(spark, "part::7"), 3, incoming=True))
 
 
 @query(_reach_sql(["customer::7"], 3, False, None, False))
@@ -157,7 +157,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY seed, node ORDER BY ev, rel) AS
 SELECT seed, node AS node_key, kind, d::INT AS distance, ev AS evidence, rel AS hop_relations FROM k JOIN node ON k = node WHERE FALSE""".replace(" JOIN node ON k = node WHERE FALSE", " LEFT JOIN node ON node.k = k.node WHERE n = 1 AND d > 0 AND kind IN ('orders', 'customer')"))
 def impact_incoming(spark, sf_dir):
     """GR-8: what a change reaches, with evidence, in two kinds of nodes."""
-    return G.impact(star.published(spark, sf_dir), keys(spark, "supplier::3", "part::7"), star.nodes(spark, sf_dir), 3, scopes=("orders", "customer"))
+    return G.impact(star.published(spark, sf_dir, "target_key"), keys(spark, "supplier::3", "part::7"), star.nodes(spark, sf_dir), 3, scopes=("orders", "customer"))
 
 
 def _snapshot(spark, sf_dir, before: str) -> DataFrame:
@@ -349,12 +349,14 @@ def bm25_scoped(spark, sf_dir):
     return T.search(*star.words_of_documents(spark, sf_dir), q, ["doc_id"], F.col("lang") == "en", 50).withColumn("score", F.round("score", 4))
 
 
-@query("""WITH r AS (SELECT doc_id, source, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS k FROM documents QUALIFY k <= 300), p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY k) AS pass, min(k) OVER (PARTITION BY source) AS f FROM r)
-SELECT doc_id, source, row_number() OVER (ORDER BY pass, f)::INT AS position FROM p""")
+@query(f"""{_BM25}, b AS (SELECT doc_id, sum(p) AS score FROM z GROUP BY doc_id ORDER BY sum(p) DESC, doc_id LIMIT 200), r AS (SELECT doc_id, source, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS k FROM b JOIN documents USING (doc_id)),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY k) AS pass, min(k) OVER (PARTITION BY source) AS f FROM r) SELECT doc_id, source, row_number() OVER (ORDER BY pass, f)::INT AS position FROM p""")
 def round_robin_files(spark, sf_dir):
-    """WN-2: the 300 longest documents, sources taking turns."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars").orderBy(F.col("n_chars").desc(), "doc_id").limit(300)
-    return T.round_robin(d, "source", [F.col("n_chars").desc(), F.col("doc_id")]).select("doc_id", "source", "position")
+    """WN-2: the 200 best documents of a query, sources taking turns."""
+    q = T.query_terms(table(spark, sf_dir, "benchmark").orderBy("item_id").limit(1))
+    best = T.search(*star.words_of_documents(spark, sf_dir), q, ["doc_id"]).withColumn("score", F.round("score", 9))
+    d = F.broadcast(best).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    return T.round_robin(d, "source", [F.col("score").desc(), F.col("doc_id")]).select("doc_id", "source", "position")
 
 
 @query(r"""WITH l AS (SELECT doc_id, i, x[i] AS line, len(x) AS n FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)))
@@ -375,12 +377,13 @@ def cosine_top(spark, sf_dir):
     return V.cosine_top(e, "vec_id", "embedding", e.orderBy("vec_id").limit(1), 64).withColumn("score", F.round("score", 4))
 
 
-@query(f"""WITH {_UNIT}, a AS (SELECT vec_id AS id, row_number() OVER (ORDER BY round(score, 9) DESC, vec_id) AS k FROM s QUALIFY k <= 100), b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS k FROM documents QUALIFY k <= 100),
-u AS (SELECT id, 'semantic' AS src, k FROM a UNION ALL SELECT id, 'lexical', k FROM b)
-SELECT id, round(sum(1.0 / (60 + k)), 6) AS score, array_to_string(list_sort(list(src)), '+') AS reason FROM u GROUP BY id ORDER BY round(sum(1.0 / (60 + k)), 12) DESC, id LIMIT 150""")
+@query(f"""{_BM25}, a AS (WITH {_UNIT} SELECT vec_id AS id, row_number() OVER (ORDER BY round(score, 9) DESC, vec_id) AS k FROM s QUALIFY k <= 100),
+b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS k FROM (SELECT doc_id, sum(p) AS score FROM z GROUP BY doc_id ORDER BY sum(p) DESC, doc_id LIMIT 100)), x AS (SELECT id, 'semantic' AS src, k FROM a UNION ALL SELECT id, 'lexical', k FROM b)
+SELECT id, round(sum(1.0 / (60 + k)), 6) AS score, array_to_string(list_sort(list(src)), '+') AS reason FROM x GROUP BY id ORDER BY round(sum(1.0 / (60 + k)), 12) DESC, id LIMIT 150""")
 def rrf_fused(spark, sf_dir):
-    """VC-5, WN-1: vectors and longest documents fused by rank."""
+    """VC-5, WN-1: nearest vectors and best documents of a query's words, fused by rank."""
     e = table(spark, sf_dir, "embeddings")
     a = V.cosine_top(e, "vec_id", "embedding", e.orderBy("vec_id").limit(1), 64, top=100).withColumnRenamed("vec_id", "id").withColumn("score", F.round("score", 9))
-    b = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("score")).orderBy(F.col("score").desc(), "id").limit(100)
+    q = T.query_terms(table(spark, sf_dir, "benchmark").orderBy("item_id").limit(1))
+    b = T.search(*star.words_of_documents(spark, sf_dir), q, ["doc_id"], top=100).select(F.col("doc_id").alias("id"), F.round("score", 9).alias("score"))
     return V.fused({"semantic": a, "lexical": b}, "id", top=150).withColumn("score", F.round("score", 6))

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import os
 import sqlite3
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from graphloom import timing
 from graphloom.functions.scalar import base_name, folder, stem, suffix
 from graphloom.operators import edges as E
-from graphloom.operators import evaluate, facts, graph, logs, lookup, modules, observe, reports, resolve, snapshot, text, vector
+from graphloom.operators import evaluate, facts, graph, logs, lookup, modules, observe, pack, reports, resolve, snapshot, text, vector
 from graphloom.operators.settle import forget_at_exit, shared_dir
 from graphloom.plans import star
 from graphloom.plans.cases import literal
@@ -29,7 +31,9 @@ def _place(spark, name: str) -> str:
 
 
 def _mounted(spark, name: str) -> str:
-    return _place(spark, name).removeprefix("file://").removeprefix("file:")
+    """A folder that every process of this machine opens, for sources that are mounted folders."""
+    path = _place(spark, name).removeprefix("file://").removeprefix("file:")
+    return path if path.startswith("/") else tempfile.mkdtemp(prefix=f"graphloom-{name}-")
 
 
 # -- trees and projects -----------------------------------------------------------
@@ -621,3 +625,24 @@ def index_kept_fresh(spark, sf_dir):
     told = engine.fresh(root, lambda e: {r["path"] for r in e._table("chunks").select("path").distinct().collect()})
     assert kept and "docs/new.md" in told and engine.callers("b").items[0]["name"] == "a"
     return spark.createDataFrame([(r["doc_id"], f"docs/d{r['doc_id']}.md" in told) for r in d], "doc_id long, told boolean")
+
+
+@query("SELECT 2::BIGINT AS made, (SELECT count(*) FROM region)::BIGINT AS kept, true AS same")
+def packets_cached(spark, sf_dir):
+    """SNK-6: packets by generation, query, place and budget; the least recently used go first."""
+    n, made = table(spark, sf_dir, "region").count(), []
+    cache = pack.Packets(n)
+    for i in range(n):
+        cache.get(("g", i), lambda i=i: {"i": i})
+    # a new packet pushes out the second one, as the first was asked for again
+    for key in (0, "new", 0, 1, "new"):
+        cache.get(("g", key), lambda key=key: made.append(key) or {"i": key})
+    again = cache.get(("g", 0), dict)["i"] == 0
+    return spark.createDataFrame([(len(made), len(cache.kept), again)], "made long, kept long, same boolean")
+
+
+@query("SELECT 5.0::DOUBLE AS full, 0.1::DOUBLE AS idle, 1.0::DOUBLE AS one_file, 5.0::DOUBLE AS ratio, true AS passed UNION ALL SELECT 2.0, 0.1, 1.0, 2.0, false")
+def scan_timings(spark, sf_dir):
+    """EV-33: medians of scan times and the gate of their ratio."""
+    out = [timing.ratios([4.0, 6.0, 5.0], [0.1], [1.0, 0.5, 9.0]), timing.ratios([2.0], [0.1], [1.0])]
+    return spark.createDataFrame([tuple(r[k] for k in ("full", "idle", "one_file", "ratio", "passed")) for r in out], "full double, idle double, one_file double, ratio double, passed boolean")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalar import words
-from graphloom.operators.edges import deduplicated
+from graphloom.operators.edges import deduplicated, ordered
 from graphloom.operators.settle import forget_at_exit, shared_dir
 from graphloom.operators.snapshot import Store
 from graphloom.operators.text import postings, statistics
@@ -58,9 +58,14 @@ def _store(spark: SparkSession, sf_dir: str, what: str, tables) -> Store:
     return Store(spark, _published[key])
 
 
-def published(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edges of the folder's published snapshot."""
-    return _store(spark, sf_dir, "graph", lambda: {"edges": edges(spark, sf_dir)}).table("edges")
+def published(spark: SparkSession, sf_dir: str, end: str = "source_key") -> DataFrame:
+    """The edges of the folder's published snapshot, in the order of one of their ends."""
+
+    def tables() -> dict[str, DataFrame]:
+        e = edges(spark, sf_dir)
+        return {f"edges_{k}": ordered(e, k) for k in ("source_key", "target_key")}
+
+    return _store(spark, sf_dir, "graph", tables).table(f"edges_{end}")
 
 
 def words_of_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -12,7 +12,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.scalar import words
+from graphloom.functions.scalar import ancestors, base_name, folder, words
 from graphloom.operators import edges as E
 from graphloom.operators import facts, graph, lookup, modules, pack, resolve, snapshot, text
 from graphloom.operators.lookup import Envelope
@@ -43,8 +43,11 @@ class Engine:
             with open(full, encoding="utf-8", errors="replace") as f:
                 return f.read()
 
-        listed = [(r["path"], r["kind"]) for r in inputs.where("kind IN ('source', 'test', 'config')").select("path", "kind").collect()]
-        digest = repo.config_digest(read, listed)
+        # configurations are few; those count that are in or above a folder of sources or tests
+        named = inputs.where(base_name("path").isin("tsconfig.json", "jsconfig.json")).select("path", folder("path").alias("folder"))
+        above = inputs.where("kind IN ('source', 'test')").select(F.explode(ancestors("path")).alias("folder")).distinct()
+        listed = [r["path"] for r in named.select("path").collect()]
+        digest = repo.config_digest(read, [(r["path"], "source") for r in named.join(above, "folder", "left_semi").select("path").collect()])
         meta = self.store.metadata()
         state = lookup.health(old, inputs, (meta.get("versions"), meta.get("config")), (VERSIONS, digest))
         if state["state"] == "ready":
@@ -57,7 +60,7 @@ class Engine:
             tables = {n: self.store.table(n) for n in ("facts", "symbols", "edges", "edges_out")}
         else:
             known = facts.settle_facts(facts.refreshed(code, self.store.table("facts") if usable else None))
-            configs = modules.read_configs([p for p, _ in listed], read)
+            configs = modules.read_configs(listed, read)
             built = resolve.build_edges(known, code.select("path"), configs)
             kind = files.select(F.col("path").alias("file_path"), F.col("kind").alias("file_kind"), "content_hash")
             symbols = built["symbols"].select("node_key", "name", F.col("node_key").alias("qualified_name"), "kind", F.col("path").alias("file_path"), F.col("first").alias("start_line"), F.col("last").alias("end_line")).join(kind, "file_path", "left")

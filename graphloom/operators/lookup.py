@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalar import ancestors, ascii_lower, canonical, cursor, cursor_offset, like_pattern
+from graphloom.operators.settle import settle
 
 #: Work limits of a query.
 MOST_ROWS, MOST_BYTES, AMBIGUOUS = 2000, 65536, 10
@@ -120,13 +121,21 @@ def execute(frame: DataFrame, order: list, files: DataFrame, generation: str, op
     return out
 
 
-def health(old: DataFrame | None, new: DataFrame, versions: tuple = (), expected: tuple = ()) -> dict:
-    """FLT-15: not_indexed, invalid (other versions), stale (changed files) or ready, with what changed."""
+def health(old: DataFrame | None, new: DataFrame, versions: tuple = (), expected: tuple = (), most: int = MOST_ROWS) -> dict:
+    """FLT-15: not_indexed, invalid (other versions), stale (changed files) or ready, with what changed.
+
+    Of each kind of change the first `most` paths are listed, and all are counted.
+    """
     if old is None:
-        return {"state": "not_indexed", "added": [], "removed": [], "changed": []}
+        return {"state": "not_indexed", "added": [], "removed": [], "changed": [], "n_changes": 0}
     a, b = old.select("path", F.struct("content_hash", "kind").alias("o")), new.select("path", F.struct("content_hash", "kind").alias("n"))
     both = a.join(b, "path", "full_outer")
     change = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").when(F.col("o") != F.col("n"), "changed")
-    rows = {r["change"]: r["paths"] for r in both.withColumn("change", change).where("change IS NOT NULL").groupBy("change").agg(F.array_sort(F.collect_list("path")).alias("paths")).collect()}
-    lists = {k: rows.get(k, []) for k in ("added", "removed", "changed")}
-    return {"state": "invalid" if versions != expected else "stale" if rows else "ready", **lists}
+    found = settle(both.select("path", change.alias("change")).where("change IS NOT NULL"))
+    # no task and no driver holds more than the first of each kind
+    first = found.withColumn("place", F.row_number().over(W.partitionBy("change").orderBy("path"))).where(F.col("place") <= most)
+    lists: dict[str, list] = {k: [] for k in ("added", "removed", "changed")}
+    for r in first.orderBy("change", "place").collect():
+        lists[r["change"]].append(r["path"])
+    n = found.count()
+    return {"state": "invalid" if versions != expected else "stale" if n else "ready", **lists, "n_changes": n}

@@ -4,8 +4,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import logs, snapshot
-from graphloom.sources import ignore, repo, transcripts
+from graphloom.operators import logs, observe, settle, snapshot
+from graphloom.sources import ignore, repo, small, transcripts
 from graphloom.streaming import fold
 
 
@@ -154,3 +154,78 @@ def test_tail_holds_back_partial_lines_and_notices_another_file(spark, tmp_path)
         q.processAllAvailable()
         q.stop()
     assert sorted((r.seq, r.value) for r in spark.read.parquet(out).collect()) == [(0, "x"), (2, "y"), (4, "z")]
+
+
+def test_yaml_subset_is_strict():
+    assert small.yaml_subset("") is None and small.yaml_subset('a:\n- 1\n- b: "x"\n  c: []\n') == {"a": [1, {"b": "x", "c": []}]}
+    for bad in ("a: plain", "a\n", "a: 1\n  b: 2\n", '- "x" "y"\n'):
+        with pytest.raises(ValueError):
+            small.yaml_subset(bad)
+
+
+def test_observer_keeps_failures(spark, tmp_path):
+    seen = observe.Observer(lambda: "g", first=10)
+    with pytest.raises(ZeroDivisionError):
+        seen.call("t", lambda: 1 / 0)
+    seen.append(spark, f"{tmp_path}/ledger")
+    rows = spark.read.parquet(f"{tmp_path}/ledger").orderBy("seq").collect()
+    assert [(r.seq, r.phase, r.status) for r in rows] == [(11, "invoked", None), (12, "completed", "ZeroDivisionError")] and rows[0].observation_id == rows[1].observation_id and seen.records == []
+
+
+def test_old_generations_are_pruned(spark, tmp_path):
+    store = snapshot.Store(spark, f"file://{tmp_path}/store")
+    made = [store.publish({"t": spark.range(n)}) for n in (1, 2, 3)]
+    assert store.prune() == made[:1] and store.table("t").count() == 3 and store.table("t", made[1]).count() == 2 and store.prune() == []
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Conf:
+        named = None
+
+        def get(self, key, default):
+            return self.named
+
+    class Context:
+        master, applicationId = "spark://host:7077", "app-x"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        settle.shared_dir(Session())
+    Conf.named = "hdfs://n/x/"
+    assert settle.shared_dir(Session()) == "hdfs://n/x"
+
+
+def test_bounded_state_of_a_stream(monkeypatch):
+    """More events and messages than the state keeps: counts stay those of every event once, repeats and replays aside."""
+    import random
+
+    import pandas as pd
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    monkeypatch.setattr(fold, "RECENT", 50)
+    monkeypatch.setattr(fold, "OPEN", 10)
+    rng, state = random.Random(1), State()
+    rows = [{"seq": i, "client": "b", "kind": "usage" if i % 3 else "call", "message_id": f"m{i // 4}", "total_tokens": float(rng.randrange(100)) if i % 3 else None, "sidechain": i % 10 == 9, "event_id": f"{i}:e"} for i in range(1000)]
+    for a in range(0, 1000, 40):
+        part = rows[a : a + 40]
+        rng.shuffle(part)
+        again = part + rows[max(0, a - 30) : a] + rows[:5]  # late repeats, and a replay from the start
+        (out,) = fold._fold(("s",), iter([pd.DataFrame(again)]), state)
+    own = [r for r in rows if not r["sidechain"]]
+    per = {}
+    for r in own:
+        if r["kind"] == "usage":
+            per[r["message_id"]] = max(per.get(r["message_id"], 0), r["total_tokens"])
+    r = out.iloc[0]
+    assert (r.n_events, r.n_children, r.n_calls, r.total_tokens, r.last_seq) == (len(own), 100, sum(x["kind"] == "call" for x in own), sum(per.values()), 999)
+    assert len(state.get[-1]) < 5000 and len(state.get[-2]) < 1000

@@ -53,3 +53,30 @@ def test_run_encodes_whole_texts(spark, folder):
     for r in out[:50]:
         t = texts[r.doc_id]
         assert (r.piece_ids is None) == (t is None) and (t is None or list(pieces.encode(v, [t.encode()])[0]) == list(r.piece_ids))
+
+
+def test_stages_leave_only_their_last_output(spark, folder):
+    """Scratch tables of stages, and the outputs that a later stage has read, are gone when run() returns."""
+    import os
+
+    from graphloom.operators.settle import shared_dir
+
+    root = shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    before = set(os.listdir(root))
+    out = corpus_pipeline.run(spark, folder)
+    left = {f"{d}/{x}" for d in set(os.listdir(root)) - before for x in os.listdir(f"{root}/{d}")}
+    assert len(left) == 1 and "/encode-" in left.pop() and out.count() > 0
+
+
+def test_temporary_removes_what_was_made_inside(spark):
+    from graphloom.llm.common import Scratch, temporary
+
+    outer = Scratch(spark, "outer")
+    kept = outer.save(spark.range(3))
+    with pytest.raises(ZeroDivisionError):
+        with temporary():
+            inner = Scratch(spark, "inner").save(spark.range(5))
+            assert inner.count() == 5
+            1 / 0
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(inner._scratch)
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path) and kept.count() == 3

@@ -2,7 +2,7 @@
 
 A lexer and one pass over its tokens, for a declared subset: function, class, method and arrow declarations,
 `import`, `export`, `require`, dynamic `import()`, calls, `new`, JSX tags, `extends`. Not read: computed members,
-decorators' arguments as symbols, namespaces, overload-only declarations, and value references through destructuring.
+decorators' arguments as symbols, namespaces, and overload-only declarations.
 """
 
 from __future__ import annotations
@@ -58,6 +58,7 @@ class _Scan:
         self.t, self.out = tokens(source), empty()
         self.close = self._pairs()
         self.declared: set[int] = set()
+        self.opened: dict[int, int] | None = None
 
     def _pairs(self) -> dict[int, int]:
         close, stack = {}, []
@@ -211,11 +212,26 @@ class _Scan:
             k = self.close.get(k, k) + 1
         return min(k - 1, len(self.t) - 1)
 
+    def defaults(self, n: int) -> set[int]:
+        """Places of the default values in a pattern that opens at n."""
+        out: set[int] = set()
+        for k in range(n, self.close.get(n, n)):
+            j = k + 1
+            while self.text(k) == "=" and self.text(j) not in (",", "}", "]", ""):
+                out |= set(range(j, self.close.get(j, j) + 1))
+                j = self.close.get(j, j) + 1
+        return out
+
+    def pattern(self, n: int) -> set[str]:
+        """Names that a pattern which opens at n binds."""
+        other = self.defaults(n)
+        return {self.text(k) for k in range(n + 1, self.close.get(n, n)) if self.kind(k) == "name" and k not in other and self.text(k + 1) != ":"}
+
     def variables(self, i: int, z: int, owner: str, first: int) -> int:
         n = i + 1
         if self.text(n) == "{" and n in self.close:
             e = self.close[n] + 1
-            self.declared |= set(range(n, e))
+            self.declared |= set(range(n, e)) - self.defaults(n)
             if self.text(e) == "=" and self.text(e + 1) == "require" and self.kind(e + 3) == "text":
                 for member, local in self.braces(n):
                     self.bind(self.text(e + 3), local, member, first)
@@ -244,7 +260,8 @@ class _Scan:
         z = self.close.get(b, b)
         first, last = self.t[b].line, self.t[z].line
         names = {self.text(k) for k in range(p, b) if self.kind(k) == "name" and self.text(k - 1) in ("(", ",", "{", "...") and self.text(k) not in _KEYWORDS} if self.text(p) == "(" else {self.text(p)}
-        names |= {self.text(k + 1) for k in range(b, z) if self.text(k) in ("const", "let", "var") and self.kind(k + 1) == "name"}
+        told = [k + 1 for k in range(b, z) if self.text(k) in ("const", "let", "var")]
+        names |= {self.text(k) for k in told if self.kind(k) == "name"} | {x for k in told if self.text(k) in ("{", "[") for x in self.pattern(k)}
         self.out["locals"] += [{"name": n, "first": first, "last": last} for n in sorted(names)]
 
     # -- modules
@@ -330,6 +347,36 @@ class _Scan:
             k += 2
         return out, k
 
+    def tells_value(self, colon: int) -> bool:
+        """Whether a value stands behind the colon, as in a choice or a member of an object, and not a type."""
+        if self.text(colon - 1) == "?":
+            return False
+        opened, k = {z: a for a, z in self.close.items()} if self.opened is None else self.opened, colon - 1
+        self.opened = opened
+        while k >= 0:
+            t = self.text(k)
+            if t == "?" and self.text(k + 1) != ".":
+                return True
+            if t in (",", "{") and self.kind(k) == "sign":
+                while k >= 0 and self.text(k) not in ("(", "{", "["):  # a member, if what is open around it is an object
+                    k = opened.get(k, k) - 1
+                return self.text(k) == "{"
+            if t in (";", "(", "[", "}") and self.kind(k) == "sign" and k not in opened:
+                return False
+            k = opened.get(k, k) - 1
+        return False
+
+    def used(self, i: int, k: int) -> bool:
+        """Whether the chain from i up to k stands where a value is used, by the signs around it."""
+        before, after, then = self.text(i - 1), self.text(k), self.text(k + 1)
+        if before == ":" and not self.tells_value(i - 1):
+            return False
+        if before not in ("(", ",", "=", ":", "[", "=>", "return", "{", "?", "|", "&", "!", "+", "..."):
+            return False
+        if after == "?":
+            return then != ":"  # an optional parameter or member
+        return after in (")", ",", "]", ";", "}", "|", "&", "+") or (after == ":" and before == "?") or (after == then == "=")
+
     def references(self) -> None:
         i = 0
         while i < len(self.t):
@@ -342,7 +389,7 @@ class _Scan:
                 elif self.text(k) == "(" or self.text(i - 1) == "new":
                     if t.text not in ("this", "super") or receiver:
                         self.out["calls"].append({"name": name, "receiver": receiver, "line": t.line})
-                elif self.text(i - 1) in ("(", ",", "=", ":", "[", "=>", "return", "{") and self.text(k) in (")", ",", "]", ";", "}") and t.text not in ("this", "super") and self.text(i - 1) != "typeof":
+                elif t.text not in ("this", "super") and self.used(i, k):
                     self.out["values"].append({"name": name, "receiver": receiver, "line": t.line})
                 i = k
                 continue

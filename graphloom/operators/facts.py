@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import extract_javascript, extract_python
 from graphloom.operators.settle import settle
 
-VERSION = 2
+VERSION = 3
 _REF = "name: string, receiver: string, line: int"
 FACTS = (
     "symbols array<struct<name: string, kind: string, qualname: string, first: int, last: int>>, "

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import scalar as S
 from graphloom.operators import evaluate, extract_python, facts, logs, lookup, observe, pack, reports, text, traces
 from graphloom.plans.cases import by_row, cases
-from graphloom.sources import small, transcripts
+from graphloom.sources import repo, small, transcripts
 
 # -- commands, JSON, paths ------------------------------------------------------
 
@@ -202,6 +202,29 @@ def javascript_exports(df):
     return f.withColumn("found", _joined("reexports", lambda r: F.concat_ws(" ", r["spec"], r["imported"], r["exported"])))
 
 
+@cases("part", "p_partkey", "source string", "found VARCHAR", [
+    (("const a = [f{k}, g];\nrun(h.i);\n",), ("f{k} - 1;g - 1;i h 2",)), (("const a = x ? f{k} : g;\nconst b = f || g;\nif (!h) {}\n",), ("f - 2;f{k} - 1;g - 1;g - 2;h - 3;x - 1",)), (("let t: typeof f{k};\nnew K(f);\nq(1);\nfunction r(c?: T) {}\n",), ("f - 2",)),
+    (("const { a = f{k} } = o;\nexport default h;\n",), ("f{k} - 1;o - 1",)),
+])
+def javascript_values(df):
+    """EXT-13: names that are used as values: not called, constructed, declared or meant as a type."""
+    return _facts(df, ".ts").withColumn("found", _joined("values", lambda v: F.concat_ws(" ", v["name"], _none(v["receiver"]), v["line"].cast("string"))))
+
+
+_CONFIGS = {"tsconfig.json": '{"extends": "./b"}', "b.json": "{}"}
+
+
+@cases("nation", "n_nationkey", "texts string, files string", "same BOOLEAN", [
+    ((json.dumps(_CONFIGS), '[["src/a{k}.ts", "source"]]'), (True,)), ((json.dumps(_CONFIGS), '[["src/a.ts", "source"], ["docs/{k}.md", "doc"]]'), (True,)), ((json.dumps(_CONFIGS | {"b.json": '{"x": {k}}'}), '[["src/a.ts", "source"]]'), (False,)),
+    ((json.dumps(_CONFIGS | {"src/jsconfig.json": "{}"}), '[["src/a.ts", "source"]]'), (False,)), ((json.dumps(_CONFIGS | {"lib/tsconfig.json": "{}"}), '[["src/{k}.ts", "test"]]'), (True,)),
+])
+def config_digests(df):
+    """SRC-8: a digest of the configurations in and above the folders of sources and tests, with what they extend."""
+    base = repo.config_digest(_CONFIGS.get, [("src/a.ts", "source")])
+    same = by_row(lambda t, f: repo.config_digest(json.loads(t).get, [tuple(x) for x in json.loads(f)]) == base, ["texts", "files"], "same", "boolean")
+    return df.withColumn("same", same)
+
+
 @cases("part", "p_partkey", "source string, ending string", "symbols BIGINT, fault BOOLEAN", [
     (("def f{k}(): pass\n", ".py"), (1, False)), (("function f{k}() {}\nclass A { m() {} }\n", ".tsx"), (3, False)), (("def f(): pass\n", ".txt"), (0, False)), (("def (:\n", ".py"), (0, True)), (("const f = () => {k};\n", ".mjs"), (1, False)),
 ])

@@ -17,6 +17,7 @@ def frame(spark):
 EDGES = [
     (1, "alpha beta gamma delta epsilon zeta", "a"), (2, "alpha beta gamma delta epsilon zeta", "a"), (2, "alpha beta gamma delta epsilon zeta", "a"), (3, "", "b"), (4, None, None), (5, " \t\n", "b"), (None, "alpha beta", "a"),
     (None, None, None), (6, "ALPHA Beta gamma delta epsilon zeta", "c"), (7, "é ß 漢字 ▁ \u2028 😀", "c"), (8, "word " * 20000, "d"), (9, "x" * 50000, "d"), (10, "one", None), (11, "one", None),
+    (12, " ".join(f"d{i}" for i in range(20000)), "e"), (13, "1234567890123456 " * 3000, "e"), (14, "".join(chr(0x4E00 + i * 7 % 20000) for i in range(8000)), "e"), (15, "a" * 300 + "é" * 20000, None),
 ]
 
 

@@ -1,4 +1,4 @@
-"""Session analytics over append-only events (AG-6 to AG-12, WN-3 to WN-7, LG-1 to LG-17, SRC-14).
+"""Session analytics over append-only events (AG-6 to AG-12, WN-3 to WN-7, LG-1 to LG-3, LG-5, LG-10 to LG-16, SRC-14).
 
 Events are typed rows. Whatever was not observed stays null: sums come with the number of rows that are known.
 """

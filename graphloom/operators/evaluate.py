@@ -64,6 +64,32 @@ def compare_pairs(theirs: DataFrame, ours: DataFrame, their_symbols: DataFrame,
     return found.join(lost)
 
 
+def unused_claims(symbols: DataFrame, ours: DataFrame, oracle: DataFrame, candidates: bool = False) -> DataFrame:
+    """EV-18: one row: symbols (id) that no edge (source, target, resolution_status) uses, and how many of them the oracle
+    (source, target, basis) finds used, by a binding or by declared types alone."""
+    used = ours.where("source <> target") if candidates else ours.where("source <> target AND resolution_status = 'resolved'")
+    claims = symbols.select("id").join(used.select(F.col("target").alias("id")), "id", "left_anti")
+    found = oracle.where("source <> target").groupBy(F.col("target").alias("id")).agg(F.bool_or(F.col("basis") == "binding").alias("bound"))
+    out = claims.join(found, "id", "left").agg(F.count("*").alias("claims"), F.count("bound").alias("wrong"), F.count_if("bound").alias("bound"))
+    return out.withColumn("false_claim_rate", ratio(F.col("wrong"), F.col("claims"))).withColumn("type_declared_only", F.col("wrong") - F.col("bound"))
+
+
+def hard_cases(ours: DataFrame, oracle: DataFrame, hard: Column) -> DataFrame:
+    """EV-18: of the pairs for which `hard` holds (a condition on source and target): precision by status, and the recall of
+    what the oracle supports by more than declared types; one row."""
+    a = ours.groupBy("source", "target").agg(F.bool_or(F.col("resolution_status") == "resolved").alias("r"), F.bool_or(F.col("resolution_status") == "candidate").alias("c"))
+    b = oracle.groupBy("source", "target").agg(F.bool_or(F.col("basis") != "type_declared").alias("supported"))
+    both = a.join(b, ["source", "target"], "full_outer").where(hard)
+    r, c, s = (F.coalesce(F.col(x), F.lit(False)) for x in ("r", "c", "supported"))
+    in_oracle = F.col("supported").isNotNull()
+    out = both.agg(
+        F.count_if(r).alias("resolved_edges"), F.count_if(r & in_oracle).alias("resolved_tp"), F.count_if(c).alias("candidate_edges"), F.count_if(c & in_oracle).alias("candidate_tp"), F.count_if(in_oracle).alias("oracle_edges"),
+        F.count_if(s).alias("supported"), F.count_if(s & r).alias("__hit"), F.count_if(s & ~r & c).alias("missed_but_candidate"), F.count_if(s & ~r & ~c).alias("missed_entirely"),
+    )
+    out = out.withColumn("resolved_precision", ratio(F.col("resolved_tp"), F.col("resolved_edges"))).withColumn("candidate_precision", ratio(F.col("candidate_tp"), F.col("candidate_edges")))
+    return out.withColumn("supported_recall", ratio(F.col("__hit"), F.col("supported"))).drop("__hit")
+
+
 #: EV-23: what a record of an adjudicated edge has, and its verdicts. Who finds them is no part of this engine.
 ADJUDICATION, VERDICTS = "repo_sha string, source_key string, target_key string, relation string, verdict string, category string", ("true", "false", "unclear")
 

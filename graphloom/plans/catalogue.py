@@ -74,7 +74,7 @@ def _shown(reached: DataFrame) -> DataFrame:
 
 @query(f"WITH {_EDGES} SELECT s AS source_key, t AS target_key, r AS relation, c AS confidence, tier AS resolution_tier, status AS resolution_status FROM e")
 def edges_projected(spark, sf_dir):
-    """RES-17/18: edges once each, with the best confidence and the tier it means."""
+    """RES-17/18, AG-5: edges once each, with the best confidence and the tier it means."""
     return star.edges(spark, sf_dir)
 
 
@@ -92,7 +92,7 @@ def edge_tiers(spark, sf_dir):
 
 @query(_reach_sql(["part::7"], 3, True, None, False))
 def callers_d3(spark, sf_dir):
-    """GR-1: what reaches a part within three hops."""
+    """GR-1, JN-2, AG-4: what reaches a part within three hops."""
     return _shown(G.reach(star.published(spark, sf_dir, "target_key"), keys(spark, "part::7"), 3, incoming=True))
 
 
@@ -169,7 +169,7 @@ def _snapshot(spark, sf_dir, before: str) -> DataFrame:
 p AS (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY 1)
 SELECT o_custkey, CASE WHEN o.n IS NULL THEN 'added' WHEN p.n IS NULL THEN 'removed' ELSE 'changed' END AS change FROM o FULL JOIN p USING (o_custkey) WHERE o.n IS DISTINCT FROM p.n OR o.total IS DISTINCT FROM p.total""")
 def snapshot_diff(spark, sf_dir):
-    """GR-10, ST-3, JN-11: null-safe difference of two snapshots."""
+    """GR-10, ST-3, JN-10, JN-11: null-safe difference of two snapshots."""
     return E.difference(_snapshot(spark, sf_dir, "1995-01-01 00:00:00"), _snapshot(spark, sf_dir, "1996-01-01 00:00:00"), ["o_custkey"], ["n", "total"])
 
 
@@ -188,7 +188,7 @@ n AS (SELECT seed, 'outgoing' AS direction, t AS node_key, r, c FROM z JOIN e ON
 k AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY direction, c DESC, node_key, r) AS place, count(*) OVER (PARTITION BY seed) > 6 AS truncated FROM n)
 SELECT seed, direction, node_key, r AS relation, c AS confidence, place::INT AS place, truncated FROM k WHERE place <= 6""")
 def neighbourhood_top6(spark, sf_dir):
-    """GR-11, TK-6, JN-8"""
+    """GR-11, TK-6, JN-1, JN-8"""
     return G.neighbourhood(star.published(spark, sf_dir), keys(spark, "part::7", "supplier::3"))
 
 

@@ -92,7 +92,7 @@ j AS (SELECT ref.*, loc.name IS NOT NULL AND ref.line BETWEEN 10 AND 60 AS shado
 SELECT ref, CASE WHEN bound AND via IS NOT NULL THEN via WHEN own IS NOT NULL THEN own ELSE one END || '::' || name AS target, CASE WHEN bound AND via IS NOT NULL THEN 0.95 WHEN own IS NOT NULL THEN 0.90 ELSE 0.75 END::DOUBLE AS confidence
 FROM j WHERE NOT shadow AND NOT coalesce(bound AND ext, false) AND (coalesce(bound AND via IS NOT NULL, false) OR own IS NOT NULL OR one IS NOT NULL)""")
 def resolve_cascade(spark, sf_dir):
-    """RES-12/13: local names, imports, the same module, unique names; rules that end the search come first."""
+    """RES-12/13, JN-3: local names, imports, the same module, unique names; rules that end the search come first."""
     part = table(spark, sf_dir, "part").select(_mod(F.col("p_partkey")).alias("path"), _name(F.col("p_partkey"), 400).alias("name")).distinct()
     symbols = part.select("path", "name", F.col("name").alias("qualname"), F.lit("Function").alias("kind"), F.lit(1).alias("first"), F.lit(2).alias("last"), F.concat_ws("::", "path", "name").alias("node_key"), F.lit("m").alias("container"), F.lit(None).cast("string").alias("shape"))
     c = table(spark, sf_dir, "customer")
@@ -110,7 +110,7 @@ def resolve_cascade(spark, sf_dir):
 i AS (SELECT 'pkg/sub/use.py' AS path, 'x' || o_orderkey AS spec, 0 AS level, o_orderkey AS k FROM orders), c AS (SELECT i.*, d.p AS k1, e.p AS k2, d.root || i.spec || e.tail AS file FROM i, (VALUES (0, ''), (1, 'pkg/'), (2, 'pkg/sub/'), (3, 'src/'), (4, 'lib/')) d(p, root), (VALUES (0, '.py'), (1, '/__init__.py')) e(p, tail))
 SELECT c.path, spec, level, arg_min(file, k1 * 2 + k2) AS file, CASE WHEN min(k1 * 2 + k2) < 2 THEN 1.0 ELSE 0.9 END::DOUBLE AS confidence FROM c JOIN (SELECT path FROM f) f ON f.path = c.file GROUP BY c.path, spec, level""")
 def resolve_python_modules(spark, sf_dir):
-    """RES-2: the first of ordered candidates that is a file."""
+    """RES-2, JN-4: the first of ordered candidates that is a file."""
     p = table(spark, sf_dir, "part")
     root = F.when(F.col("p_size") % 3 == 0, "pkg/sub/").when(F.col("p_size") % 3 == 1, "src/").otherwise("")
     files = p.select(F.concat(root, F.lit("x"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 2 == 0, ".py").otherwise("/__init__.py")).alias("path")).distinct()
@@ -138,7 +138,7 @@ def _class_bases(spark, sf_dir):
 @query("""SELECT 'N' || n_nationkey AS class_key, x.p AS place, CASE x.p WHEN 0 THEN 'N' || n_nationkey WHEN 1 THEN 'R' || n_regionkey ELSE 'Root' END AS base_key, false AS opaque FROM nation, (VALUES (0), (1), (2)) x(p)
 UNION ALL SELECT 'R' || r_regionkey, x.p, CASE x.p WHEN 0 THEN 'R' || r_regionkey ELSE 'Root' END, false FROM region, (VALUES (0), (1)) x(p)""")
 def class_linearisation(spark, sf_dir):
-    """RES-10: C3 orders; an opaque base that is declared last stands behind all others."""
+    """RES-10, GR-14: C3 orders; an opaque base that is declared last stands behind all others."""
     return R.hierarchy(_class_bases(spark, sf_dir))
 
 

@@ -42,7 +42,7 @@ def cumulative_last(spark, sf_dir):
 
 @query("SELECT event_id, user_id, event_type FROM events WHERE event_id > (SELECT max(event_id) FROM events) - 500")
 def events_ledger_ring(spark, sf_dir):
-    """SRC-14: a ring of the last 500 events."""
+    """SRC-14, SM-8: a ring of the last 500 events."""
     return L.ring(table(spark, sf_dir, "events"), "event_id", 500).select("event_id", "user_id", "event_type")
 
 

@@ -530,6 +530,36 @@ def graphs_compared(spark, sf_dir):
     return evaluate.compare_pairs(theirs, ours, a, b).select("tp", "fp", "fn", "unmapped")
 
 
+_JUDGED = f"""WITH {_EDGES}, ours AS (SELECT s, t, status FROM e WHERE r = 'CALLS' AND t LIKE 'part::%'), pairs AS (SELECT DISTINCT 'orders::' || l_orderkey AS s, 'part::' || l_partkey AS t, l_orderkey + l_partkey AS z FROM lineitem),
+oracle AS (SELECT s, t, CASE WHEN z % 4 = 0 THEN 'type_declared' ELSE 'binding' END AS basis FROM pairs WHERE z % 3 <> 0 UNION ALL SELECT 'x', 'part::' || p_partkey, 'binding' FROM part WHERE p_partkey % 10 = 0)"""
+
+
+def _judged(spark, sf_dir):
+    """Edges of orders and parts, and an oracle that knows two thirds of them and some more."""
+    ours = star.published(spark, sf_dir).where("relation = 'CALLS' AND target_key LIKE 'part::%'").select(F.col("source_key").alias("source"), F.col("target_key").alias("target"), "resolution_status")
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    z = F.col("l_orderkey") + F.col("l_partkey")
+    known = line.where(z % 3 != 0).select(F.concat(F.lit("orders::"), F.col("l_orderkey").cast("string")).alias("source"), F.concat(F.lit("part::"), F.col("l_partkey").cast("string")).alias("target"), F.when(z % 4 == 0, "type_declared").otherwise("binding").alias("basis"))
+    return ours, known.union(table(spark, sf_dir, "part").where("p_partkey % 10 = 0").select(F.lit("x"), F.concat(F.lit("part::"), F.col("p_partkey").cast("string")), F.lit("binding")))
+
+
+@query(f"""{_JUDGED}, claims AS (SELECT 'part::' || p_partkey AS id FROM part WHERE p_partkey % 2 = 0 AND 'part::' || p_partkey NOT IN (SELECT t FROM ours WHERE status = 'resolved' AND s LIKE '%7')), f AS (SELECT t AS id, bool_or(basis = 'binding') AS bound FROM oracle GROUP BY t),
+j AS (SELECT * FROM claims LEFT JOIN f USING (id)) SELECT count(*)::BIGINT AS claims, count(bound)::BIGINT AS wrong, (count(*) FILTER (bound))::BIGINT AS bound, round(count(bound) / count(*), 4) AS false_claim_rate, (count(bound) - count(*) FILTER (bound))::BIGINT AS type_declared_only FROM j""")
+def unused_symbols_judged(spark, sf_dir):
+    """EV-18: claims that a symbol has no use, and those that an oracle refutes."""
+    ours, oracle = _judged(spark, sf_dir)
+    symbols = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.concat(F.lit("part::"), F.col("p_partkey").cast("string")).alias("id"))
+    return evaluate.unused_claims(symbols, ours.where("source LIKE '%7'"), oracle)
+
+
+@query(f"""{_JUDGED}, a AS (SELECT s, t, bool_or(status = 'resolved') AS r, bool_or(status = 'candidate') AS c FROM ours GROUP BY s, t), b AS (SELECT s, t, bool_or(basis <> 'type_declared') AS o FROM oracle GROUP BY s, t),
+j AS (SELECT coalesce(r, false) AS r, coalesce(c, false) AS c, o IS NOT NULL AS k, coalesce(o, false) AS o FROM a FULL JOIN b USING (s, t) WHERE t LIKE '%0'), n AS (SELECT count(*) FILTER (r) AS re, count(*) FILTER (r AND k) AS rt, count(*) FILTER (c) AS ce, count(*) FILTER (c AND k) AS ct, count(*) FILTER (k) AS oe, count(*) FILTER (o) AS su, count(*) FILTER (o AND r) AS hit, count(*) FILTER (o AND NOT r AND c) AS mc, count(*) FILTER (o AND NOT r AND NOT c) AS me FROM j)
+SELECT re::BIGINT AS resolved_edges, rt::BIGINT AS resolved_tp, ce::BIGINT AS candidate_edges, ct::BIGINT AS candidate_tp, oe::BIGINT AS oracle_edges, su::BIGINT AS supported, mc::BIGINT AS missed_but_candidate, me::BIGINT AS missed_entirely, round(rt / re, 4) AS resolved_precision, round(ct / ce, 4) AS candidate_precision, round(hit / su, 4) AS supported_recall FROM n""")
+def hard_case_slices(spark, sf_dir):
+    """EV-18: precision and supported recall of a slice of the pairs."""
+    return evaluate.hard_cases(*_judged(spark, sf_dir), F.col("target").endswith("0"))
+
+
 @query("SELECT verdict, count(*)::BIGINT AS n FROM (SELECT CASE WHEN c_custkey % 3 = 0 THEN 'unclear' WHEN c_custkey % 3 = 1 THEN 'true' ELSE 'false' END AS verdict FROM customer WHERE c_custkey % 7 <> 0) GROUP BY verdict")
 def edges_adjudicated(spark, sf_dir):
     """EV-23, EV-30: one verdict an edge; edges with two are unclear, unknown verdicts are left out."""

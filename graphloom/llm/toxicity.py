@@ -3,7 +3,8 @@
 Texts are lower-cased (A-Z), other ASCII signs become spaces, and windows of twelve words are compressed twice: with
 a zstandard dictionary of ordinary text, and with that one preceded by a dictionary trained on toxic text. The bytes
 that the toxic dictionary saves are a window's distance. Dictionaries are trained again a few times: ordinary windows
-that the toxic dictionary shortens go into the ordinary one, toxic windows that it does not shorten are left out.
+that the toxic dictionary shortens go into the ordinary one, toxic windows that it does not shorten are left out. Of
+a toxic window the toxic dictionary is trained on the words that are far more frequent in toxic windows than in others.
 Thresholded counts of a document's windows are calibrated into a probability on labelled rows kept apart.
 
 Learning reads at most FIT_TOXIC + FIT_ORDINARY labelled documents in the order of the md5 of their ids. Dictionaries
@@ -19,6 +20,7 @@ the share of toxic ones, or 0; an empty table gives an empty result. Extra colum
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -36,6 +38,8 @@ FIT_TOXIC, FIT_ORDINARY, TOXIC_WINDOWS, ORDINARY_WINDOWS = 2000, 5000, 200, 30
 WINDOW, LEVEL, ROUNDS = 12, 12, 3
 ORDINARY_BYTES, HARD_BYTES, TOXIC_BYTES = 65536, 49152, (4096, 8192, 16384)
 THRESHOLDS = (2, 3, 4, 5, 7)
+#: What makes a word typical of toxic windows: so many times the ordinary rate, in one of so many toxic documents.
+CONTRAST, RARE = 8, 250
 
 #: ASCII letters (lower-cased) and digits stay, and so does all that is not ASCII.
 _PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in LOWER)
@@ -112,20 +116,30 @@ def _train(size: int, samples: list[bytes]) -> bytes:
         return b"".join(samples)[:size]
 
 
-def dictionaries(good: list[bytes], bad: list[bytes]) -> list[tuple[bytes, bytes]]:
-    """Pairs of an ordinary and a toxic dictionary, one for each of TOXIC_BYTES."""
+def marks(good: list[bytes], bad: list[bytes], docs: int) -> set[bytes]:
+    """Words that toxic windows have at least CONTRAST times as often as ordinary ones, in one of RARE toxic documents or more."""
+    a, b = (Counter(w for x in ws for w in set(x.split())) for ws in (bad, good))
+    least, scale = max(2, docs / RARE), (len(good) + 1) / (len(bad) + 1)
+    return {w for w, n in a.items() if n >= least and (n + 0.5) * scale >= CONTRAST * (b[w] + 0.5)}
+
+
+def dictionaries(good: list[bytes], bad: list[bytes], docs: int) -> list[tuple[bytes, bytes]]:
+    """Pairs of an ordinary and a toxic dictionary, one for each of TOXIC_BYTES, from the windows of so many toxic documents."""
     rng = np.random.default_rng(5)
     good = [good[i] for i in rng.permutation(len(good))]
-    base = _train(ORDINARY_BYTES, good)
+    base, words = _train(ORDINARY_BYTES, good), marks(good, bad, docs)
+    # what is typical of toxic windows, without the ordinary words around it
+    told = {w: b" %b " % b" ".join(x for x in w.split() if x in words) for w in bad}
+    bad = [w for w in bad if told[w].strip()] or bad
 
     def attempt(size: int) -> tuple[bytes, bytes]:
-        ordinary, extra = base, _train(size, bad)
+        ordinary, extra = base, _train(size, [told[w] for w in bad])
         for _ in range(ROUNDS):
             a, b = _compressor(ordinary or b" "), _compressor((extra + ordinary) or b" ")
             hard = [w for w, d in zip(good, distances(good, a, b), strict=True) if d >= 3]
             keep = [w for w, d in zip(bad, distances(bad, a, b), strict=True) if d >= 3]
             ordinary = b"".join(hard)[:HARD_BYTES] + ordinary
-            extra = _train(size, keep) or extra
+            extra = _train(size, [told[w] for w in keep]) or extra
         return ordinary or b" ", extra
 
     with ThreadPoolExecutor(len(TOXIC_BYTES)) as pool:  # compression frees the interpreter
@@ -203,7 +217,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     got = sampled(rows.where(~F.col("__apart")) if two else rows).toPandas().sort_values("__h")
     good, bad = ([bytes(w) for ws in got["ws"][(got["__toxic"] == 1) == kind] for w in ws] for kind in (False, True))
     del got
-    pairs = dictionaries(good, bad)
+    pairs = dictionaries(good, bad, sum(n for (apart, toxic), n in kinds.items() if toxic and not (two and apart)))
     del good, bad
     trim()
     held = summaries(rows.where("__apart") if two else rows, pairs).toPandas().sort_values("__h")

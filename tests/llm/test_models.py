@@ -47,6 +47,17 @@ def test_toxicity_held_out_accuracy_and_edges(frame, spark, nothing):
     assert toxicity.toxicity(nothing, labels).count() == 0
 
 
+def test_marks_are_the_words_typical_of_toxic_windows():
+    good = [b" the cat sat ", b" a dog ran ", b" the rare word "] * 40
+    bad = [b" the bad cat ", b" bad dog ", b" the cat sat "] * 20 + [b" the once word "]
+    found = toxicity.marks(good, bad, 100)
+    assert found == {b"bad"}  # not what is as frequent elsewhere, and not what stands in one window
+    assert toxicity.marks([], [], 0) == set() and toxicity.marks(good, [], 0) == set()
+    # without typical words whole windows are learned from, and nothing fails
+    pairs = toxicity.dictionaries(good, [b" the cat sat "] * 30, 30)
+    assert len(pairs) == len(toxicity.TOXIC_BYTES) and toxicity.dictionaries([b" a "], [b" b "], 1)
+
+
 def test_toxicity_scores_equal_the_plain_definition(frame, spark):
     """Windows, both compressed sizes, counts above thresholds and the logistic, one window at a time."""
     rows = toxic_corpus(300)

@@ -91,7 +91,8 @@ def test_health(spark):
     a = spark.createDataFrame([("a", "1", "source"), ("b", "1", "source")], "path string, content_hash string, kind string")
     b = spark.createDataFrame([("a", "2", "source"), ("c", "1", "source")], "path string, content_hash string, kind string")
     assert lookup.health(None, a)["state"] == "not_indexed" and lookup.health(a, a)["state"] == "ready" and lookup.health(a, a, (1,), (2,))["state"] == "invalid"
-    assert lookup.health(a, b) == {"state": "stale", "added": ["c"], "removed": ["b"], "changed": ["a"]}
+    assert lookup.health(a, b) == {"state": "stale", "added": ["c"], "removed": ["b"], "changed": ["a"], "n_changes": 3}
+    assert lookup.health(a, b, most=0)["added"] == [] and lookup.health(a, b, most=0)["n_changes"] == 3
 
 
 def chunk_truth(body, scope):

@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.evaluate import ratio
 
-#: Words of a request that tell what it is about.
-ACTIVITIES = {"fix": r"\b(fix|bug|error|fail)", "feature": r"\b(add|implement|feature)", "refactor": r"\b(refactor|rename|clean)", "test": r"\b(test|coverage)", "explain": r"\b(explain|why|how|what)"}
+#: Words of a request that tell what it is about, each at the start of an ASCII word; a letter beyond ASCII is none of a word's.
+START = "(?<![0-9A-Za-z_])"
+ACTIVITIES = {"fix": "fix|bug|error|fail", "feature": "add|implement|feature", "refactor": "refactor|rename|clean", "test": "test|coverage", "explain": "explain|why|how|what"}
 
 
 def activities(text: str | Column) -> Column:
     """LG-6: sorted kinds of task that a request's words name."""
-    c = F.lower(F.col(text) if isinstance(text, str) else text)
-    return F.array_sort(F.array_compact(F.array(*[F.when(c.rlike(p), F.lit(k)) for k, p in ACTIVITIES.items()])))
+    c = F.col(text) if isinstance(text, str) else text
+    c = F.lower(F.replace(c, F.lit("\u0130"), F.lit("i")))  # a dotted capital I is an i and no second character
+    return F.array_sort(F.array_compact(F.array(*[F.when(c.rlike(f"{START}({p})"), F.lit(k)) for k, p in ACTIVITIES.items()])))
 
 
 def assessments(reports: DataFrame) -> DataFrame:

@@ -43,3 +43,11 @@ def test_a_question_for_regions_is_not_cut_by_a_crowd_of_suppliers(spark, tables
     # with suppliers the question meets the limit of nodes, as before
     nation = spark.createDataFrame([("nation::7",)], "node_key string")
     assert graph.limited(star.published(spark, d), nation, 1).reason == "nodes"
+
+
+def test_words_of_requests_start_after_letters_beyond_ascii(spark, tables):
+    texts = ["ütest", "ä bug", "néerror", "éadd", "你how", "ЖtestЖ", "5test", "_fix", "latest", "TEST", "İmplement", "fİx", "Kclean", "ßtest why", "", None]
+    values = ", ".join(f"({i}, {'NULL' if t is None else repr(t)})" for i, t in enumerate(texts))
+    d, con = tables(conversations=f"SELECT i::BIGINT AS conv_id, 0::BIGINT AS turn, 'user' AS role, t AS text FROM (VALUES {values}) v(i, t)")
+    got = {i: kinds for i, _, kinds in same(spark, d, con, "task_activities")}
+    assert [got[i] for i in range(len(texts))] == ["test", "fix", "fix", "feature", "explain", "test", "", "", "", "test", "feature", "fix", "", "explain,test", "", ""]

@@ -1,7 +1,13 @@
 """Queries and operators on crowded keys and odd inputs, beside the SQL of the same result."""
 
+import random
+import threading
+from collections import defaultdict
+from contextlib import contextmanager
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from graphloom.operators import graph
@@ -37,6 +43,17 @@ def same(spark, sf_dir, con, name):
     return got
 
 
+@contextmanager
+def within(spark, seconds):
+    """Jobs that go on for longer are cancelled, which fails them."""
+    timer = threading.Timer(seconds, spark.sparkContext.cancelAllJobs)
+    timer.start()
+    try:
+        yield
+    finally:
+        timer.cancel()
+
+
 def test_a_question_for_regions_is_not_cut_by_a_crowd_of_suppliers(spark, tables):
     d, con = tables(supplier="SELECT s_suppkey + i AS s_suppkey, s_name, 7::INTEGER AS s_nationkey, s_acctbal FROM (SELECT * FROM old_supplier LIMIT 1), range(2100) r(i)")
     assert same(spark, d, con, "reach_limited") == [(False, 1, None), (True, 0, "edges")]
@@ -51,3 +68,46 @@ def test_words_of_requests_start_after_letters_beyond_ascii(spark, tables):
     d, con = tables(conversations=f"SELECT i::BIGINT AS conv_id, 0::BIGINT AS turn, 'user' AS role, t AS text FROM (VALUES {values}) v(i, t)")
     got = {i: kinds for i, _, kinds in same(spark, d, con, "task_activities")}
     assert [got[i] for i in range(len(texts))] == ["test", "fix", "fix", "feature", "explain", "test", "", "", "", "test", "feature", "fix", "", "explain,test", "", ""]
+
+
+def linked(pairs):
+    """A frame of two columns as resolved edges."""
+    a, b = pairs.columns
+    return pairs.select(F.col(a).alias("source_key"), F.col(b).alias("target_key"), F.lit("CALLS").alias("relation"), F.lit(0.95).alias("confidence"), F.lit("import_map").alias("resolution_tier"), F.lit("resolved").alias("resolution_status"))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_chains_of_random_graphs(spark, monkeypatch, seed):
+    """Sparse to dense, with cycles, loops and repeats; ends with one edge into them and with several; many blocks and tasks."""
+    monkeypatch.setattr(graph, "BLOCK", 2)
+    monkeypatch.setattr(graph, "TASK_ROWS", 5)
+    r, n = random.Random(seed), (30, 16, 24, 9)[seed]
+    pairs = [(f"v{r.randrange(n)}", f"v{r.randrange(n)}") for _ in range(int(n * (1.2, 1.6, 2.0, 1.4)[seed]))]
+    pairs += [(f"v{r.randrange(n)}", f"leaf{i}") for i in range(12)] + pairs[:3]
+    to = defaultdict(set)
+    for a, b in pairs:
+        if a != b:
+            to[a].add(b)
+    want = []
+    for a in list(to):
+        found = defaultdict(list)
+        for m in to[a]:
+            for k in to.get(m, set()) - {a}:
+                for b in to.get(k, set()) - {a, m}:
+                    found[b].append(f"{a} > {m} > {k} > {b}")
+        near = to[a] | {x for m in to[a] for x in to.get(m, ())}
+        want += [(a, b, paths[0]) for b, paths in found.items() if len(paths) == 1 and b not in near]
+    got = graph.chains(linked(spark.createDataFrame(pairs, "a string, b string")))
+    assert want and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_chains_through_a_crowd_are_counted_before_they_multiply(spark):
+    """2.7 billion paths, of which none is single, beside 3,000 that are."""
+    name = lambda kind, c: F.concat(F.lit(kind), c.cast("string"))
+    i = F.col("id")
+    pairs = spark.range(900_000).select(name("a", i % 3000).alias("a"), name("m", F.floor(i / 3000)).alias("b"))
+    pairs = pairs.union(spark.range(300).select(name("m", i), F.lit("n"))).union(spark.range(3000).select(F.lit("n"), name("b", i)))
+    pairs = pairs.union(spark.createDataFrame([("one", "m7")], "a string, b string"))
+    with within(spark, 100):
+        got = graph.chains(linked(pairs)).collect()
+    assert len(got) == 3000 and {r.source_key for r in got} == {"one"} and ("one", "b12", "one > m7 > n > b12") in map(tuple, got)

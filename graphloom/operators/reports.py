@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.operators.evaluate import ratio
+from graphloom.operators.settle import settle
 
 #: Words of a request that tell what it is about, each at the start of an ASCII word; a letter beyond ASCII is none of a word's.
 START = "(?<![0-9A-Za-z_])"
@@ -121,10 +122,32 @@ def enriched(items: DataFrame, symbols: DataFrame, edges: DataFrame, most: int =
 
 
 def unrepeated(ranked: DataFrame, place: str = "place") -> DataFrame:
-    """JN-19: the text of a span that overlaps an earlier one of its file is not told again."""
-    a = ranked.select(F.col("path").alias("__p"), F.col("start_line").alias("__a"), F.col("end_line").alias("__z"), F.col(place).alias("__k"))
-    hit = (F.col("path") == F.col("__p")) & (F.col("start_line") <= F.col("__z")) & (F.col("__a") <= F.col("end_line")) & (F.col("__k") < F.col(place))
-    return ranked.join(a, hit, "left_anti")
+    """JN-19: the text of a span that overlaps an earlier one of its file is not told again.
+
+    Equal spans count once, with their first place. Of two that overlap one starts within the other, so each span is
+    cut into dyadic ranges of lines and meets the starts in them, and each start the spans that hold it, by equal keys.
+    """
+    own = ranked.select("path", F.col("start_line").cast("long").alias("a"), F.col("end_line").cast("long").alias("z"), F.col(place).alias("k"))
+    spans = settle(own.where("a IS NOT NULL AND z IS NOT NULL").groupBy("path", "a", "z").agg(F.min("k").alias("k")).where("path IS NOT NULL AND k IS NOT NULL"))
+    told, odd = spans.where("a <= z"), spans.where("a > z")
+    longest = told.agg(F.max(F.col("z") - F.col("a"))).first()[0] or 0
+    level = F.explode(F.sequence(F.lit(0), F.lit((longest + 1).bit_length() - 1))).alias("level")
+    # of a level's ranges [low, high) within a span, those that no range of the next level holds: an odd first, an even last
+    lo, hi = F.expr("-shiftright(-a, level)"), F.expr("shiftright(z + 1, level)")
+    ends = F.array(F.when(F.col("low") % 2 != 0, F.col("low")), F.when(F.col("high") % 2 != 0, F.col("high") - 1))
+    cut = told.select("*", level).select("*", lo.alias("low"), hi.alias("high")).where("low < high").select("path", "a", "z", "k", "level", F.explode(F.array_compact(ends)).alias("range"))
+    starts = told.groupBy("path", "a").agg(F.min("k").alias("k")).select("path", "a", "k", level).withColumn("range", F.expr("shiftright(a, level)"))
+    at = ["path", "level", "range"]
+    inside = cut.drop("k").join(starts.groupBy(*at).agg(F.min("k").alias("k")), at).select("path", "a", "z", "k")
+    around = starts.drop("k").join(cut.groupBy(*at).agg(F.min("k").alias("k")), at).groupBy("path", "a").agg(F.min("k").alias("k"))
+    around = told.drop("k").join(around, ["path", "a"]).select("path", "a", "z", "k")
+    # spans that end before they start hold no line; they meet the spans that go from before their end to after their start
+    x, y = (f.select("path", *[F.col(c).alias(p + c) for c in ("a", "z", "k")]) for f, p in ((odd, "x"), (told, "y")))
+    pairs = x.join(y, "path").where("xa <= yz AND ya <= xz")
+    odd_ = pairs.groupBy("path", F.col("xa").alias("a"), F.col("xz").alias("z")).agg(F.min("yk").alias("k")).union(pairs.groupBy("path", "ya", "yz").agg(F.min("xk")))
+    first = inside.union(around).union(odd_).groupBy("path", "a", "z").agg(F.min("k").alias("__k"))
+    kept = ranked.join(first.withColumnsRenamed({"path": "__p", "a": "__a", "z": "__z"}), (F.col("path") == F.col("__p")) & (F.col("start_line") == F.col("__a")) & (F.col("end_line") == F.col("__z")), "left")
+    return kept.where(F.col("__k").isNull() | F.col(place).isNull() | (F.col(place) <= F.col("__k"))).select(*ranked.columns)
 
 
 def discovered(heads: DataFrame, repos: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from graphloom.operators import graph
+from graphloom.operators import graph, reports
 from graphloom.plans import star
 
 SF = "/root/testdata/sf0.001"
@@ -111,3 +111,34 @@ def test_chains_through_a_crowd_are_counted_before_they_multiply(spark):
     with within(spark, 100):
         got = graph.chains(linked(pairs)).collect()
     assert len(got) == 3000 and {r.source_key for r in got} == {"one"} and ("one", "b12", "one > m7 > n > b12") in map(tuple, got)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_spans_told_before_are_found_by_ranges(spark, seed):
+    """Long and short spans, equal ones, ties of places, lines below 0, ends before starts, nulls."""
+    r = random.Random(seed)
+    some = lambda v: None if r.random() < 0.03 else v
+    rows = []
+    for _ in range(250):
+        a = r.randrange(-40, 3000)
+        rows.append((some(r.choice("abc")), some(a), some(a + r.choice([0, 0, 1, 3, 8, 31, 200, -1, -25])), some(r.randrange(200)), len(rows)))
+    hides = lambda y, x: None not in (*x, *y) and y[0] == x[0] and y[3] < x[3] and x[1] <= y[2] and y[1] <= x[2]
+    want = {x[4] for x in rows if not any(hides(y, x) for y in rows)}
+    got = reports.unrepeated(spark.createDataFrame(rows, "path string, start_line int, end_line long, place int, id int"))
+    assert got.columns == ["path", "start_line", "end_line", "place", "id"] and 0 < len(want) < len(rows)
+    assert sorted(x.id for x in got.collect()) == sorted(want)
+
+
+def test_spans_of_one_crowded_file_are_not_met_in_pairs(spark):
+    """400,000 spans of a file that don't overlap, and as many that each repeat one of them."""
+    i = F.col("id")
+    first = spark.range(400_000).select(F.lit("f").alias("path"), (i * 10).alias("start_line"), (i * 10 + i % 10).alias("end_line"), i.alias("place"))
+    again = spark.range(400_000).select(F.lit("f"), i * 10 - i % 7, i * 10, i + 400_000)
+    with within(spark, 100):
+        got = reports.unrepeated(first.union(again)).agg(F.count("*"), F.max("place")).first()
+    assert tuple(got) == (400_000, 399_999)
+
+
+def test_spans_of_crowded_brands(spark, tables):
+    d, con = tables(part="SELECT p_partkey + i * 1000 AS p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM old_part, range(20) r(i)")
+    assert same(spark, d, con, "overlap_spans")

@@ -113,6 +113,50 @@ def test_chains_through_a_crowd_are_counted_before_they_multiply(spark):
     assert len(got) == 3000 and {r.source_key for r in got} == {"one"} and ("one", "b12", "one > m7 > n > b12") in map(tuple, got)
 
 
+def shuffled(spark):
+    """Bytes of shuffle files that the application has written so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_chains_of_tables_need_little_disk(spark, tables, tmp_path):
+    """Edges of other relations are left where they are, and starts and edges are not dealt out again and again; rows follow each other by their ends."""
+    d, con = tables()
+    before = shuffled(spark)
+    got = entry.queries()["chains_three_hops"](spark, d)
+    got.write.parquet(out := str(tmp_path / "out"))
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").count()
+    assert shuffled(spark) - before < 60 * lines
+    same(spark, d, con, "chains_three_hops")
+    n, runs = con.execute(f"SELECT count(*), count(*) FILTER (again) FROM (SELECT lag(source_key) OVER (PARTITION BY filename ORDER BY file_row_number) = source_key AS again FROM read_parquet('{out}/*.parquet', filename = true, file_row_number = true))").fetchone()
+    assert n and runs > 0.8 * n
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_chains_of_blocks_of_starts_and_ends(spark, monkeypatch, seed):
+    """Starts and ends of a node in several blocks, and graphs in which no node, or every node, has several edges into it."""
+    monkeypatch.setattr(graph, "BLOCK", 2)
+    monkeypatch.setattr(graph, "HELD", 3)
+    monkeypatch.setattr(graph, "TASK_ROWS", 5)
+    r = random.Random(seed)
+    pairs = [(f"a{i}", f"m{i % 3 if seed else i}") for i in range(11)] + [(f"m{i}", "n") for i in range(3 if seed > 1 else 1)] + [("n", f"b{i}") for i in range(10)] + [("n", "n")]
+    if seed:
+        pairs += [("n", "a1"), ("b1", "a2"), ("b2", "a2")] + [(f"{r.choice('abm')}{r.randrange(3)}", f"{r.choice('abm')}{r.randrange(6)}") for _ in range(6)]
+    if seed == 3:
+        pairs += [("x", b) for b in sorted({b for _, b in pairs})] + [("y", b) for b in sorted({b for _, b in pairs})]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE p (a VARCHAR, b VARCHAR)")
+    con.executemany("INSERT INTO p VALUES (?, ?)", pairs)
+    want = con.execute("""WITH y AS (SELECT DISTINCT a, b FROM p WHERE a <> b), two AS (SELECT x.a, x.b AS m, z.b FROM y x JOIN y z ON x.b = z.a WHERE x.a <> z.b),
+        three AS (SELECT two.a, two.m, two.b AS n, y.b FROM two JOIN y ON two.b = y.a WHERE two.a <> y.b AND two.m <> y.b),
+        o AS (SELECT a, b, min(a || ' > ' || m || ' > ' || n || ' > ' || b) AS path FROM three GROUP BY a, b HAVING count(*) = 1)
+        SELECT * FROM o WHERE NOT EXISTS (FROM y WHERE y.a = o.a AND y.b = o.b) AND NOT EXISTS (FROM two WHERE two.a = o.a AND two.b = o.b)""").fetchall()
+    got = graph.chains(linked(spark.createDataFrame(pairs, "a string, b string")))
+    assert want and sorted(map(tuple, got.collect())) == sorted(want)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_spans_told_before_are_found_by_ranges(spark, seed):
     """Long and short spans, equal ones, ties of places, lines below 0, ends before starts, nulls."""
